@@ -1,0 +1,35 @@
+"""The few file system calls Spark's readers and writers do not cover, through the cluster's own file systems."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def _open(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _open(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder this run wrote itself, such as an old version of its state."""
+    fs, target = _open(spark, path)
+    fs.delete(target, True)
+
+
+def set_modified(spark: SparkSession, path: str, millis: int) -> None:
+    """Sets the modification time of the files directly in a folder."""
+    fs, target = _open(spark, path)
+    for status in fs.listStatus(target):
+        if status.isFile():
+            fs.setTimes(status.getPath(), millis, -1)
+
+
+def newest_modified(spark: SparkSession, path: str) -> int:
+    """Newest modification time of the files directly in a folder, in milliseconds."""
+    fs, target = _open(spark, path)
+    return max(s.getModificationTime() for s in fs.listStatus(target) if s.isFile())
