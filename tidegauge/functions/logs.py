@@ -11,11 +11,25 @@ LINE_PATTERN = r"(?d)^([0-9]{4}-.{14})\s([A-Z]+)\s+([^:]+):([0-9]+)\s-\s(.*?)[\n
 
 FIELDS = ["timestamp_str", "level", "logger_name", "linenumber", "message"]
 
+# Order of the fields in one text with line ends between them. Only a logger name could hold a line end, so it is last.
+_JOINED = "$1\n$2\n$4\n$5\n$3"
+_POSITION = {"timestamp_str": 0, "level": 1, "linenumber": 2, "message": 3, "logger_name": 4}
 
-def log_field(line: Column, name: str) -> Column:
-    """One field of a log line; NULL when the line does not match."""
-    value = F.regexp_extract(line, LINE_PATTERN, FIELDS.index(name) + 1)
-    return F.when(line.rlike(LINE_PATTERN), value)
+
+def log_parts(line: Column) -> Column:
+    """All fields of a log line in one array, so the pattern is not matched again for each; NULL without a match."""
+    joined = F.regexp_replace(line, LINE_PATTERN, _JOINED)
+    return F.when(line.rlike(LINE_PATTERN), F.split(joined, "\n", 5))
+
+
+def log_field(parts: Column, name: str) -> Column:
+    return F.get(parts, _POSITION[name])
+
+
+def message_pattern(logger: str, text: str = "") -> str:
+    """The line pattern for one logger and a text its message holds; the only group is the message."""
+    held = f".*\\Q{text}\\E" if text else ""
+    return rf"(?d)^[0-9]{{4}}-.{{14}}\s[A-Z]+\s+\Q{logger}\E:[0-9]+\s-\s({held}.*?)[\n\r]*$"
 
 
 def first_integer(text: Column) -> Column:

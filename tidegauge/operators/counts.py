@@ -17,14 +17,15 @@ from tidegauge.operators import ordered
 _SPAN_BATCHES = 16_384
 
 
-def batch_start(ts: str, interval: str) -> Column:
-    """Start of the batch of a row, in unix seconds."""
-    return F.unix_seconds(F.window(F.col(ts).cast("timestamp"), interval).getField("start"))
+def batch_start(ts: str, interval_sec: int) -> Column:
+    """Start of the batch of a row, in unix seconds. Batches start at multiples of their length."""
+    sec = times.seconds(F.col(ts))
+    return sec - F.pmod(sec, F.lit(interval_sec))
 
 
-def batch_counts(rows: DataFrame, interval: str, ts: str = "ts") -> DataFrame:
+def batch_counts(rows: DataFrame, interval_sec: int, ts: str = "ts") -> DataFrame:
     """Rows per non-empty batch: batch_start_s, n."""
-    return rows.groupBy(batch_start(ts, interval).alias("batch_start_s")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(batch_start(ts, interval_sec).alias("batch_start_s")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def batch_counts_filled(rows: DataFrame, interval_sec: int, ts: str = "ts") -> DataFrame:
@@ -32,7 +33,7 @@ def batch_counts_filled(rows: DataFrame, interval_sec: int, ts: str = "ts") -> D
 
     The batches are laid out in two steps (spans, then batches of a span), so no task writes them all.
     """
-    counted = batch_counts(rows, f"{interval_sec} seconds", ts)
+    counted = batch_counts(rows, interval_sec, ts)
     bounds = rows.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).select(
         *[(F.floor(times.seconds(F.col(c)) / interval_sec).cast("bigint")).alias(c) for c in ("lo", "hi")]
     )
@@ -55,7 +56,7 @@ def interval_message_count(
 ) -> DataFrame:
     """Messages per report interval, for each source unless ``by`` says otherwise."""
     keys = ["source_id"] if by is None else by
-    start = batch_start(ts, f"{interval_sec} seconds").alias("interval_start_s")
+    start = batch_start(ts, interval_sec).alias("interval_start_s")
     return messages.groupBy(*keys, start).agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -72,12 +73,12 @@ def running_message_count(messages: DataFrame, interval_sec: int, ts: str = "ts"
 
 
 def batch_preview(
-    rows: DataFrame, interval: str, order: str, limit: int = settings.PREVIEW_ROWS, ts: str = "ts"
+    rows: DataFrame, interval_sec: int, order: str, limit: int = settings.PREVIEW_ROWS, ts: str = "ts"
 ) -> DataFrame:
     """The first rows of every batch. The limit is applied before the shuffle and again after it."""
     window = Window.partitionBy("batch_start_s").orderBy(order)
     return (
-        rows.withColumn("batch_start_s", batch_start(ts, interval))
+        rows.withColumn("batch_start_s", batch_start(ts, interval_sec))
         .withColumn("row_in_batch", F.row_number().over(window))
         .where(F.col("row_in_batch") <= limit)
     )
@@ -100,7 +101,7 @@ def overrun_report(messages: DataFrame, target_us: Column, **kwargs) -> DataFram
 
 def offered_load(messages: DataFrame, interval_sec: int, cores: int, ts: str = "ts", line: str = "line") -> DataFrame:
     """CPU time the messages of a batch ask for, against what ``cores`` can give in it."""
-    start = batch_start(ts, f"{interval_sec} seconds").alias("batch_start_s")
+    start = batch_start(ts, interval_sec).alias("batch_start_s")
     return (
         messages.groupBy(start)
         .agg(F.sum(cost_ms(F.col(line)).cast("bigint")).alias("cost_ms"))

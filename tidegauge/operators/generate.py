@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import settings
 from tidegauge.functions import messages as msg
+from tidegauge.operators.counts import batch_start
 
 
 def with_line(df: DataFrame) -> DataFrame:
@@ -87,12 +88,11 @@ def roundtrip_check(messages: DataFrame) -> DataFrame:
     )
 
 
-def reuse_by_setting(messages: DataFrame, interval: str, ts: str = "ts") -> DataFrame:
+def reuse_by_setting(messages: DataFrame, interval_sec: int = settings.FILE_REPORT_SEC, ts: str = "ts") -> DataFrame:
     """Per report interval and parameter setting: the first message and how many may reuse its content."""
     key = msg.params_key(F.col("cpu_pause_ms"), F.col("message_bytes"), F.col("period_sec"))
     return (
         messages.withColumn("params_key", key)
-        .groupBy(F.window(F.col(ts).cast("timestamp"), interval).alias("w"), "params_key")
+        .groupBy(batch_start(ts, interval_sec).alias("interval_start_s"), "params_key")
         .agg(F.min("msg_id").alias("first_msg_id"), (F.count(F.lit(1)) - 1).alias("reused"))
-        .select(F.unix_seconds("w.start").alias("interval_start_s"), "params_key", "first_msg_id", "reused")
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidegauge import settings
 from tidegauge.functions import logs, times
-from tidegauge.sources.readers import log_records
 
 
 def is_known_delay(delay_ms: Column) -> Column:
@@ -39,16 +38,24 @@ def unfinished_batches(records: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def listing_pauses(lines: DataFrame) -> DataFrame:
-    """run_id, ts, pause_ms of directory listings found in log lines; in one second the last line stays.
-
-    The plain text test comes first, so the pattern runs on listing lines only.
-    """
-    found = log_records(lines.where(F.col("line").contains(settings.LISTING_TEXT))).where(
-        (F.col("logger_name") == settings.LISTING_LOGGER) & F.col("message").contains(settings.LISTING_TEXT)
+def _lines_of(lines: DataFrame, logger: str, text: str = "") -> DataFrame:
+    """Lines of one logger with the time and the message; other lines are tested once and not taken apart."""
+    pattern = logs.message_pattern(logger, text)
+    return lines.where(F.col("line").contains(text or logger) & F.col("line").rlike(pattern)).withColumns(
+        {
+            "timestamp_unix": times.log_time_seconds(F.substring("line", 1, 19)),
+            "message": F.regexp_extract("line", pattern, 1),
+        }
     )
+
+
+def listing_pauses(lines: DataFrame) -> DataFrame:
+    """run_id, ts, pause_ms of directory listings found in log lines; in one second the last line stays."""
     return (
-        found.select("run_id", F.col("timestamp_unix").alias("ts"), "line_no", logs.first_integer(F.col("message")).alias("ms"))
+        _lines_of(lines, settings.LISTING_LOGGER, settings.LISTING_TEXT)
+        .select(
+            "run_id", F.col("timestamp_unix").alias("ts"), "line_no", logs.first_integer(F.col("message")).alias("ms")
+        )
         .groupBy("run_id", "ts")
         .agg(F.max_by("ms", "line_no").alias("pause_ms"))
     )
@@ -56,9 +63,7 @@ def listing_pauses(lines: DataFrame) -> DataFrame:
 
 def app_log_lines(lines: DataFrame) -> DataFrame:
     """Lines the application itself logged."""
-    return log_records(lines.where(F.col("line").contains(settings.APP_LOGGER))).where(
-        F.col("logger_name") == settings.APP_LOGGER
-    )
+    return _lines_of(lines, settings.APP_LOGGER)
 
 
 def slow_listing_flags(pauses: DataFrame, limit_ms: int = settings.SLOW_LISTING_MS, allowed: int = 2) -> DataFrame:

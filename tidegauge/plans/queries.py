@@ -21,7 +21,8 @@ NOW_S = 1_704_931_200  # 2024-01-11 00:00:00 UTC
 
 # The tables hold about one event in four minutes at the smallest useful size, so batches are longer than live ones.
 BATCH_SEC = 300
-HOUR = "1 hour"
+HOUR = 3600
+DAY = 86_400
 CORES = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,7 @@ def params_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.size_bytes().alias("message_bytes"),
         period.alias("period_sec"),
     )
-    return generate.reuse_by_setting(sent, "1 day")
+    return generate.reuse_by_setting(sent, DAY)
 
 
 def effective_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def new_files_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.batch_counts(tables.messages(spark, sf_dir), f"{BATCH_SEC} seconds")
+    return counts.batch_counts(tables.messages(spark, sf_dir), BATCH_SEC)
 
 
 def batch_counts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def batch_counts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.running_message_count(tables.messages(spark, sf_dir), 3600)
+    return counts.running_message_count(tables.messages(spark, sf_dir), HOUR)
 
 
 def interval_message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +272,7 @@ def params_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def params_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``params_as_of``, for a sender that looks for new settings once a day."""
     sent = tables.messages(spark, sf_dir).select("msg_id", "source_id", "ts")
-    return params.params_as_of(sent, tables.changes(spark, sf_dir), hold_sec=86_400).drop("ts")
+    return params.params_as_of(sent, tables.changes(spark, sf_dir), hold_sec=DAY).drop("ts")
 
 
 def throughput_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

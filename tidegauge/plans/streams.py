@@ -15,8 +15,8 @@ from tidegauge.functions import messages as msg
 from tidegauge.functions import times
 from tidegauge.operators import files, words
 from tidegauge.session import scratch_dir
-from tidegauge.sources import readers, tables
-from tidegauge.streaming import epochs, folders, progress, runs, sinks, windows
+from tidegauge.sources import folders, readers, tables
+from tidegauge.streaming import epochs, progress, runs, sinks, windows
 
 SLICES = 4
 FRESH_FROM_S = 1_704_931_200  # 2024-01-11 00:00:00 UTC

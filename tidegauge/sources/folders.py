@@ -33,3 +33,9 @@ def newest_modified(spark: SparkSession, path: str) -> int:
     """Newest modification time of the files directly in a folder, in milliseconds."""
     fs, target = _open(spark, path)
     return max(s.getModificationTime() for s in fs.listStatus(target) if s.isFile())
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of everything below a folder."""
+    fs, target = _open(spark, path)
+    return fs.getContentSummary(target).getLength()

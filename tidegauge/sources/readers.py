@@ -67,10 +67,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batch_records(fetches: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per batch record of each fetched JSON list; other columns are kept."""
+    """One row per batch record of each fetched JSON list; other columns are kept.
+
+    The outer form of explode is used because Spark repeats the argument of the plain form in a filter below it,
+    which would read each payload three times.
+    """
     kept = [c for c in fetches.columns if c != payload]
-    records = fetches.select(*kept, F.explode(F.from_json(payload, BATCH_RECORDS)).alias("r"))
-    return records.select(
+    records = fetches.select(*kept, F.explode_outer(F.from_json(payload, BATCH_RECORDS)).alias("r"))
+    return records.where(F.col("r").isNotNull()).select(
         *kept,
         F.col("r.batchId").alias("batch_id"),
         times.batch_time_seconds(F.col("r.batchTime")).alias("batch_ts"),
@@ -85,17 +89,19 @@ def app_records(fetches: DataFrame, payload: str = "payload") -> DataFrame:
     return (
         fetches.select(*kept, F.from_json(payload, APPLICATIONS).alias("apps"))
         .withColumn("app_id", F.get("apps", 0).getField("id"))
-        .select(*kept, "app_id", F.explode("apps").alias("app"))
+        .select(*kept, "app_id", F.explode_outer("apps").alias("app"))
         .select(*kept, "app_id", F.col("app.id").alias("id"), F.col("app.name").alias("name"), F.inline("app.attempts"))
     )
 
 
 def log_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds the fields of each log line; lines that do not match keep NULL fields. Line numbers stay text."""
-    column = F.col(line)
-    fields = {name: logs.log_field(column, name) for name in logs.FIELDS}
-    return lines.withColumns(fields).withColumn(
-        "timestamp_unix", times.log_time_seconds(F.col("timestamp_str"))
+    fields = {name: logs.log_field(F.col("_parts"), name) for name in logs.FIELDS}
+    return (
+        lines.withColumn("_parts", logs.log_parts(F.col(line)))
+        .withColumns(fields)
+        .withColumn("timestamp_unix", times.log_time_seconds(F.col("timestamp_str")))
+        .drop("_parts")
     )
 
 

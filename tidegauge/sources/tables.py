@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import messages as msg
 from tidegauge.functions import times
 from tidegauge.session import use_utc
+from tidegauge.sources import folders
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -15,12 +16,32 @@ EVENTS_SCHEMA = (
 DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+# A table below the first size is not worth spreading; one above the second per core is read by enough tasks anyway.
+_SPREAD_FROM_BYTES = 8_000_000
+_SPREAD_TO_BYTES_PER_CORE = 16_000_000
+
+
+def _spread(table: DataFrame, path: str) -> DataFrame:
+    """Evens out a small table that sits in fewer files than there are cores, before costly parsing.
+
+    One row group is read by one task. The size is checked, so a large table is never shuffled here.
+    """
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = folders.total_bytes(spark, path)
+    if _SPREAD_FROM_BYTES < size < _SPREAD_TO_BYTES_PER_CORE * cores and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return use_utc(spark).read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    path = f"{sf_dir}/events.parquet"
+    return _spread(use_utc(spark).read.schema(EVENTS_SCHEMA).parquet(path), path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return use_utc(spark).read.schema(DOCUMENTS_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
+    path = f"{sf_dir}/documents.parquet"
+    return _spread(use_utc(spark).read.schema(DOCUMENTS_SCHEMA).parquet(path), path)
 
 
 def tag_number() -> Column:
@@ -37,6 +58,11 @@ def event_name() -> Column:
     return msg.file_name(times.seconds(F.col("ts")), F.col("event_id"))
 
 
+def second_text() -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of an event."""
+    return F.substring(F.col("ts").cast("string"), 1, 19)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, source_id, ts, cpu_pause_ms, message_bytes, line"""
     header = msg.render_header(F.col("cpu_pause_ms"), F.col("name"))
@@ -82,7 +108,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_id").alias("batch_id"),
             F.col("user_id").alias("run_id"),
             "ts",
-            F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000GMT")).alias("batch_time"),
+            F.concat(F.replace(second_text(), F.lit(" "), F.lit("T")), F.lit(".000GMT")).alias("batch_time"),
             status.alias("status"),
             F.when(tag_number() < 95, delay).alias("total_delay_ms"),
             # Age of the batch in progress at the time of the fetch.
@@ -171,7 +197,7 @@ def control_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_no, run_id, ts, line: listing, progress and warning lines, and junk that must not parse."""
     kind, k = F.col("event_type"), tag_number()
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    stamp = second_text()
     listing = F.concat(
         stamp,
         F.lit(" INFO  FileInputDStream:54 - Finding new files took "),

@@ -16,7 +16,7 @@ from tidegauge.functions import times
 from tidegauge.operators import decisions as dec
 from tidegauge.operators.telemetry import listing_pauses
 from tidegauge.sources.readers import batch_records
-from tidegauge.streaming import folders
+from tidegauge.sources import folders
 
 OBSERVATIONS = (
     "run_id bigint, ts timestamp_ntz, kind string, id bigint, frequency bigint, message_bytes bigint, "
