@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge import settings
@@ -19,6 +19,9 @@ def merged_params(patches: DataFrame, defaults: dict = settings.DEFAULT_PARAMS,
     return merged.withColumns(full).drop("_us", *names)
 
 
+_SETTING = {"frequency": "frequency", "setting_bytes": "message_bytes"}
+
+
 def params_as_of(messages: DataFrame, changes: DataFrame, hold_sec: int | None = None, **kwargs) -> DataFrame:
     """Adds to each message the newest setting of its source at its time (frequency, setting_bytes, since_us).
 
@@ -26,23 +29,27 @@ def params_as_of(messages: DataFrame, changes: DataFrame, hold_sec: int | None =
     A change at the same moment as a message counts. With ``hold_sec``, a sender looks for new settings only at its
     first message in each span of that many seconds.
     """
+    if hold_sec:
+        return _held_params(messages, changes, hold_sec, **kwargs)
     series = ordered.Series(["source_id"], "_us", ["_kind", "_id"])
-    setting = {"frequency": "frequency", "setting_bytes": "message_bytes"}
+    us = times.micros(F.col("ts"))
     changed = changes.select(
         F.col("run_id").alias("source_id"),
-        times.micros(F.col("ts")).alias("_us"),
+        us.alias("_us"),
         F.lit(0).alias("_kind"),
         F.col("change_id").alias("_id"),
-        F.struct(
-            *[F.col(c).alias(n) for n, c in setting.items()], times.micros(F.col("ts")).alias("since_us")
-        ).alias("_set"),
+        F.struct(*[F.col(c).alias(n) for n, c in _SETTING.items()], us.alias("since_us")).alias("_set"),
     )
-    sent = messages.withColumns({"_us": times.micros(F.col("ts")), "_kind": F.lit(1), "_id": F.col("msg_id")})
+    sent = messages.withColumns({"_us": us, "_kind": F.lit(1), "_id": F.col("msg_id")})
     both = sent.unionByName(changed, allowMissingColumns=True)
     found = ordered.carry_last(both, series, {"_now": F.col("_set")}, **kwargs).where(F.col("_kind") == 1)
-    if hold_sec:
-        span = F.floor(F.col("_us") / F.lit(hold_sec * 1_000_000))
-        # The setting at the first message of the span; min over (time, id) needs no ordered window.
-        first = F.min(F.struct("_us", "_id", "_now")).over(Window.partitionBy("source_id", span))
-        found = found.withColumn("_now", first.getField("_now"))
     return found.select(*messages.columns, "_now.*")
+
+
+def _held_params(messages: DataFrame, changes: DataFrame, hold_sec: int, **kwargs) -> DataFrame:
+    """Looks up one message per source and span, then joins: each span has one setting, however full it is."""
+    sec = times.seconds(F.col("ts"))
+    spans = messages.withColumn("_span", sec - F.pmod(sec, F.lit(hold_sec)))
+    first = spans.groupBy("source_id", "_span").agg(F.min("ts").alias("ts")).withColumn("msg_id", F.lit(0).cast("bigint"))
+    found = params_as_of(first, changes, **kwargs).drop("ts", "msg_id")
+    return spans.join(found, ["source_id", "_span"], "left").select(*messages.columns, *_SETTING, "since_us")

@@ -23,6 +23,15 @@ OBSERVATIONS = (
     "line string, payload string, in_process_ms bigint"
 )
 
+STATE = (
+    "run_id bigint, change_us bigint, frequency bigint, message_bytes bigint, delays bigint, delay_ms bigint, "
+    "slow bigint, latest_ms bigint, last_sec bigint, decided boolean"
+)
+OUTCOMES = (
+    "run_id bigint, change_us bigint, frequency bigint, message_bytes bigint, batch_ts bigint, rule int, "
+    "new_frequency bigint, reason string"
+)
+
 
 def observations(changes: DataFrame, log_lines: DataFrame, fetches: DataFrame) -> DataFrame:
     """Changes, log lines and fetched batch records as one raw feed."""
@@ -111,7 +120,7 @@ class EpochOutcomes:
         rows = _timeline(feed)
         before = None
         if batch_id > 0 and folders.exists(spark, self._path("state", batch_id - 1)):
-            before = spark.read.parquet(self._path("state", batch_id - 1))
+            before = spark.read.schema(STATE).parquet(self._path("state", batch_id - 1))
             seen = before.select("run_id", F.col("last_sec").alias("_seen"))
             is_new = (F.col("kind") == dec.CHANGE) | F.col("_seen").isNull() | (F.col("sec") > F.col("_seen"))
             rows = rows.join(seen, "run_id", "left").where(is_new).drop("_seen").unionByName(_carried(before))
@@ -126,7 +135,7 @@ class EpochOutcomes:
             outcomes = outcomes.join(done, ["run_id", "change_us"], "left_anti")
         outcomes.write.mode("overwrite").parquet(self._path("outcomes", batch_id))
 
-        found = spark.read.parquet(self._path("outcomes", batch_id)).select("run_id", "change_us")
+        found = spark.read.schema(OUTCOMES).parquet(self._path("outcomes", batch_id)).select("run_id", "change_us")
         if before is not None:
             found = found.unionByName(done)
         state = _next_state(dec.with_epochs(rows), before, found, self.warmup_sec)
@@ -135,4 +144,4 @@ class EpochOutcomes:
             folders.remove(spark, self._path(table, batch_id - 2))
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/outcomes").drop("batch_id")
+        return spark.read.schema(OUTCOMES).parquet(f"{self.folder}/outcomes").drop("batch_id")
