@@ -87,6 +87,12 @@ def test_slow_listing_needs_more_than_two(spark):
     }
 
 
+def test_statistics_payload(spark):
+    body = {"startTime": "2018-03-02T06:26:10.544GMT", "batchDuration": 1000, "numProcessedRecords": 28, "avgInputRate": 0.9655172413793104, "avgSchedulingDelay": 5, "avgProcessingTime": 122}
+    row = readers.statistics_records(spark.createDataFrame([(1, json.dumps(body))], "fetch_id int, payload string")).first()
+    assert (row.batchDuration, row.numProcessedRecords, row.avgInputRate, row.avgTotalDelay) == (1000, 28, 0.9655172413793104, None)
+
+
 def test_run_statistics_of_the_known_sample(spark):
     rows = [(1, 100 + i, "COMPLETED", 0 if i == 0 else 1, 5, 122) for i in range(29)] + [(1, 200, "PROCESSING", 9, 9, 9)]
     df = spark.createDataFrame(rows, "run_id bigint, batch_ts bigint, status string, records bigint, scheduling_ms bigint, processing_ms bigint")

@@ -24,7 +24,9 @@ def header_part(line: Column, group: int) -> Column:
 
 def render_header(cost: Column, name: Column) -> Column:
     """``C<6-digit cost>-F<name>-``; a cost of seven digits overflows the tag."""
-    return F.concat(F.format_string("C%06d-F", cost), name, F.lit("-"))
+    usual = F.lpad(cost.cast("string"), 6, "0")
+    digits = F.when(cost.between(0, 999_999), usual).otherwise(F.format_string("%06d", cost))
+    return F.concat(F.lit("C"), digits, F.lit("-F"), name, F.lit("-"))
 
 
 def pad_message(header: Column, size: Column, padding: str = settings.PADDING) -> Column:

@@ -12,8 +12,11 @@ from tidegauge.operators.counts import batch_start
 
 def with_line(df: DataFrame) -> DataFrame:
     """Adds ``line`` from cpu_pause_ms, message_bytes and name; NULL where the size cannot hold the header."""
-    header = msg.render_header(F.col("cpu_pause_ms"), F.col("name"))
-    return df.withColumn("line", msg.pad_message(header, F.col("message_bytes")))
+    return (
+        df.withColumn("_header", msg.render_header(F.col("cpu_pause_ms"), F.col("name")))
+        .withColumn("line", msg.pad_message(F.col("_header"), F.col("message_bytes")))
+        .drop("_header")
+    )
 
 
 def one_second(params: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def stream_epoch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(epochs.OBSERVATIONS).parquet(f"{root}/in/*")
         return sinks.for_each_batch(stream, action)
 
-    runs.replay(runs.time_slices(feed, SLICES), deliver, start, f"{root}/checkpoint")
+    runs.replay(runs.time_slices(feed, 3), deliver, start, f"{root}/checkpoint")
     return action.outcomes(spark)
 
 

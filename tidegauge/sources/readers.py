@@ -83,6 +83,12 @@ def batch_records(fetches: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def statistics_records(fetches: DataFrame, payload: str = "payload") -> DataFrame:
+    """The run statistics of each fetch as columns; a total delay that is absent is NULL."""
+    kept = [c for c in fetches.columns if c != payload]
+    return fetches.select(*kept, F.from_json(payload, RUN_STATISTICS).alias("s")).select(*kept, "s.*")
+
+
 def app_records(fetches: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per attempt of the applications of each fetch, with the id of the first application."""
     kept = [c for c in fetches.columns if c != payload]

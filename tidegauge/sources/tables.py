@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import messages as msg
 from tidegauge.functions import times
+from tidegauge.operators.generate import with_line
 from tidegauge.session import use_utc
 from tidegauge.sources import folders
 
@@ -65,10 +66,8 @@ def second_text() -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, source_id, ts, cpu_pause_ms, message_bytes, line"""
-    header = msg.render_header(F.col("cpu_pause_ms"), F.col("name"))
-    return (
-        events(spark, sf_dir)
-        .select(
+    return with_line(
+        events(spark, sf_dir).select(
             F.col("event_id").alias("msg_id"),
             F.col("user_id").alias("source_id"),
             "ts",
@@ -76,9 +75,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             size_bytes().alias("message_bytes"),
             event_name().alias("name"),
         )
-        .withColumn("line", msg.pad_message(header, F.col("message_bytes")))
-        .drop("name")
-    )
+    ).drop("name")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
