@@ -129,8 +129,9 @@ def test_whole_rate_loses_one_where_division_is_inexact(spark):
 
 def test_one_second_of_messages(spark):
     df = spark.createDataFrame([(100, 20, 64, 0.25), (100, 20, 64, 2.0)], "unix_sec bigint, cpu_pause_ms int, message_bytes bigint, period_sec double")
-    names = [r.name for r in generate.one_second(df).orderBy("seq").collect()]
-    assert names == [f"100_{i:010d}" for i in (1, 2, 3, 4)]
+    for block in (1, 3, 4, 100):
+        names = [r.name for r in generate.one_second(df, block).orderBy("seq").collect()]
+        assert names == [f"100_{i:010d}" for i in (1, 2, 3, 4)]
 
 
 def test_numbered_messages(spark):

@@ -12,14 +12,14 @@ CUT = {"parts": 8, "min_rows": 20}
 
 
 def skewed(spark, seed, burst=False):
-    """One key with most rows; with ``burst`` most of those fall in a tiny span, some at the same moment."""
+    """One key with most rows; with ``burst`` most of those fall at two moments."""
     rng = random.Random(seed)
     rows = []
     for i in range(1500):
         key = 0 if rng.random() < 0.6 else rng.randrange(1, 40)
         at = rng.randrange(1_000_000)
         if burst and rng.random() < 0.8:
-            at = 500_000 + rng.randrange(20)
+            at = 500_000 + rng.randrange(2)
         rows.append((key, at, i, rng.randrange(100) if rng.random() < 0.3 else None))
     return spark.createDataFrame(rows, "k bigint, at bigint, id bigint, v bigint").repartition(6)
 
@@ -51,10 +51,10 @@ def test_only_large_keys_are_cut_and_none_is_left_large(spark):
     df = skewed(spark, 1, burst=True).cache()
     cuts = ordered.cut_points(df, SERIES, **CUT)
     assert [r.k for r in cuts.select("k").collect()] == [0]
-    sizes = ordered._segmented(df, SERIES, cuts, CUT["parts"]).groupBy("k", "_segment").count()
+    sizes = ordered._segmented(df, SERIES, cuts).groupBy("k", "_segment").count()
     large = [r["count"] for r in sizes.where("k = 0").collect()]
-    # Rows at one moment stay together, so segments are near, not exactly, an eighth.
-    assert len(large) >= 6 and max(large) < 2 * sum(large) / 8
+    # A piece is an eighth of all rows; even rows at one moment are split. The sample is a third of the rows.
+    assert len(large) >= 4 and max(large) < 2 * 1500 / 8
 
 
 def test_no_rows(spark):
@@ -62,11 +62,6 @@ def test_no_rows(spark):
     assert ordered.running_totals(df, SERIES, {"x": F.lit(1)}, **CUT).count() == 0
 
 
-def test_parts_must_be_a_power_of_two(spark):
-    with pytest.raises(ValueError):
-        ordered.cut_points(skewed(spark, 1), SERIES, parts=6)
-
-
 def test_windows_of_the_cut_form_never_span_a_whole_large_key(spark):
     df = skewed(spark, 3).cache()
     plan = FORMS["previous"](df, **CUT)._jdf.queryExecution().executedPlan().toString()

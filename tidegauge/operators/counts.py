@@ -31,16 +31,18 @@ def batch_counts(rows: DataFrame, interval_sec: int, ts: str = "ts") -> DataFram
 def batch_counts_filled(rows: DataFrame, interval_sec: int, ts: str = "ts") -> DataFrame:
     """Rows per batch with zero for every empty batch between the first and the last.
 
-    The batches are laid out in two steps (spans, then batches of a span), so no task writes them all.
+    The batches are laid out in two steps (spans, then batches of a span), so no task writes them all. The number of
+    tasks is given, because adaptive execution would merge the few bytes of the spans into one task again.
     """
     counted = batch_counts(rows, interval_sec, ts)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
     bounds = rows.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).select(
         *[(F.floor(times.seconds(F.col(c)) / interval_sec).cast("bigint")).alias(c) for c in ("lo", "hi")]
     )
     spans = (
         bounds.where(F.col("lo").isNotNull())
         .select("hi", F.explode(F.sequence("lo", "hi", F.lit(_SPAN_BATCHES).cast("bigint"))).alias("first"))
-        .repartition("first")
+        .repartition(tasks, "first")
     )
     last = F.least(F.col("hi"), F.col("first") + _SPAN_BATCHES - 1)
     spine = spans.select(F.explode(F.sequence("first", last)).alias("batch_no"))

@@ -19,13 +19,24 @@ def with_line(df: DataFrame) -> DataFrame:
     )
 
 
-def one_second(params: DataFrame) -> DataFrame:
+# Messages of one second that one task makes for one setting.
+_BLOCK = 100_000
+
+
+def one_second(params: DataFrame, block: int = _BLOCK) -> DataFrame:
     """The messages of one second per setting: ``int(1 / period_sec)`` of each, with numbered names.
 
     Needs unix_sec, cpu_pause_ms, message_bytes, period_sec; settings that send none in a second give no rows.
+    Settings with more than a block of messages are dealt out to all tasks in blocks before the messages are made.
     """
-    count = msg.whole_rate(F.col("period_sec"))
-    numbered = params.where(count >= 1).withColumn("seq", F.explode(F.sequence(F.lit(1), count)))
+    counted = params.withColumn("_count", msg.whole_rate(F.col("period_sec")))
+    last = F.floor((F.col("_count") - 1) / block).cast("int")
+    blocks = counted.where(F.col("_count") > block).withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
+    spread = blocks.repartition(params.sparkSession.sparkContext.defaultParallelism)
+    whole = counted.where(F.col("_count").between(1, block)).withColumn("_block", F.lit(0))
+    first = F.col("_block") * block + 1
+    numbers = F.sequence(first, F.least(F.col("_count"), first + (block - 1)))
+    numbered = whole.unionByName(spread).withColumn("seq", F.explode(numbers)).drop("_count", "_block")
     return with_line(numbered.withColumn("name", msg.file_name(F.col("unix_sec"), F.col("seq"))))
 
 

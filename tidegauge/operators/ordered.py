@@ -3,7 +3,7 @@
 A plain window over ``partitionBy(key)`` sends a whole series to one task, so a source that holds a third
 of the rows would run alone at the end. Here the keys that hold more than ``1 / parts`` of the rows are
 looked up first. At most ``parts`` keys can be that large, so the list is small by construction. Their series
-are cut into time segments of about equal depth; every segment is a window of its own and starts from one
+are cut into segments of about that many rows; every segment is a window of its own and starts from one
 extra row that carries the state of the segments before it. When no key is large, the plan is a plain window.
 """
 
@@ -18,53 +18,58 @@ from pyspark.sql import functions as F
 PARTS = 1024
 MIN_ROWS = 1_000_000
 
+# Sampled rows per segment; their spread makes segments differ by about an eighth.
+_SAMPLES = 64
+
 _SEGMENT, _SEED, _CUTS = "_segment", "_seed", "_cuts"
 
 
 @dataclass(frozen=True)
 class Series:
-    """Rows of one series share ``keys``; ``at`` (a bigint) and then ``tie`` give their order."""
+    """Rows of one series share ``keys``; ``at`` and then ``tie`` give their order."""
 
     keys: list[str]
     at: str
     tie: list[str]
 
+    def position(self) -> Column:
+        return F.struct(self.at, *self.tie)
+
 
 def cut_points(df: DataFrame, series: Series, parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame | None:
-    """Keys over ``max(rows / parts, min_rows)`` rows with ``parts - 1`` ascending cuts of ``at``.
+    """Keys over ``max(rows / parts, min_rows)`` rows, with ascending positions that cut them in pieces of that size.
 
-    The cuts are approximate quantiles and may differ between two runs of the same job, so they are fetched once
-    (at most ``parts`` rows) and every use sees the same ones. None when no key is that large.
+    Positions come from a sample, so two runs of the same job may find others. They are fetched once (there are no
+    more than about ``2 * parts``) and every use sees the same ones. None when no key is that large.
     """
     sizes = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_n"))
-    if parts & (parts - 1):
-        raise ValueError("parts must be a power of two")
     row = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    if not row.total or row.largest <= max(row.total / parts, min_rows):
+    piece = max((row.total or 0) / parts, min_rows)
+    if not row.total or row.largest <= piece:
         return None
-    large = sizes.where(F.col("_n") > max(row.total / parts, min_rows)).drop("_n")
-    shares = [i / parts for i in range(1, parts)]
+    share = min(1.0, _SAMPLES / piece)
+    every = max(1, round(share * piece))
+    large = sizes.where(F.col("_n") > piece).drop("_n")
     cuts = (
-        df.select(*series.keys, series.at)
+        df.select(*series.keys, series.position().alias("_at"))
         .join(F.broadcast(large), series.keys, "left_semi")
+        .sample(share)
         .groupBy(*series.keys)
-        .agg(F.percentile_approx(series.at, shares, 10 * parts).alias(_CUTS))
+        .agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+        .select(*series.keys, F.filter("_at", lambda _, i: i % every == every - 1).alias(_CUTS))
     )
     return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def _segmented(df: DataFrame, series: Series, cuts: DataFrame, parts: int) -> DataFrame:
-    """Adds the segment of each row: the number of cuts at or below it (0 for keys that are not cut)."""
-    steps = []
-    step = parts // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    # Binary search: each step moves on when the cut it would pass lies at or below the row.
+def _segmented(df: DataFrame, series: Series, cuts: DataFrame) -> DataFrame:
+    """Adds the segment of each row: the number of cuts at or before it (0 for keys that are not cut)."""
+    most = cuts.agg(F.max(F.size(_CUTS))).first()[0]
+    steps = [2**i for i in reversed(range(most.bit_length()))] or [1]
+    # Binary search: each step moves on when the cut it would pass lies at or before the row.
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda pos, s: F.when(F.get(F.col(_CUTS), pos + s - 1) <= F.col(series.at), pos + s).otherwise(pos),
+        lambda pos, s: F.when(F.get(F.col(_CUTS), pos + s - 1) <= series.position(), pos + s).otherwise(pos),
     )
     tagged = df.join(F.broadcast(cuts), series.keys, "left")
     return tagged.withColumn(_SEGMENT, F.when(F.col(_CUTS).isNotNull(), found).otherwise(0))
@@ -92,7 +97,7 @@ def _over(
     if cuts is None:
         window = Window.partitionBy(*series.keys).orderBy(series.at, *series.tie)
         return prepared.withColumns({k: c(window) for k, c in results.items()}).select(*kept, *results)
-    rows = _segmented(prepared, series, cuts, parts)
+    rows = _segmented(prepared, series, cuts)
     earlier = Window.partitionBy(*series.keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     seeds = (
         rows.where(F.col(_CUTS).isNotNull())
@@ -115,7 +120,7 @@ def carry_last(
     df: DataFrame, series: Series, values: dict[str, Column], parts: int = PARTS, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Adds for each value its newest non-null one up to and with the current row."""
-    order = F.struct(series.at, *series.tie)
+    order = series.position()
     helper = {name: f"_value_{name}" for name in values}
     return _over(
         df,
