@@ -40,6 +40,13 @@ def one_second(params: DataFrame, block: int = _BLOCK) -> DataFrame:
     return with_line(numbered.withColumn("name", msg.file_name(F.col("unix_sec"), F.col("seq"))))
 
 
+def sweep_settings(spark: SparkSession, sizes: list[int] | None = None, frequency: int = 1) -> DataFrame:
+    """The settings a search starts from, one per message size, largest first: big messages are the likelier to work."""
+    ordered = sorted(sizes or settings.MESSAGE_SIZES, reverse=True)
+    rows = [(size, settings.DEFAULT_PARAMS["cpu_pause_ms"], 1.0 / frequency) for size in ordered]
+    return spark.createDataFrame(rows, "message_bytes bigint, cpu_pause_ms int, period_sec double")
+
+
 def numbered_messages(
     spark: SparkSession,
     count: int,

@@ -202,6 +202,8 @@ BODIES = {
     "interval_message_count": """
         select source_id, sec // 5 * 5 as interval_start_s, count(*) as messages from messages
         group by source_id, sec // 5""",
+    "report_message_count": """
+        select sec // 3 * 3 as interval_start_s, count(*) as messages from messages group by sec // 3""",
     "batch_preview": """
         select * from (select sec // 3600 * 3600 as batch_start_s,
             cast(row_number() over (partition by sec // 3600 order by msg_id) as int) as row_in_batch, msg_id, line

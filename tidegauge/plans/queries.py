@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +149,12 @@ def interval_message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.interval_message_count(tables.messages(spark, sf_dir))
 
 
+def report_message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a sender that writes files: all messages per report interval."""
+    sent = tables.messages(spark, sf_dir)
+    return counts.interval_message_count(sent, settings.FILE_REPORT_SEC, by=[])
+
+
 def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.batch_preview(tables.messages(spark, sf_dir).select("msg_id", "ts", "line"), HOUR, "msg_id")
     return found.select("batch_start_s", "row_in_batch", "msg_id", "line")
@@ -315,8 +322,8 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run durations appended under two run stamps and read back."""
     path = scratch_dir(spark, "results")
     found = run_durations(spark, sf_dir).select("run_id", "container_count", "net_sec")
-    for stamp in ("2024_01_01__00_00_00", "2024_01_02__00_00_00"):
-        sinks.append_results(found, path, stamp)
+    for day in (1, 2):
+        sinks.append_results(found, path, sinks.run_stamp(datetime(2024, 1, day)))
     schema = "run_id bigint, container_count int, net_sec double, run_stamp string"
     return spark.read.schema(schema).json(path)
 
@@ -350,6 +357,7 @@ QUERIES: dict[str, Query] = {
         batch_counts_filled,
         running_message_count,
         interval_message_count,
+        report_message_count,
         batch_preview,
         overrun_report,
         offered_load,

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge import settings
 from tidegauge.functions import messages as msg
 from tidegauge.functions import times
 from tidegauge.operators import files, words
@@ -133,7 +134,7 @@ def stream_remember_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs.replay(
         _message_slices(spark, sf_dir),
         deliver,
-        lambda: sinks.count_batches(_line_stream(spark, root, maxFileAge="60s"), f"{root}/out"),
+        lambda: sinks.count_batches(_line_stream(spark, root, maxFileAge=f"{settings.REMEMBER_SEC}s"), f"{root}/out"),
         f"{root}/checkpoint",
     )
     return sinks.kept_batches(spark, f"{root}/out").where(F.col("n") > 0).select("batch_id", "n")

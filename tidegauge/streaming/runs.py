@@ -15,7 +15,7 @@ from tidegauge.functions import times
 def start_live(
     writer: DataStreamWriter, checkpoint: str, interval_sec: int = settings.BATCH_INTERVAL_SEC
 ) -> StreamingQuery:
-    """One micro-batch per interval until stopped."""
+    """One micro-batch per interval until stopped; sockets usually run at ``settings.TCP_BATCH_INTERVAL_SEC``."""
     return (
         writer.option("checkpointLocation", checkpoint).trigger(processingTime=f"{interval_sec} seconds").start()
     )

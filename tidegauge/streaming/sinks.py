@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,11 @@ def publish_messages(lines: DataFrame, path: str, by: list[str] | None = None) -
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def run_stamp(started: datetime) -> str:
+    """The name a run's results are kept under."""
+    return started.strftime(settings.RUN_STAMP_FORMAT)
+
+
 def append_results(results: DataFrame, path: str, stamp: str) -> None:
     """Appends result rows as JSON lines, in a folder per run stamp."""
     results.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").json(path)
