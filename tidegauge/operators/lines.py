@@ -38,7 +38,14 @@ def map_lines(
     return df.withColumn(out, F.pandas_udf(function, returns)(F.col(line)))
 
 
-def cost_by_slicing(lines: pd.Series) -> pd.Series:
-    """The cost tag for ``map_lines``; agrees with ``parse_cost``."""
-    tag = lines.str.slice(1, 7).str.strip()
-    return pd.to_numeric(tag.where(tag.str.fullmatch(r"[+-]?[0-9]+"))).astype("Int32")
+def cost_by_slicing() -> Callable[[pd.Series], pd.Series]:
+    """A function for ``map_lines`` that reads the cost tag; agrees with ``parse_cost``.
+
+    It is made here rather than at module level so that Spark sends its code: workers need not have this package.
+    """
+
+    def cost(lines: pd.Series) -> pd.Series:
+        tag = lines.str.slice(1, 7).str.strip()
+        return pd.to_numeric(tag.where(tag.str.fullmatch(r"[+-]?[0-9]+"))).astype("Int32")
+
+    return cost

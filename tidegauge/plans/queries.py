@@ -62,7 +62,7 @@ def parse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_cost_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.map_lines(
-        tables.messages(spark, sf_dir).select("msg_id", "line"), lines.cost_by_slicing, "int", "cpu_pause_ms"
+        tables.messages(spark, sf_dir).select("msg_id", "line"), lines.cost_by_slicing(), "int", "cpu_pause_ms"
     )
     return found.select(
         "msg_id",
