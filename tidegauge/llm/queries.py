@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import mixing, packing, quality
+from tidegauge.llm import chat, licenses, mixing, packing, quality, secrets
 from tidegauge.llm.common import table
 
 
@@ -28,10 +28,94 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    return chat.digests(chat.formatted(conversations.unionByName(probe)))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op5_chat": op5_chat,
+    "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, {_sql(chat.ESCAPE)}, {_sql(chat.ESCAPE + '0')})"
+    for control, letter in chat.CONTROLS.items():
+        out = f"replace({out}, {_sql(control)}, {_sql(chat.ESCAPE + letter)})"
+    return out
+
+
+_CHAT_ROWS = """select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+_CHAT_ROLE = rf"replace(replace({_escaped_sql('role')}, chr(10), '\n'), ']', '\r')"
+# a block adds the marks around its texts, a turn that goes on a block adds the mark before it
+_CHAT_SQL = f"""
+with rows as ({_CHAT_ROWS}),
+turns as (select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as opens from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast({len(chat.BEGIN + chat.END)} + sum(length({_escaped_sql("text")})
+    + case when opens then {len(chat.OPEN + chat.NAMED + chat.CLOSE)} + length({_CHAT_ROLE}) else {len(chat.TURN)} end) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+# repeated words: starts of windows that occur again in their text, each counted up to the next such start
+_QUALITY_SQL = r"""
+with docs as (select doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as text from documents),
+words as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, win) as n
+  from (select doc_id, unnest(range(len(w) - 7)) as i, unnest([w[k + 1 : k + 8] for k in range(len(w) - 7)]) as win
+        from words where len(w) >= 8)),
+repeats as (
+  select doc_id, sum(least(8, coalesce(next - i, 8))) as n_repeat_words
+  from (select doc_id, i, lead(i) over (partition by doc_id order by i) as next from windows where n > 1) group by doc_id),
+lines as (
+  select doc_id, host, text, trim(lower(l), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line
+  from (select *, unnest(string_split(text, chr(10))) as l from docs)),
+hosts as (select host, count(distinct text) as all_texts from lines where line <> '' group by host),
+common as (
+  select host, line from lines join hosts using (host) where line <> '' group by host, line, all_texts
+  having count(distinct text) >= {min_texts} and 100 * count(distinct text) >= {share} * all_texts),
+lost as (select doc_id, sum(length(line)) as removed from lines join common using (host, line) group by doc_id),
+figures as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+      - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) as bigint) as n_dup_lines,
+    cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_chars
+  from words left join repeats using (doc_id) left join lost using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, removed_chars,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 100 * removed_chars > {gone} * (word_chars + n_words)) as kept
+from figures
+"""
+_QUALITY_SQL = (
+    _QUALITY_SQL.replace("{min_texts}", str(quality.MIN_TEXTS))
+    .replace("{share}", str(quality.SHARE_PCT))
+    .replace("{gone}", str(100 - quality.LEFT_PCT))
+)
+
+ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op5_chat": _CHAT_SQL}
