@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import chain
 
 import numpy as np
@@ -20,41 +22,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import ranked, written
-from tidegauge.llm.words import flat, sliced
+from tidegauge.llm.words import Words, sliced, words_of
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_CHUNKS = 200_000  # words whose ids a worker keeps; more only cost time
-CACHED_BYTES = 64  # longer words are not kept
+CACHED_WORDS = 600_000  # words whose ids a task keeps before it begins anew; only time depends on it
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def token_ids(column: pa.Array, tokenizer, cache: dict[bytes, list[int]]) -> Iterator[np.ndarray]:
-    """The ids of each text, without special tokens, as the tokenizer gives them for the whole text.
+# bytes of plain Latin words, which lower-casing and composing leave one for one, and of the punctuation behind them
+_LETTER, _SECOND, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SECOND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # behind 0xC3: À to ÿ without the two signs
+_MARK[list(b".,;:!?")] = True
+_SLOW_SALT = np.uint64(0xA24BAED4963EE407)
 
-    Words between white space never share a token in the vocabularies meant here (white space is dropped before the
-    merges), so each distinct word is encoded once and looked up after that.
+
+class Encoder:
+    """The ids of texts as a tokenizer gives them, without special tokens, from each distinct word once.
+
+    For tokenizers that drop white space before the merges and mark word ends, so the ids of a text are those of its words
+    between white space in a row. A word of plain letters skips the tokenizer's slow normal form, which would not change it.
     """
-    data, offsets = flat(column)
-    raw = data.tobytes()
-    chunks = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    distinct = set(chain.from_iterable(chunks))
-    if len(cache) + len(distinct) > CACHED_CHUNKS:
-        cache.clear()
-    new = list(distinct - cache.keys())
-    fresh = {
-        chunk: found.ids
-        for chunk, found in zip(
-            new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if self._slow(["a b"])[0] != [*self._slow(["a"])[0], *self._slow(["b"])[0]]:
+            raise ValueError("the tokenizer keeps white space; words can't be encoded on their own")
+        self.suffix = self.plain.model.end_of_word_suffix
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-    }
-    cache.update(fresh)
-    for words in chunks:
-        yield np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.uint32)
-    if len(cache) > CACHED_CHUNKS or any(len(x) > CACHED_BYTES for x in new):
-        for chunk in [x for x in new if len(x) > CACHED_BYTES]:
-            del cache[chunk]
+        vocabulary = self.full.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if self.suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
+
+    def _slow(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps ids of words that lie one behind the other, each up to its end."""
+        sizes = np.diff(ends, prepend=0)
+        self.known.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True))
+        self.starts.extend((ends - sizes + len(self.ids)).tolist())
+        self.sizes.extend(sizes.tolist())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _learn(self, keys: list[int], texts: list[bytes], plain: np.ndarray) -> None:
+        fast = np.flatnonzero(plain).tolist()
+        if fast:
+            ids = np.array(self.plain.encode(b" ".join([texts[i] for i in fast]).decode(), add_special_tokens=False).ids)
+            self._add([keys[i] for i in fast], ids, np.flatnonzero(self.last[ids]) + 1)
+        rest = np.flatnonzero(~plain).tolist()
+        if rest:
+            found = self._slow([texts[i].decode() for i in rest])
+            self._add([keys[i] for i in rest], np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found]))
+
+    def _units(self, words: Words) -> tuple[np.ndarray, ...]:
+        """Cuts words between white space into units that are encoded on their own.
+
+        A plain word is its letters in lower case and the punctuation behind them, any other word is one unit. Gives hashes, bytes
+        (lower case for plain letters), bounds, which units are plain letters, and the units of each word.
+        """
+        data = words.data
+        after_lead = np.zeros(len(data), bool)
+        after_lead[1:] = data[:-1] == 0xC3
+        second = after_lead & _SECOND[data]
+        letter = _LETTER[data] | second
+        letter[:-1] |= second[1:]  # the lead of an allowed pair
+        mark = _MARK[data]
+        bad = ~(letter | mark)
+        bad[1:] |= letter[1:] & mark[:-1]  # letters behind punctuation
+        bads, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (bad, letter))
+        starts, ends = words.starts, words.ends
+        plain = (bads[ends] - bads[np.minimum(starts + 1, ends)] == 0) & letter[starts]
+        if not self.suffix:
+            plain[:] = False
+        middle = np.where(plain, starts + letters[ends] - letters[starts], ends)
+        lower = data.copy()
+        lower[(data >= 0x41) & (data <= 0x5A)] += 32
+        lower[second & (data >= 0x80) & (data <= 0x9E)] += 32
+        many = 1 + (middle < ends)
+        first = np.cumsum(many) - many
+        unit_starts, unit_ends = np.empty(many.sum(), np.int64), np.empty(many.sum(), np.int64)
+        unit_starts[first], unit_ends[first] = starts, middle
+        more = first[many == 2] + 1
+        unit_starts[more], unit_ends[more] = middle[many == 2], ends[many == 2]
+        letters_only = np.zeros(len(unit_starts), bool)
+        letters_only[first] = plain
+        h = np.where(
+            letters_only,
+            replace(words, data=lower).hashes(unit_starts, unit_ends),
+            words.hashes(unit_starts, unit_ends) + _SLOW_SALT,
+        )
+        return h, lower, unit_starts, unit_ends, letters_only, many
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column. Words are told apart by 64-bit hashes."""
+        words = words_of(column)
+        if not len(words.starts):
+            yield from (np.zeros(0, np.uint32) for _ in range(len(column)))
+            return
+        h, lower, starts, ends, plain, many = self._units(words)
+        keys, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if self.known and len(self.known) + len(keys) > CACHED_WORDS:
+            self.clear()
+        listed = keys.tolist()
+        new = [i for i, k in enumerate(listed) if k not in self.known]
+        if new:
+            raw, small, of = words.data.tobytes(), lower.tobytes(), index[new]
+            texts = [
+                (small if p else raw)[a:b]
+                for a, b, p in zip(starts[of].tolist(), ends[of].tolist(), plain[of].tolist(), strict=True)
+            ]
+            self._learn([listed[i] for i in new], texts, plain[of])
+        at = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+        sizes = np.frombuffer(self.sizes, np.int64)[at]
+        upto = np.cumsum(sizes)
+        place = np.repeat(np.frombuffer(self.starts, np.int64)[at] - (upto - sizes), sizes) + np.arange(upto[-1])
+        ids = np.frombuffer(self.ids, np.uint32)[place]
+        units = np.concatenate([[0], np.cumsum(many)])[words.firsts]
+        cuts = np.concatenate([[0], upto])[units].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield ids[a:b]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -66,14 +167,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, cache = Tokenizer.from_file(tokenizer_path), {}
+        encoder = Encoder(tokenizer_path)
         for batch in sliced(batches, "text"):
             rows = [[] for _ in range(5)]
             ids_of = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(ids_of, token_ids(batch.column("text"), tokenizer, cache), strict=True):
+            for doc_id, ids in zip(ids_of, encoder.encode(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
