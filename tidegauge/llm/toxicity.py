@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.words import mix, sliced, words_of
 
-SAMPLE_DOCS = 2500  # of each label, those with the least hash of their id
-SAMPLE_WORDS = 3000  # longer documents are left out of the fit (never of the scoring)
-BITS = 17  # buckets of each kind of feature
+SAMPLE_DOCS = 2000  # of each label, those with the least hash of their id
+SAMPLE_WORDS = 1500  # longer documents are left out of the fit (never of the scoring)
+LEAST_DOCS = 5  # documents of the sample in which a feature must stand to have a weight
 PREFIXES = (4, 5, 6)
 KINDS = 1 + len(PREFIXES)
-LEAST_EVIDENCE = 25.0  # likelihood ratio from which a feature marks toxic tokens
+LEAST_EVIDENCE = 30.0  # likelihood ratio from which a feature marks toxic tokens
+LEAST_RATIO = 30.0  # and how many times more often it stands in toxic documents than in clean ones
 STEPS = 60
 SEGMENT = 128  # words of a training sequence
 
@@ -37,19 +38,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(words) -> np.ndarray:
-    """For each word a row of feature numbers: its form and its first bytes, each kind in a range of its own."""
-    mask, out = np.uint64((1 << BITS) - 1), np.empty((len(words.starts), KINDS), np.int32)
+    """For each word a row of 64-bit feature keys: its form and its first bytes, each kind told apart."""
+    out = np.empty((len(words.starts), KINDS), np.uint64)
     for kind in range(KINDS):
         ends = words.ends if not kind else np.minimum(words.ends, words.starts + PREFIXES[kind - 1])
-        h = mix(words.hashes(words.starts, ends) + np.uint64(kind))
-        out[:, kind] = (h & mask).astype(np.int32) + (kind << BITS)
+        out[:, kind] = mix(words.hashes(words.starts, ends) + np.uint64(kind))
     return out
 
 
 @dataclass
 class Field:
-    """The fitted field: a weight for each feature, a bias, the 2 x 2 moves between clean and toxic, and how scores follow."""
+    """The fitted field: keys of features in order and their weights, a bias, the 2 x 2 moves between clean and toxic, and how scores follow."""
 
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
     moves: np.ndarray
@@ -107,19 +108,21 @@ def word_marginals(field: Field, emissions: np.ndarray, firsts: np.ndarray) -> n
 
 
 def aggregates(p: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """For each text: one, the log of the toxic words expected, the largest chance."""
+    """For each text: one, the log of the squared chances of its words (many doubtful words add little), the largest chance."""
     n = len(firsts) - 1
     out = np.zeros((n, 3))
     out[:, 0] = 1
     full = np.flatnonzero(np.diff(firsts) > 0)
     if len(full):
-        out[full, 1] = np.log1p(np.add.reduceat(p, firsts[full]))
+        out[full, 1] = np.log1p(np.add.reduceat(p**2, firsts[full]))
         out[full, 2] = np.maximum.reduceat(p, firsts[full])
     return out
 
 
 def emitted(field: Field, of: np.ndarray) -> np.ndarray:
-    return field.weights[of].sum(1) + field.bias
+    at = np.searchsorted(field.keys, of)
+    at[at == len(field.keys)] = 0
+    return np.where(field.keys[at] == of, field.weights[at], 0).sum(1) + field.bias
 
 
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
@@ -132,27 +135,50 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.nd
     return 2 * (fit(a, n, a / n) + fit(b, m, b / m) - fit(a, n, both) - fit(b, m, both))
 
 
-def _token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The features that tell toxic documents: present in far more of them than of clean ones."""
-    size = KINDS << BITS
+def _telling(docs: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of features 0 to size - 1: in how many documents each stands, and which tell toxic ones."""
     seen = np.zeros((2, size))
     for of, label in zip(docs, toxic, strict=True):
         seen[int(label), np.unique(of)] += 1
-    n, m = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    strong = (seen[1] / n > 8 * seen[0] / m) & (_likelihood_ratio(seen[1], seen[0], n, m) > LEAST_EVIDENCE)
-    return strong
+    n, m = toxic.sum(), (~toxic).sum()
+    strong = (seen[1] / n > LEAST_RATIO * seen[0] / m) & (_likelihood_ratio(seen[1], seen[0], n, m) > LEAST_EVIDENCE)
+    return seen.sum(0), strong
+
+
+def _without_copies(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Leaves one of each group of copies, so that the words of a text that was copied don't count again and again.
+
+    Texts are taken for copies if they agree in the least key of their three-word runs, under any of four orders.
+    """
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, of in enumerate(docs):
+        words = of[:, 0]
+        runs = mix(words[:-2] + mix(words[1:-1] + mix(words[2:]))) if len(words) > 2 else words
+        least = {(k, int(mix(runs + np.uint64(k)).min())) for k in range(4)}
+        if not least & seen:
+            kept.append(i)
+        seen |= least
+    return [docs[i] for i in kept], toxic[kept]
 
 
 def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
     """The field from feature rows of labelled documents; ``prior`` is the share of toxic ones among all labelled."""
-    size = KINDS << BITS
+    docs, toxic = _without_copies(docs, toxic)
     if not len(docs) or toxic.all() or not toxic.any():
         # without both labels nothing can be told apart: every score is the share of toxic ones
         sure = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        return Field(np.zeros(size, np.float32), -10.0, np.zeros((2, 2)), np.array([sure, 0.0, 0.0]))
-    strong = _token_labels(docs, toxic)
+        return Field(np.zeros(1, np.uint64), np.zeros(1), -10.0, np.zeros((2, 2)), np.array([sure, 0.0, 0.0]))
+    keys, numbered = np.unique(np.concatenate(docs), return_inverse=True)
+    firsts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    numbered = numbered.reshape(-1, KINDS)
+    local = [numbered[i:j] for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+    stands, strong = _telling(local, toxic, len(keys))
+    used = np.flatnonzero(stands >= LEAST_DOCS)
+    to_used = np.full(len(keys), len(used))
+    to_used[used] = np.arange(len(used))  # the rest share a place whose weight stays 0
     pieces, labels = [], []
-    for of, label in zip(docs, toxic, strict=True):
+    for of, label in zip(local, toxic, strict=True):
         y = strong[of].any(1) if label else np.zeros(len(of), bool)
         for first in range(0, len(of), SEGMENT):
             pieces.append(of[first : first + SEGMENT])
@@ -168,19 +194,17 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
     y = np.zeros((steps, len(chosen)))
     for k, i in enumerate(chosen):
         of[: lengths[k], k], y[: lengths[k], k] = pieces[i], labels[i]
-    flat = of[inside]
-    used, where = np.unique(flat, return_inverse=True)
-    where = where.reshape(flat.shape)
-    w, bias, moves = np.zeros(len(used)), -3.0, np.zeros((2, 2))
-    squares, bias_square, move_squares = np.full(len(used), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    n, follows = len(flat), inside[1:]
+    where = to_used[of[inside]]
+    w, bias, moves = np.zeros(len(used) + 1), -3.0, np.zeros((2, 2))
+    squares, bias_square, move_squares = np.full(len(used) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    n, follows = len(where), inside[1:]
     pairs = [[((y[:-1] == i) & (y[1:] == j) & follows).sum() for j in (0, 1)] for i in (0, 1)]
     emissions = np.zeros((steps, len(chosen)))
     for _ in range(STEPS):
         emissions[inside] = w[where].sum(1) + bias
         p, forward, backward = marginals(emissions, moves, lengths)
         lack = np.where(inside, y - p, 0.0)[inside]
-        gradient = np.bincount(where.ravel(), np.repeat(lack, KINDS), len(used)) - 0.05 * w
+        gradient = np.bincount(where.ravel(), np.repeat(lack, KINDS), len(used) + 1) - 0.05 * w
         a, q = np.exp(moves), np.exp(np.clip(emissions[1:], -30, 30)) * backward[1:]
         joint = [[a[0, 0] + 0 * q, a[0, 1] * q], [a[1, 0] * forward[:-1], a[1, 1] * forward[:-1] * q]]
         whole = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
@@ -191,12 +215,10 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         bias_square += bias_step**2
         move_squares += move_step**2
         w += 0.5 * gradient / np.sqrt(squares)
+        w[-1] = 0
         bias += 0.1 * bias_step / np.sqrt(bias_square)
         moves += 0.1 * move_step / np.sqrt(move_squares)
-    weights = np.zeros(size, np.float32)
-    weights[used] = w
-    field = Field(weights, float(bias), moves, np.zeros(3))
-    firsts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    field = Field(keys[used] if len(used) else np.zeros(1, np.uint64), w[: max(1, len(used))], float(bias), moves, np.zeros(3))
     x = aggregates(word_marginals(field, emitted(field, np.concatenate(docs)), firsts), firsts)
     field.score = _logistic(x, toxic.astype(float))
     share = toxic.mean()
@@ -256,7 +278,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
         .toArrow()
         .sort_by("doc_id")
     )
-    rows = [np.frombuffer(x, np.int32).reshape(-1, KINDS) for x in found["of"].to_pylist()]
+    rows = [np.frombuffer(x, np.uint64).reshape(-1, KINDS) for x in found["of"].to_pylist()]
     return rows, np.array(found["toxic"].to_pylist(), bool), prior
 
 
