@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, licenses, mixing, packing, quality, secrets, toxicity
+from tidegauge.llm import chat, jaccard, licenses, mixing, packing, quality, secrets, toxicity, warc
 from tidegauge.llm.common import table
 
 
@@ -36,12 +36,20 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(conversations.unionByName(probe)))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(spark, warc.archive(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op5_chat": op5_chat,
+    "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
 }
@@ -126,4 +136,17 @@ _QUALITY_SQL = (
     .replace("{gone}", str(100 - quality.LEFT_PCT))
 )
 
-ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op5_chat": _CHAT_SQL}
+# a digest's five-byte groups as eight letters each
+_WARC_SQL = """
+with rows as (select page_id, coalesce(html, '') as html from pages),
+named as (
+  select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as answers from rows)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(h, 10 * (i // 8) + 1, 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as int), 1) for i in range(32)], '') as payload_digest,
+  case when page_id = answers then 'response' else 'revisit' end as record_type,
+  case when page_id = answers then null else answers end as refers_to
+from named
+"""
+
+ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op5_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
