@@ -1,6 +1,6 @@
 """Documents whose sets of n-grams are alike, joined by vertical partitions of one global order of n-grams.
 
-The order: n-grams that stand in many texts come last, all others by hash. Two alike sets share an n-gram among the first few
+The order: n-grams of one text come first and those of many texts last, by counts over all texts. Two alike sets share an n-gram among the first few
 of each (the prefix), so only documents of one such bucket are compared. Equal sets are one node. A pair is checked by
 fragments of the order: each gives a partial overlap, and the sum per pair decides. Documents of a bucket first meet leaders only,
 in a few rounds; pairs of all members are formed only between components that the rounds left apart.
@@ -20,14 +20,13 @@ from tidegauge.llm.words import mix, shingle_sets, sliced, words_of
 
 WORDS = 4
 PERCENT = 85
-COUNTED = 0.3  # share of the hash range whose n-grams are counted over all texts
-MANY = 32  # texts from which a counted n-gram stands late in the order
-BITS = 26  # bits of the sets of n-grams and of documents that go to every task
+MANY = 32  # an n-gram in more texts stands last in the order
+BITS = 26  # log of the bits in a set of documents that goes to every task
+MOST_BITS = 30  # the same for sets of n-grams, which have a bit for every two n-grams up to this bound
+HELD = 1 << 21  # n-grams that a task counts at a time
 FRAGMENTS = 4
 STARS = 3
 
-_COUNTED = np.uint64(int(COUNTED * 2**64))
-
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     """The overlap that sets of these sizes need."""
@@ -35,9 +34,13 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sets(
-    docs: DataFrame, size: int, rows: Callable[[list, list[np.ndarray]], dict[str, pa.Array]], schema: str, only: np.ndarray | None = None
+    docs: DataFrame, size: int, rows: Callable[[list, list[np.ndarray]], dict[str, pa.Array]], schema: str, only: np.ndarray | None = None,
+    then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, after: str = "",
 ) -> DataFrame:
-    """Runs ``rows`` over ids and n-gram sets of the documents with an id; ``only`` is a bit set of ids to look at."""
+    """Runs ``rows`` over ids and n-gram sets of the documents with an id; ``only`` is a bit set of ids to look at.
+
+    ``then`` goes on with what a task found, into rows of the schema ``after``.
+    """
     held = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,9 @@ def _sets(
             found = rows(batch.column("doc_id").to_pylist(), sets)
             yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        (lambda batches: then(run(batches))) if then else run, after if then else schema
+    )
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -74,34 +79,90 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return _sets(docs, size, rows, "doc_id long, n long, s1 long, s2 long")
 
 
-def _token_counts(docs: DataFrame, size: int, only: np.ndarray) -> DataFrame:
-    """``token, texts`` for n-grams in the counted part of the range that stand in two texts or more."""
+def _identity(tokens: np.ndarray, fragment_bits: int) -> np.ndarray:
+    """The leading bits by which n-grams are counted: 32 and those that name the fragment."""
+    return tokens >> np.uint64(32 - fragment_bits)
 
-    def rows(ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        tokens = [x[: np.searchsorted(x, _COUNTED)] for x in sets]
-        return {"token": _signed(np.concatenate(tokens))}
 
-    return _sets(docs, size, rows, "token long", only).groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
+def token_classes(docs: DataFrame, size: int, only: np.ndarray, fragment_bits: int) -> DataFrame:
+    """``token, many`` for the leading bits of n-grams in two texts or more; ``many``: in more than MANY.
 
+    Every task counts its own n-grams first and sends them by fragment of the order, packed; a fragment then meets
+    about 2^20 of them, a frequent n-gram once for each task.
+    """
 
-def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray) -> DataFrame:
-    """``token, doc, n, first``: the n-grams of each prefix that may stand in another, and how long the prefix is."""
-    counts = written(_token_counts(docs, size, only), "ngram-counts")
-    # bit sets of fixed size: a bit shared by chance only puts an n-gram later, or keeps one that meets no other
+    def count(tokens: np.ndarray) -> pa.RecordBatch:
+        found, times = np.unique(_identity(tokens, fragment_bits), return_counts=True)
+        fragments = (found >> np.uint64(32)).astype(np.int64)
+        low = found.astype(np.uint32)
+        rows = []
+        for fragment, begin in zip(*np.unique(fragments, return_index=True), strict=True):
+            end = np.searchsorted(fragments, fragment, "right")
+            one = times[begin:end] == 1
+            part, often = low[begin:end], times[begin:end][~one].astype(np.uint32)
+            rows.append((int(fragment), part[one].tobytes(), part[~one].tobytes(), often.tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], ["fragment", "once", "often", "times"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            tokens = np.frombuffer(batch.column("tokens")[0].as_py(), np.uint64)
+            held.append(tokens)
+            many += len(tokens)
+            if many > HELD:
+                yield count(np.concatenate(held))
+                held, many = [], 0
+        if many:
+            yield count(np.concatenate(held))
+
+    def tally(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, times = [], []
+        for batch in groups:
+            for once, often, n in zip(*(batch.column(c).to_pylist() for c in ("once", "often", "times")), strict=True):
+                one, more = np.frombuffer(once, np.uint32), np.frombuffer(often, np.uint32)
+                low += [one, more]
+                times += [np.ones(len(one), np.int64), np.frombuffer(n, np.uint32).astype(np.int64)]
+        found, where = np.unique(np.concatenate(low), return_inverse=True)
+        texts = np.bincount(where, np.concatenate(times))
+        shared = np.flatnonzero(texts > 1)
+        token = (key[0].as_py() << 32) + found[shared].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(texts[shared] > MANY)], ["token", "many"])
+
+    def all_tokens(ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
+        return {"tokens": pa.array([np.concatenate(sets).tobytes()], pa.binary())}
+
+    packed = _sets(docs, size, all_tokens, "tokens binary", only, rows, "fragment long, once binary, often binary, times binary")
+    return packed.groupBy("fragment").applyInArrow(tally, "token long, many boolean")
+
+
+def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total: int) -> DataFrame:
+    """``token, doc, n, first``: the n-grams of each prefix that may stand in another text, and how long the prefix is.
+
+    The order of n-grams: those in one text, those in a few, those in many, each by hash. ``total`` counts all n-grams of all texts.
+    """
+    fragment_bits = min(24, max(4, (total >> 20).bit_length()))
+    bits = min(MOST_BITS, max(20, (total >> 1).bit_length()))
+    classes = written(token_classes(docs, size, only, fragment_bits), "ngram-classes")
+    # bit sets of bounded size: n-grams that share a bit by chance only come later in the order, for all texts alike
     held = docs.sparkSession.sparkContext.broadcast(
-        (bit_set(counts, "token", BITS), bit_set(counts.filter(F.col("texts") > MANY), "token", BITS))
+        (bit_set(classes, "token", bits), bit_set(classes.filter("many"), "token", bits))
     )
 
     def rows(ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
         shared, many = held.value
         lengths = np.array([len(x) for x in sets])
         tokens = np.concatenate(sets)
-        counted = tokens < _COUNTED
-        late, meets = counted & in_bit_set(many, tokens), ~counted | in_bit_set(shared, tokens)
+        identity = _identity(tokens, fragment_bits)
+        meets = in_bit_set(shared, identity)
+        late = meets.astype(np.int8) + in_bit_set(many, identity)
         ends = np.cumsum(lengths)
-        out, of = [], []
+        out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         takes = lengths - (percent * lengths + 99) // 100 + 1
+        alone = np.concatenate([[0], np.cumsum(~meets)])
         for i, (a, b, take) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), takes.tolist(), strict=True)):
+            if alone[b] - alone[a] >= take:
+                continue  # the whole prefix stands in no other text
             order = np.argsort(late[a:b], kind="stable")[:take] + a
             order = order[meets[order]]
             out.append(tokens[order])
@@ -241,7 +302,8 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = sets.filter("n > 0").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     links = written(own.filter("a <> b").distinct(), "links")
     only = bit_set(classes, "doc", BITS)
-    prefix = written(prefixes(docs, size, percent, only), "prefixes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    prefix = written(prefixes(docs, size, percent, only, total), "prefixes")
     met = prefix.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("token")
     buckets = written(prefix.join(met, "token").withColumn("component", F.col("doc")), "buckets")
     found = links.limit(0)
