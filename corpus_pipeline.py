@@ -6,11 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import mixing, packing
+from tidegauge.llm import jaccard, mixing, packing, secrets, toxicity
 from tidegauge.llm.common import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the field finds toxic; it is fitted on the labelled ones among ``docs``."""
+    field = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, field)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that shares 0.8 of its five-word shingles, directly or over others."""
+    return jaccard.kept(docs, size=5, percent=80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind of a secret in its place."""
+    return secrets.redacted(docs)
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents, or leaves them out, as the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def to_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts documents into pieces and packs them; the result is a row for each piece."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("near copies", without_near_copies),
+    ("secrets", without_secrets),
+    ("mixing", to_target_weights),
+    ("packing", to_sequences),
+]
+
+# fitting and packing are beyond SQL
 ORACLE_SQL = None
 
 

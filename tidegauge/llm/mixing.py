@@ -181,3 +181,14 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -
         .join(F.broadcast(goals) if goals.count() <= 100_000 else goals, "key")
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of ``docs``, with all columns, as often as the mix takes them.
+
+    Rows that share an id are each taken as often as any of them, at most ``cap`` times. Rows with a null id or without words are
+    left out, as nothing of them is taken.
+    """
+    times = mixed(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_times_taken")).filter("_times_taken > 0")
+    joined = docs.join(times, "doc_id")
+    return joined.withColumn("_time_taken", F.explode(F.sequence(F.lit(1), F.col("_times_taken")))).select(*docs.columns)

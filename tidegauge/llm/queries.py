@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, jaccard, licenses, mixing, packing, quality, secrets, toxicity, warc
+from tidegauge.llm import chat, jaccard, licenses, mixing, packing, quality, secrets, toxicity, vectors, warc
 from tidegauge.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op4_vectors": op4_vectors,
     "op5_chat": op5_chat,
     "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
@@ -136,6 +141,17 @@ _QUALITY_SQL = (
     .replace("{gone}", str(100 - quality.LEFT_PCT))
 )
 
+_VECTORS_SQL = """
+with floors as (
+  select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as v, row_number() over () as nth from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (
+  select q.vec_id as query_id, q.nth, c.vec_id, cast(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]) as bigint) as score
+  from floors q join floors c on q.nth <> c.nth and len(q.v) = len(c.v) where q.vec_id % 100 = 0)
+select query_id, cast(place as int) as rank, vec_id, score from (
+  select *, row_number() over (partition by nth order by score desc, vec_id) as place from scores) where place <= 10
+"""
+
 # a digest's five-byte groups as eight letters each
 _WARC_SQL = """
 with rows as (select page_id, coalesce(html, '') as html from pages),
@@ -149,4 +165,4 @@ select page_id, payload_bytes,
 from named
 """
 
-ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op5_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
+ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op4_vectors": _VECTORS_SQL, "op5_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}

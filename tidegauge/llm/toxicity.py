@@ -302,9 +302,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
         model = Field(*held.value)
         for batch in sliced(batches, "text"):
             words = words_of(batch.column("text"), True, _LETTERS)
-            p = word_marginals(model, emitted(model, features(words)), words.firsts)
-            x = aggregates(p, words.firsts)
-            chance = 1 / (1 + np.exp(-np.clip(x @ model.score, -30, 30)))
+            chance, p = _chances(model, words)
             spans = [""] * batch.num_rows
             hits = np.flatnonzero(p >= 0.5)
             for row in np.unique(np.searchsorted(words.firsts, hits, "right") - 1).tolist():
@@ -317,6 +315,24 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, SCORED)
 
 
+def without_toxic(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs``, with all columns, that aren't predicted toxic. Null and empty texts stay."""
+    held = docs.sparkSession.sparkContext.broadcast(astuple(field))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Field(*held.value)
+        for batch in sliced(batches, "text"):
+            yield batch.filter(pa.array(_chances(model, words_of(batch.column("text"), True, _LETTERS))[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _chances(model: Field, words) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each text and the chance of each of its words."""
+    p = word_marginals(model, emitted(model, features(words)), words.firsts)
+    return 1 / (1 + np.exp(-np.clip(aggregates(p, words.firsts) @ model.score, -30, 30))), p
+
+
 def _spans(words, p: np.ndarray, row: int) -> str:
     """The toxic stretches of one text: neighbouring toxic words are one."""
     a, b = words.firsts[row], words.firsts[row + 1]
