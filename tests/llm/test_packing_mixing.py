@@ -102,10 +102,10 @@ def test_sources_come_near_their_targets(spark, documents):
     expected = _targets(sizes, mixing.WEIGHTS, mixing.CAP)
     assert len(found) == len(rows)
     assert (found.taken <= 3 * found["size"]).all() and (found.taken % found["size"].where(found["size"] > 0, 1) == 0).all()
-    by_target = found.groupby("target").taken.sum()
-    assert np.allclose(sorted(by_target.index), sorted(expected.values()))
-    for target, taken in by_target.items():
-        assert abs(taken - target) <= 60
+    goal = {sizes[s]: t for s, t in expected.items()}  # sizes differ here
+    assert len(goal) == len(sizes) and set(found.source_size) == set(goal)
+    for size, part in found.groupby("source_size"):
+        assert np.allclose(part.target, goal[size]) and abs(part.taken.sum() - goal[size]) <= 60
     assert np.isclose(sum(expected.values()), sum(sizes.values()))
     again = mixing.mixed(documents(rows)).toPandas()
     key = ["doc_id", "size", "taken"]
