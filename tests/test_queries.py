@@ -4,10 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
+from tidegauge.plans.oracle import ORACLE
+from tidegauge.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,14 @@ def test_same_rows_as_sql(spark, duck, name):
     assert compare.same(found, duck.sql(ORACLE[name]).to_arrow_table()) is None
 
 
-def test_every_query_but_the_progress_log_has_sql():
-    assert set(QUERIES) - set(ORACLE) == {"progress_log"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_entry_lists_all_queries():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE) <= set(entry_point.oracle_sql())

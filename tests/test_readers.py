@@ -9,19 +9,19 @@ from tidegauge.sources import readers
 
 APPS = [
     {
-        "id": "local-1519971222469",
-        "name": "StreamingBenchmark",
+        "id": "local-1700000123456",
+        "name": "gauge run",
         "attempts": [
             {
-                "startTime": "2018-03-02T06:13:41.287GMT",
+                "startTime": "2023-11-14T22:15:22.001GMT",
                 "endTime": "1969-12-31T23:59:59.999GMT",
-                "lastUpdated": "2018-03-02T06:13:41.287GMT",
+                "lastUpdated": "2023-11-14T22:15:22.001GMT",
                 "duration": 0,
                 "sparkUser": "someone",
                 "completed": False,
-                "startTimeEpoch": 1519971221287,
+                "startTimeEpoch": 1700000122001,
                 "endTimeEpoch": -1,
-                "lastUpdatedEpoch": 1519971221287,
+                "lastUpdatedEpoch": 1700000122001,
             }
         ],
     }
@@ -31,14 +31,14 @@ APPS = [
 def test_applications(spark):
     df = spark.createDataFrame([(1, json.dumps(APPS)), (2, "[]"), (3, "junk")], "fetch_id int, payload string")
     rows = readers.app_records(df).collect()
-    assert [(r.fetch_id, r.app_id, r.completed, r.endTimeEpoch) for r in rows] == [(1, "local-1519971222469", False, -1)]
+    assert [(r.fetch_id, r.app_id, r.completed, r.endTimeEpoch) for r in rows] == [(1, "local-1700000123456", False, -1)]
 
 
 def batch(number, second, status, **more):
-    return {"batchId": number, "batchTime": f"2018-03-02T06:26:{second:02d}.000GMT", "status": status, **more}
+    return {"batchId": number, "batchTime": f"2023-11-14T22:20:{second:02d}.000GMT", "status": status, **more}
 
 
-T0 = 1519971960  # 06:26:00
+T0 = 1700000400  # 22:20:00
 
 
 def fetches(spark):
@@ -70,14 +70,14 @@ def test_unfinished_batches(spark):
 
 def test_last_pause_of_a_second_stays(spark):
     rows = [
-        (1, 7, "2018-04-29 08:41:40 INFO  FileInputDStream:54 - Finding new files took 53 ms"),
-        (2, 7, "2018-04-29 08:41:40 INFO  FileInputDStream:54 - Finding new files took 99 ms"),
-        (3, 7, "2018-04-29 08:41:41 INFO  Other:54 - Finding new files took 1 ms"),
-        (4, 7, "2018-04-29 08:41:42 INFO  FileInputDStream:54 - something else"),
+        (1, 7, "2023-05-06 07:08:10 INFO  FileInputDStream:54 - Finding new files took 61 ms"),
+        (2, 7, "2023-05-06 07:08:10 INFO  FileInputDStream:54 - Finding new files took 99 ms"),
+        (3, 7, "2023-05-06 07:08:11 INFO  Other:54 - Finding new files took 1 ms"),
+        (4, 7, "2023-05-06 07:08:12 INFO  FileInputDStream:54 - something else"),
         (5, 7, "Finding new files took 7 ms"),
     ]
     df = spark.createDataFrame(rows, "line_no bigint, run_id bigint, line string")
-    assert [(r.ts, r.pause_ms) for r in telemetry.listing_pauses(df).collect()] == [(1524991300, 99)]
+    assert [(r.ts, r.pause_ms) for r in telemetry.listing_pauses(df).collect()] == [(1683356890, 99)]
 
 
 def test_slow_listing_needs_more_than_two(spark):
@@ -88,18 +88,18 @@ def test_slow_listing_needs_more_than_two(spark):
 
 
 def test_statistics_payload(spark):
-    body = {"startTime": "2018-03-02T06:26:10.544GMT", "batchDuration": 1000, "numProcessedRecords": 28, "avgInputRate": 0.9655172413793104, "avgSchedulingDelay": 5, "avgProcessingTime": 122}
+    body = {"startTime": "2023-11-14T22:20:00.250GMT", "batchDuration": 1000, "numProcessedRecords": 19, "avgInputRate": 0.95, "avgSchedulingDelay": 7, "avgProcessingTime": 110}
     row = readers.statistics_records(spark.createDataFrame([(1, json.dumps(body))], "fetch_id int, payload string")).first()
-    assert (row.batchDuration, row.numProcessedRecords, row.avgInputRate, row.avgTotalDelay) == (1000, 28, 0.9655172413793104, None)
+    assert (row.batchDuration, row.numProcessedRecords, row.avgInputRate, row.avgTotalDelay) == (1000, 19, 0.95, None)
 
 
-def test_run_statistics_of_the_known_sample(spark):
-    rows = [(1, 100 + i, "COMPLETED", 0 if i == 0 else 1, 5, 122) for i in range(29)] + [(1, 200, "PROCESSING", 9, 9, 9)]
+def test_run_statistics_of_a_steady_run(spark):
+    rows = [(1, 100 + i, "COMPLETED", 0 if i == 0 else 1, 7, 110) for i in range(20)] + [(1, 200, "PROCESSING", 9, 9, 9)]
     df = spark.createDataFrame(rows, "run_id bigint, batch_ts bigint, status string, records bigint, scheduling_ms bigint, processing_ms bigint")
     row = telemetry.run_statistics(df, batch_sec=1).first()
-    assert (row.completed_batches, row.processed_records, row.active_batches) == (29, 28, 1)
-    assert row.avg_input_rate == 0.9655172413793104
-    assert (row.avg_scheduling_ms, row.avg_processing_ms, row.avg_total_ms) == (5, 122, 127)
+    assert (row.completed_batches, row.processed_records, row.active_batches) == (20, 19, 1)
+    assert row.avg_input_rate == 0.95
+    assert (row.avg_scheduling_ms, row.avg_processing_ms, row.avg_total_ms) == (7, 110, 117)
 
 
 def test_run_statistics_without_a_completed_batch(spark):
@@ -116,7 +116,7 @@ def test_delay_stats_of_one_delay_have_no_spread(spark):
 
 def test_benchmark_rows_and_durations(spark):
     lines = [
-        "benchmarking,benchmark_full_pipeline,full,,1517925196.327163,1517925292.111895,95.78473210334778,-1",
+        "benchmarking,benchmark_full_pipeline,full,,1600000000.25,1600000080.75,80.5,-1",
         "benchmarking,simulator_no_flask,prepared_to_stream,,1,2,5.5,-1",
         "noise",
         "benchmarking,benchmark_full_pipeline,full,,1,2,1.0,-1",
@@ -125,12 +125,12 @@ def test_benchmark_rows_and_durations(spark):
     rows = [(i, 1, 4, line) for i, line in enumerate(lines)] + [(9, 2, 5, lines[0])]
     parsed = readers.bench_rows(spark.createDataFrame(rows, "line_no bigint, run_id bigint, container_count int, line string"))
     first = parsed.where("line_no = 0").first()
-    assert (first.duration_secs, first.description, first.number_of_bytes) == ("95.78473210334778", "", "-1")
+    assert (first.duration_secs, first.description, first.number_of_bytes) == ("80.5", "", "-1")
     assert parsed.where("line_no = 4").first().duration_secs is None
     got = scaling.run_durations(parsed).collect()
-    assert [(r.run_id, r.total, r.prepare) for r in got] == [(1, 95.78473210334778, 5.5)]
+    assert [(r.run_id, r.total, r.prepare) for r in got] == [(1, 80.5, 5.5)]
     back = readers.result_rows(scaling.printed_results(scaling.run_durations(parsed))).first()
-    assert (back.total, back.prepare, back.container_count) == (95.78473210334778, 5.5, 4)
+    assert (back.total, back.prepare, back.container_count) == (80.5, 5.5, 4)
 
 
 def test_control_messages_merge_over_defaults(spark):

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_generated_stream_feeds_a_live_query_and_its_progress(spark, tmp_path):
-    log = progress.ProgressLog()
+    log = progress.ProgressLog(spark, str(tmp_path / "events"))
     spark.streams.addListener(log)
     try:
         stream = generate.message_stream(spark, rows_per_batch=50, message_bytes=100, partitions=2)
@@ -24,21 +24,18 @@ def test_generated_stream_feeds_a_live_query_and_its_progress(spark, tmp_path):
         while (query.lastProgress is None or query.lastProgress["batchId"] < 2) and time.time() < deadline:
             time.sleep(0.2)
         query.stop()
-        for _ in range(50):
-            if "terminated" in [e["kind"] for e in log._events]:
-                break
-            time.sleep(0.2)
+        log.wait_for([query])
     finally:
         spark.streams.removeListener(log)
     kept = sinks.kept_batches(spark, str(tmp_path / "out")).collect()
     assert len(kept) >= 2 and all((r.n, r.cost_ms) == (50, 50 * 20) for r in kept)
-    records = log.records(spark, interval_sec=1).collect()
+    records = log.records(interval_sec=1).collect()
     assert len(records) >= 2 and all(r.total_delay_ms == r.scheduling_ms + r.processing_ms for r in records)
-    assert {"started", "progress", "terminated"} <= {r.kind for r in log.events(spark).collect()}
+    assert {"started", "progress", "terminated"} <= {r.kind for r in log.events().collect()}
 
 
 def test_terminated_event_holds_the_error(spark, tmp_path):
-    log = progress.ProgressLog()
+    log = progress.ProgressLog(spark, str(tmp_path / "events"))
     spark.streams.addListener(log)
     try:
         def fail(batch, batch_id):
@@ -48,14 +45,27 @@ def test_terminated_event_holds_the_error(spark, tmp_path):
         query = runs.start_live(sinks.for_each_batch(stream, fail), str(tmp_path / "check"), interval_sec=1)
         with pytest.raises(Exception, match="broken action"):
             query.awaitTermination(60)
-        for _ in range(50):
-            ended = [e for e in log._events if e["kind"] == "terminated"]
-            if ended:
-                break
-            time.sleep(0.2)
+        log.wait_for([query])
     finally:
         spark.streams.removeListener(log)
-    assert "broken action" in ended[0]["body"]
+    ended = log.events().where("kind = 'terminated'").collect()
+    assert "broken action" in ended[0].body
+
+
+def test_lag_of_a_batch_that_starts_late(spark):
+    starts = [("00:00:00", 0, 27_000), ("00:00:27", 1, 100), ("00:00:30", 2, 100)]
+    rows = [
+        (f'{{"id":"q","batchId":{n},"timestamp":"2024-01-01T{t}.000Z","numInputRows":1,"durationMs":{{"triggerExecution":{ms}}}}}',)
+        for t, n, ms in starts
+    ]
+    found = progress.progress_records(spark.createDataFrame(rows, "body string"), interval_sec=5).orderBy("batch_id").collect()
+    assert [(r.scheduling_ms, r.total_delay_ms) for r in found] == [(0, 27_000), (22_000, 22_100), (0, 100)]
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    feed = spark.createDataFrame([], epochs.OBSERVATIONS)
+    with pytest.raises(FileNotFoundError):
+        epochs.EpochOutcomes(str(tmp_path))(feed, 3)
 
 
 def test_line_stream_sees_names_and_skips_hidden_files(spark, tmp_path):

@@ -30,9 +30,8 @@ def render_header(cost: Column, name: Column) -> Column:
 
 
 def pad_message(header: Column, size: Column, padding: str = settings.PADDING) -> Column:
-    """Header padded to ``size`` characters; NULL for sizes that cannot hold it exactly."""
-    fits = (size >= F.length(header)) & (size <= settings.MAX_MESSAGE_BYTES)
-    return F.when(fits, F.rpad(header, size.cast("int"), padding))
+    """Header padded to ``size`` characters; NULL for sizes below the header's, or beyond what a text can have."""
+    return F.when(size >= F.length(header), F.rpad(header, size.try_cast("int"), padding))
 
 
 def file_name(unix_sec: Column, counter: Column) -> Column:

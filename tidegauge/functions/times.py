@@ -24,7 +24,7 @@ def ceil_seconds(us: Column) -> Column:
 def batch_time_seconds(text: Column) -> Column:
     """Unix seconds of ``yyyy-MM-ddTHH:mm:ss.000GMT``; other fractions and zones give NULL."""
     whole = text.like("____-__-__T__:__:__.000GMT") | text.like("____-__-__T__:__:__.000UTC")
-    return F.unix_seconds(F.when(whole, F.substring(text, 1, 19).try_cast("timestamp")))
+    return F.unix_seconds(F.when(whole, F.concat(F.substring(text, 1, 19), F.lit("Z")).try_cast("timestamp")))
 
 
 def log_time_seconds(text: Column) -> Column:
@@ -32,4 +32,4 @@ def log_time_seconds(text: Column) -> Column:
 
     The shape is tested first and the cast reads it, which is much cheaper than a parser for a format.
     """
-    return F.unix_seconds(F.when(text.like("____-__-__ __:__:__"), text.try_cast("timestamp")))
+    return F.unix_seconds(F.when(text.like("____-__-__ __:__:__"), F.concat(text, F.lit("Z")).try_cast("timestamp")))

@@ -95,11 +95,10 @@ def rejected_settings(df: DataFrame) -> DataFrame:
 
 
 def roundtrip_check(messages: DataFrame) -> DataFrame:
-    """Per size: messages, and how many have a wrong length (with line end) or a wrong cost on reading back."""
-    stored = F.length("line") + F.lit(1)
+    """Per size: messages, and how many have a wrong number of bytes or a wrong cost on reading back."""
     checked = messages.select(
         "message_bytes",
-        (stored == F.col("message_bytes") + 1).alias("length_ok"),
+        (F.octet_length("line") == F.col("message_bytes")).alias("length_ok"),
         msg.cost_ms(F.col("line")).eqNullSafe(F.col("cpu_pause_ms")).alias("cost_ok"),
     )
     return checked.groupBy("message_bytes").agg(

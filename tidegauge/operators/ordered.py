@@ -148,20 +148,3 @@ def previous(
         parts=parts,
         min_rows=min_rows,
     )
-
-
-def running_totals(
-    df: DataFrame, series: Series, values: dict[str, Column], parts: int = PARTS, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """Adds for each value its sum from the start of the series to the current row."""
-    helper = {name: f"_value_{name}" for name in values}
-    return _over(
-        df,
-        series,
-        columns={helper[n]: c for n, c in values.items()},
-        ends={h: F.sum(h) for h in helper.values()},
-        carried={h: F.sum(h) for h in helper.values()},
-        results={n: _so_far(F.sum(helper[n])) for n in values},
-        parts=parts,
-        min_rows=min_rows,
-    )

@@ -22,19 +22,27 @@ def completed_delays(records: DataFrame) -> DataFrame:
     """run_id, batch_ts, delay_ms of completed batches; over repeated fetches the first value stays."""
     return (
         records.where((F.col("status") == "COMPLETED") & is_known_delay(F.col("total_delay_ms")))
+        .where(F.col("batch_ts").isNotNull())  # times that don't parse belong to no batch
         .groupBy("run_id", "batch_ts")
         .agg(F.min_by("total_delay_ms", "fetch_id").alias("delay_ms"))
     )
 
 
 def unfinished_batches(records: DataFrame, now: Column) -> DataFrame:
-    """Per run: queued batches, whether they pile up, and the age of the oldest batch in progress."""
+    """Per run, in its newest fetch: queued batches, whether they pile up, and the age of the oldest batch in progress.
+
+    Earlier fetches say how things stood then; what they list as queued or in progress may be done by now.
+    """
     age = F.when(F.col("status") == "PROCESSING", now - F.col("batch_ts"))
-    queued = F.count_if(F.col("status") == "QUEUED")
-    return records.groupBy("run_id").agg(
-        queued.alias("queued"),
-        (queued > 1).alias("has_backlog"),
-        F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.max(age), F.lit(0))).alias("in_process_sec"),
+    fetches = records.groupBy("run_id", "fetch_id").agg(
+        F.struct(F.count_if(F.col("status") == "QUEUED").alias("queued"), F.max(age).alias("age")).alias("found")
+    )
+    newest = fetches.groupBy("run_id").agg(F.max_by("found", "fetch_id").alias("found"))
+    return newest.select(
+        "run_id",
+        F.col("found.queued").alias("queued"),
+        (F.col("found.queued") > 1).alias("has_backlog"),
+        F.greatest(F.lit(0).cast("bigint"), F.coalesce("found.age", F.lit(0))).alias("in_process_sec"),
     )
 
 
@@ -56,6 +64,7 @@ def listing_pauses(lines: DataFrame) -> DataFrame:
         .select(
             "run_id", F.col("timestamp_unix").alias("ts"), "line_no", logs.first_integer(F.col("message")).alias("ms")
         )
+        .where(F.col("ts").isNotNull())
         .groupBy("run_id", "ts")
         .agg(F.max_by("ms", "line_no").alias("pause_ms"))
     )
@@ -109,15 +118,17 @@ def ordered_delays(delays: DataFrame) -> DataFrame:
 
 
 def run_statistics(batches: DataFrame, batch_sec: int) -> DataFrame:
-    """Per run: batch and record counts, records per second, and whole-millisecond averages of the delays.
+    """Per run: batch and record counts, records per second, and whole-millisecond averages of the known delays.
 
-    Needs status, records, scheduling_ms, processing_ms; the total delay is the sum of the last two.
+    Needs status, records, scheduling_ms, processing_ms; the total delay is the sum of the last two. A batch without
+    a delay counts as a batch, but not in the averages.
     """
     done = F.col("status") == "COMPLETED"
     count = F.count_if(done)
 
     def average(column: Column) -> Column:
-        return F.floor(F.try_divide(F.sum(F.when(done, column)), count)).cast("bigint")
+        known = F.when(done, column)
+        return F.floor(F.try_divide(F.sum(known), F.count(known))).cast("bigint")
 
     records = F.coalesce(F.sum(F.when(done, F.col("records"))), F.lit(0))
     return batches.groupBy("run_id").agg(

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tidegauge.operators.counts import batch_start
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
 def words_of(line: Column) -> Column:
     return F.split(line, " ", -1)
 

@@ -162,7 +162,7 @@ BODIES = {
           cast(split_part(regexp_extract(line, '^C([0-9]{6})-F([^-]+)-', 2), '_', 1) as bigint) as name_s
         from messages""",
     "roundtrip_check": """
-        select message_bytes, count(*) as messages, count(*) filter (where length(line) <> message_bytes) as bad_length,
+        select message_bytes, count(*) as messages, count(*) filter (where octet_length(encode(line)) <> message_bytes) as bad_length,
           count(*) filter (where try_cast(substring(line, 2, 6) as int) is distinct from cpu_pause_ms) as bad_cost
         from messages group by message_bytes""",
     "message_filenames": "select event_id, ev_name as name from ev",
@@ -238,7 +238,7 @@ BODIES = {
         select run_id, count(*) filter (where status = 'QUEUED') as queued,
           count(*) filter (where status = 'QUEUED') > 1 as has_backlog,
           greatest(0, coalesce(max({_NOW} - batch_ts) filter (where status = 'PROCESSING'), 0)) as in_process_sec
-        from batches group by run_id""",
+        from batches where (run_id, batch_id) in (select (run_id, max(batch_id)) from batches group by run_id) group by run_id""",
     "post_warmup_delays": """
         select d.run_id, d.batch_ts, d.delay_ms, c.us as change_us, c.frequency from delays d
         asof join changes c on d.run_id = c.run_id and d.batch_ts * 1000000 >= c.us
@@ -262,12 +262,12 @@ BODIES = {
           coalesce(sum(batch_id % 100) filter (where status = 'COMPLETED'), 0)::double
             / nullif(count(*) filter (where status = 'COMPLETED') * 5, 0) as avg_input_rate,
           cast(sum(total_delay_ms // 25) filter (where status = 'COMPLETED')
-            // nullif(count(*) filter (where status = 'COMPLETED'), 0) as bigint) as avg_scheduling_ms,
+            // nullif(count(total_delay_ms) filter (where status = 'COMPLETED'), 0) as bigint) as avg_scheduling_ms,
           cast(sum(total_delay_ms - total_delay_ms // 25) filter (where status = 'COMPLETED')
-            // nullif(count(*) filter (where status = 'COMPLETED'), 0) as bigint) as avg_processing_ms,
+            // nullif(count(total_delay_ms) filter (where status = 'COMPLETED'), 0) as bigint) as avg_processing_ms,
           cast(sum(total_delay_ms) filter (where status = 'COMPLETED')
-            // nullif(count(*) filter (where status = 'COMPLETED'), 0) as bigint) as avg_total_ms
-        from batches where total_delay_ms is not null group by run_id""",
+            // nullif(count(total_delay_ms) filter (where status = 'COMPLETED'), 0) as bigint) as avg_total_ms
+        from batches group by run_id""",
     "param_patches": """
         select event_id, run_id, coalesce(last_value(cost ignore nulls) over w, 20) as cpu_pause_ms,
           coalesce(last_value(bytes ignore nulls) over w, 200) as message_bytes,
@@ -302,6 +302,9 @@ BODIES = {
     "foreach_batch_counts": """
         select quarter as batch_id, count(*) as n, cast(sum(cpu_pause_ms) as bigint) as cost_ms
         from messages m join quarters q on m.msg_id = q.event_id group by quarter""",
+    "progress_log": """
+        select cast(quarter // 2 as bigint) as batch_id, 'COMPLETED' as status, count(*) as records, true as adds_up
+        from messages m join quarters q on m.msg_id = q.event_id group by quarter // 2""",
     "stream_line_count": "select count(*) as n from messages",
     "stream_word_count": """
         select batch_id, word, count(*) as n

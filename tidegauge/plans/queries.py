@@ -251,7 +251,6 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scheduling = F.floor(F.col("total_delay_ms") / 25).cast("bigint")
     timed = (
         _records(spark, sf_dir)
-        .where(F.col("total_delay_ms").isNotNull())
         .withColumns(
             {
                 "records": F.col("batch_id") % 100,

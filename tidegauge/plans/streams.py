@@ -157,16 +157,23 @@ def stream_clean_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch records of the micro-batches of a stream over all messages."""
+    """Batch records of the micro-batches with messages of a stream over all messages; wall times are only checked to add up."""
     root = scratch_dir(spark, "progress")
-    queries = runs.replay(
-        _message_slices(spark, sf_dir, 2),
-        _deliver_lines(root),
-        lambda: sinks.count_batches(_line_stream(spark, root), f"{root}/out"),
-        f"{root}/checkpoint",
-    )
-    found = [progress.progress_json(p) for q in queries for p in q.recentProgress]
-    return progress.progress_records(spark, found)
+    log = progress.ProgressLog(spark, f"{root}/events")
+    spark.streams.addListener(log)
+    try:
+        queries = runs.replay(
+            _message_slices(spark, sf_dir, 2),
+            _deliver_lines(root),
+            lambda: sinks.count_batches(_line_stream(spark, root), f"{root}/out"),
+            f"{root}/checkpoint",
+        )
+        log.wait_for(queries)
+    finally:
+        spark.streams.removeListener(log)
+    found = log.records(settings.BATCH_INTERVAL_SEC).where(F.col("run_id").isin([str(q.id) for q in queries]))
+    adds_up = (F.col("total_delay_ms") == F.col("scheduling_ms") + F.col("processing_ms")) & (F.col("processing_ms") > 0)
+    return found.where("records > 0").select("batch_id", "status", "records", adds_up.alias("adds_up"))
 
 
 def stream_epoch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

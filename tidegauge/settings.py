@@ -23,9 +23,6 @@ RUN_STAMP_FORMAT = "%Y_%m_%d__%H_%M_%S"
 # Our own fixed padding; message content carries no meaning.
 PADDING = "abcdefghijklmnopqrstuvwxyz0123456789"
 
-# A message longer than this cannot be padded in full, so such sizes are rejected.
-MAX_MESSAGE_BYTES = 102_400_000
-
 # Telemetry this close to a change of rate still shows the old rate.
 WARMUP_SEC = 3 + 2 * BATCH_INTERVAL_SEC
 

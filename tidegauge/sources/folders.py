@@ -35,7 +35,9 @@ def newest_modified(spark: SparkSession, path: str) -> int:
     return max(s.getModificationTime() for s in fs.listStatus(target) if s.isFile())
 
 
-def total_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of a file, or of everything below a folder."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small new file."""
     fs, target = _open(spark, path)
-    return fs.getContentSummary(target).getLength()
+    out = fs.create(target, False)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -119,7 +119,9 @@ class EpochOutcomes:
         spark = feed.sparkSession
         rows = _timeline(feed)
         before = None
-        if batch_id > 0 and folders.exists(spark, self._path("state", batch_id - 1)):
+        if batch_id > 0:
+            if not folders.exists(spark, self._path("state", batch_id - 1)):
+                raise FileNotFoundError(f"the state of micro-batch {batch_id - 1} is missing: {self.folder}")
             before = spark.read.schema(STATE).parquet(self._path("state", batch_id - 1))
             seen = before.select("run_id", F.col("last_sec").alias("_seen"))
             is_new = (F.col("kind") == dec.CHANGE) | F.col("_seen").isNull() | (F.col("sec") > F.col("_seen"))

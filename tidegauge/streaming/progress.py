@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import json
-from collections import deque
+import time
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from tidegauge.sources import folders
 
 PROGRESS = (
     "id string, runId string, name string, batchId bigint, timestamp timestamp, numInputRows bigint, "
     "durationMs map<string, bigint>"
 )
+EVENTS = "kind string, run_id string, body string"
 
 
-def progress_records(spark: SparkSession, progress: Iterable[str], interval_sec: float | None = None) -> DataFrame:
-    """Batch records from progress JSON: total delay = scheduling (lag behind the trigger) + processing.
+def progress_records(events: DataFrame, interval_sec: float | None = None) -> DataFrame:
+    """Batch records from progress JSON (``body``): total delay = scheduling (lag behind the trigger) + processing.
 
-    ``interval_sec`` is the trigger interval; without one, batches start when data is there and have no lag.
+    ``interval_sec`` is the trigger interval: a batch is due one interval after the slot in which the one before it
+    started, and lags by what it starts later. Without an interval, batches start when data is there and have no lag.
     """
-    raw = spark.createDataFrame([(p,) for p in progress], "body string")
-    p = raw.select(F.from_json("body", PROGRESS).alias("p")).select("p.*")
+    p = events.select(F.from_json("body", PROGRESS).alias("p")).select("p.*")
     started_ms = F.unix_millis("timestamp")
-    lag = started_ms % F.lit(int(interval_sec * 1000)) if interval_sec else F.lit(0).cast("bigint")
+    lag = F.lit(0).cast("bigint")
+    if interval_sec:
+        interval_ms = F.lit(int(interval_sec * 1000)).cast("bigint")
+        # one row for each micro-batch of a query
+        before = F.lag(started_ms - started_ms % interval_ms).over(Window.partitionBy("id").orderBy("batchId", "timestamp"))
+        lag = F.greatest(F.lit(0).cast("bigint"), F.coalesce(started_ms - before - interval_ms, F.lit(0)))
     processing = F.coalesce(F.get(F.map_values(F.map_filter("durationMs", lambda k, _: k == "triggerExecution")), 0), F.lit(0))
     return p.select(
         F.col("id").alias("run_id"),
@@ -39,35 +48,39 @@ def progress_records(spark: SparkSession, progress: Iterable[str], interval_sec:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the newest events of all queries of a session: started, progress, idle, terminated (with its error)."""
+    """Writes every event of all queries of a session to a folder: started, progress, idle, terminated (with its error)."""
 
-    def __init__(self, keep: int = 10_000):
-        self._events: deque[dict] = deque(maxlen=keep)
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._ended: set[str] = set()
 
-    def _add(self, kind: str, event, **fields) -> None:
-        self._events.append({"kind": kind, "run_id": str(event.runId), **fields})
+    def _add(self, kind: str, event, body: str | None) -> None:
+        row = json.dumps({"kind": kind, "run_id": str(event.runId), "body": body})
+        folders.write_text(self._spark, f"{self._folder}/{uuid.uuid4().hex}.json", row + "\n")
 
     def onQueryStarted(self, event) -> None:
-        self._add("started", event, body=event.timestamp)
+        self._add("started", event, event.timestamp)
 
     def onQueryProgress(self, event) -> None:
-        progress = event.progress
-        self._events.append({"kind": "progress", "run_id": str(progress.runId), "body": progress.json})
+        self._add("progress", event.progress, event.progress.json)
 
     def onQueryIdle(self, event) -> None:
-        self._add("idle", event, body=event.timestamp)
+        self._add("idle", event, event.timestamp)
 
     def onQueryTerminated(self, event) -> None:
-        self._add("terminated", event, body=event.exception)
-
-    def events(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([dict(e) for e in self._events], "kind string, run_id string, body string")
-
-    def records(self, spark: SparkSession, interval_sec: float | None = None) -> DataFrame:
-        found = [e["body"] for e in list(self._events) if e["kind"] == "progress"]
-        return progress_records(spark, found, interval_sec)
-
-
-def progress_json(progress) -> str:
-    """JSON text of one progress entry of a query, whichever form Spark gives it in."""
-    return progress.json if hasattr(progress, "json") else json.dumps(progress)
+        self._add("terminated", event, event.exception)
+        self._ended.add(str(event.runId))
+
+    def wait_for(self, queries: Iterable[StreamingQuery], seconds: float = 60) -> None:
+        """Waits until the end of every one of these queries is written; events arrive a little later than they happen."""
+        runs, until = {str(q.runId) for q in queries}, time.monotonic() + seconds
+        while runs - self._ended:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no event of the end of {runs - self._ended}")
+            time.sleep(0.05)
+
+    def events(self) -> DataFrame:
+        return self._spark.read.schema(EVENTS).json(self._folder)
+
+    def records(self, interval_sec: float | None = None) -> DataFrame:
+        return progress_records(self.events().where("kind = 'progress'"), interval_sec)

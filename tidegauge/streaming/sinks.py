@@ -55,11 +55,13 @@ def cost_per_batch(stream: DataFrame, table: str, line: str = "line") -> DataStr
 def publish_messages(lines: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Appends lines as text files. Readers see a file only once it is complete.
 
-    Files are evened out first: small ones are merged, and a name that holds most lines is split over several.
+    With ``by``, rows are rebalanced by those columns first, so each name gets few files and one that holds most lines is split
+    over several; without, every task writes its own lines.
     """
-    even = lines.hint("rebalance", *[F.col(c) for c in by or []])
-    writer = even.write.mode("append")
-    (writer.partitionBy(*by) if by else writer).text(path)
+    if by:
+        lines.hint("rebalance", *[F.col(c) for c in by]).write.mode("append").partitionBy(*by).text(path)
+    else:
+        lines.write.mode("append").text(path)
 
 
 def run_stamp(started: datetime) -> str:
@@ -68,8 +70,8 @@ def run_stamp(started: datetime) -> str:
 
 
 def append_results(results: DataFrame, path: str, stamp: str) -> None:
-    """Appends result rows as JSON lines, in a folder per run stamp."""
-    results.withColumn("run_stamp", F.lit(stamp)).write.mode("append").partitionBy("run_stamp").json(path)
+    """Adds result rows as JSON lines in the folder of the run's stamp; a repeat under the same stamp replaces them."""
+    results.write.mode("overwrite").json(f"{path}/run_stamp={stamp}")
 
 
 def kept_batches(spark: SparkSession, table: str) -> DataFrame:
