@@ -25,7 +25,7 @@ BITS = 26  # log of the bits in a set of documents that goes to every task
 MOST_BITS = 30  # the same for sets of n-grams, which have a bit for every two n-grams up to this bound
 HELD = 1 << 21  # n-grams that a task counts at a time
 FRAGMENTS = 4
-STARS = 3
+STARS = 2  # rounds in which documents of a bucket meet a leader only
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -269,19 +269,19 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 def components(links: DataFrame) -> DataFrame:
     """``doc, component`` for every end of a link (a written table ``a, b``): the least id that links reach.
 
-    Every node takes the least label around it, then the label of its label, until nothing changes.
+    Every node takes the least of the labels around it and the label of its own label, until nothing changes.
     """
     edges = links.select(F.col("a").alias("doc"), F.col("b").alias("other")).union(links.select(F.col("b").alias("doc"), F.col("a").alias("other")))
     edges = written(edges.distinct(), "edges")
     labels = written(edges.groupBy("doc").agg(F.least(F.min("doc"), F.min("other")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("doc", "other").withColumnRenamed("component", "near"), "other")
-        near = near.groupBy("doc").agg(F.min("near").alias("near"))
-        step = labels.join(near, "doc").select("doc", F.least("component", "near").alias("next"), F.col("component").alias("old"))
-        step = written(step, "labels")
-        far = step.select(F.col("doc").alias("next"), F.col("next").alias("far"))
-        moved = step.join(far, "next", "left").select("doc", F.coalesce("far", "next").alias("component"), "old")
-        moved = written(moved, "labels")
+        around = edges.join(labels.select(F.col("doc").alias("other"), F.col("component").alias("near")), "other")
+        near = around.groupBy("doc").agg(F.min("near").alias("near"))
+        far = labels.select(F.col("doc").alias("component"), F.col("component").alias("far"))
+        step = labels.join(near, "doc").join(far, "component").select(
+            "doc", F.least("near", "far").alias("next"), F.col("component").alias("old")
+        )
+        moved = written(step.select("doc", F.least("next", "old").alias("component"), "old"), "labels")
         labels = moved.select("doc", "component")
         if moved.filter("component <> old").isEmpty():
             return labels
