@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bit_set, in_bit_set, written
@@ -24,13 +24,10 @@ MANY = 32  # an n-gram in more texts stands last in the order
 BITS = 26  # log of the bits in a set of documents that goes to every task
 MOST_BITS = 30  # the same for sets of n-grams, which have a bit for every two n-grams up to this bound
 HELD = 1 << 21  # n-grams that a task counts at a time
-FRAGMENTS = 4
-STARS = 2  # rounds in which documents of a bucket meet a leader only
-
-
-def _least_overlap(a: Column, b: Column, percent: int) -> Column:
-    """The overlap that sets of these sizes need."""
-    return F.ceil(percent * (a + b) / F.lit(100 + percent))
+FRAGMENT = 4096  # n-grams of the largest set in a fragment of the order, about
+BLOCK = 512  # documents of a bucket that meet another such block in one task
+STARS = 3  # rounds in which documents of a bucket meet leaders only
+TRIES = 8  # leaders of a document from large buckets in one round
 
 
 def _sets(
@@ -137,7 +134,8 @@ def token_classes(docs: DataFrame, size: int, only: np.ndarray, fragment_bits: i
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total: int) -> DataFrame:
-    """``token, doc, n, first``: the n-grams of each prefix that may stand in another text, and how long the prefix is.
+    """``token, doc, n, first, shares``: the n-grams of each prefix that may stand in another text, how long the prefix is, and all
+    such n-grams of it.
 
     The order of n-grams: those in one text, those in a few, those in many, each by hash. ``total`` counts all n-grams of all texts.
     """
@@ -158,6 +156,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
         late = meets.astype(np.int8) + in_bit_set(many, identity)
         ends = np.cumsum(lengths)
         out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        shares: dict[int, bytes] = {}
         takes = lengths - (percent * lengths + 99) // 100 + 1
         alone = np.concatenate([[0], np.cumsum(~meets)])
         for i, (a, b, take) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), takes.tolist(), strict=True)):
@@ -165,6 +164,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
                 continue  # the whole prefix stands in no other text
             order = np.argsort(late[a:b], kind="stable")[:take] + a
             order = order[meets[order]]
+            shares[i] = np.sort(tokens[order].view(np.int64)).tobytes()
             out.append(tokens[order])
             of.append(np.full(len(order), i))
         of = np.concatenate(of)
@@ -173,9 +173,10 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
             "doc": pa.array(np.array(ids, np.int64)[of]),
             "n": pa.array(lengths[of].astype(np.int64)),
             "first": pa.array(takes[of].astype(np.int64)),
+            "shares": pa.array([shares[i] for i in of.tolist()], pa.binary()),
         }
 
-    return _sets(docs, size, rows, "token long, doc long, n long, first long", only)
+    return _sets(docs, size, rows, "token long, doc long, n long, first long, shares binary", only)
 
 
 def _alike_size(percent: int) -> Column:
@@ -183,58 +184,95 @@ def _alike_size(percent: int) -> Column:
 
 
 def _leaders(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """``a, b``: for each document the leader of another component whom it meets in most of its buckets.
+    """``a, b``: for each document leaders of other components whom it meets in most of its buckets.
 
-    The leader of a bucket has the least of a random order that changes with ``turn``.
+    The leader of a bucket has the least of a random order that changes with ``turn``. Documents of large buckets, which may be
+    near copies of one text that are alike only here and there, get a leader from each such bucket, up to TRIES; the others get one.
     """
-    order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("nth"), "doc", "n", "component")
-    leaders = buckets.groupBy("token").agg(F.min(order).alias("leader"))
-    leaders = leaders.select(
+
+    def least(*of) -> Column:
+        return F.min(F.struct(F.xxhash64("doc", *of, F.lit(turn)).alias("nth"), "doc", "n", "component"))
+
+    found = buckets.groupBy("token").agg(
+        (F.count("*") > MANY).alias("large"), least().alias("usual"), least("token").alias("own")
+    )
+    leader = F.when(F.col("large"), F.col("own")).otherwise(F.col("usual"))
+    leaders = found.select(
         "token",
-        F.col("leader.doc").alias("doc2"),
-        F.col("leader.n").alias("n2"),
-        F.col("leader.component").alias("component2"),
+        "large",
+        leader["doc"].alias("doc2"),
+        leader["n"].alias("n2"),
+        leader["component"].alias("component2"),
     )
     met = buckets.join(leaders, "token").filter(F.col("component") != F.col("component2")).filter(_alike_size(percent))
-    counts = met.groupBy("doc", "doc2").agg(F.count("*").alias("times"))
-    best = counts.groupBy("doc").agg(F.max(F.struct("times", "doc2")).alias("best"))
-    return best.select(F.col("doc").alias("a"), F.col("best.doc2").alias("b"))
+    counts = met.groupBy("doc", "doc2").agg(F.count("*").alias("times"), F.max("large").alias("large"))
+    # one document meets at most as many leaders as its prefix has n-grams
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("times").desc(), "doc2"))
+    few = counts.withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("large") & (F.col("nth") <= TRIES)))
+    return few.select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+
+
+def _shared(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand in two lists or more, in order, and which list has which (a row for each list)."""
+    values, where, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.cumsum(times > 1) - 1
+    several = times[where] > 1
+    has = np.zeros((len(lists), int((times > 1).sum())), np.float32)
+    has[rows[several], column[where[several]]] = 1
+    return values[times > 1], has
 
 
 def _apart(buckets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of different components that share enough of their prefixes to be alike.
+    """``a, b``: all pairs of different components that share enough of their prefixes to be alike, each once.
 
-    Behind the shorter-reaching prefix a pair can share at most what that prefix leaves of its set.
+    Behind the shorter-reaching prefix a pair can share at most what that prefix leaves of its set. A bucket is cut into blocks of about
+    BLOCK documents, and each two blocks meet in a task of their own; of the buckets that a pair shares, the one of the least
+    n-gram gives it.
     """
-    groups = buckets.select("token", "component").distinct()
-    across = (
-        groups.join(groups.withColumnRenamed("component", "component2"), "token")
-        .filter(F.col("component") < F.col("component2"))
+    counts = buckets.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = buckets.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "doc", "n", "first", "component", "shares",
     )
-    other = buckets.select(
-        "token",
-        F.col("doc").alias("doc2"),
-        F.col("n").alias("n2"),
-        F.col("first").alias("first2"),
-        F.col("component").alias("component2"),
-    )
-    met = (
-        buckets.join(across, ["token", "component"])
-        .join(other, ["token", "component2"])
-        .filter(_alike_size(percent))
-        .groupBy("doc", "doc2")
-        .agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("first").alias("first"), F.first("first2").alias("first2"))
-    )
-    rest = F.greatest(F.col("n") - F.col("first"), F.col("n2") - F.col("first2"))
-    enough = F.col("both") + rest >= _least_overlap(F.col("n"), F.col("n2"), percent)
-    return met.filter(enough).select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
 
+    def pairs(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(groups))
+        token, low, high = (k.as_py() for k in key)
+        block, doc, n, first, component = (rows.column(c).to_numpy() for c in ("block", "doc", "n", "first", "component"))
+        if component.min() == component.max():
+            return
+        values, has = _shared([np.frombuffer(x, np.int64) for x in rows.column("shares").to_pylist()])
+        before = has[:, : np.searchsorted(values, token)]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = has[left] @ has[right].T
+        a, b = n[left][:, None], n[right][None, :]
+        rest = np.maximum(a - first[left][:, None], b - first[right][None, :])
+        keep = (
+            (component[left][:, None] != component[right][None, :])
+            & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            & ((both + rest) * (100 + percent) >= percent * (a + b))
+            & (before[left] @ before[right].T == 0)
+        )
+        if low == high:
+            keep &= doc[left][:, None] < doc[right][None, :]
+        i, j = np.nonzero(keep)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[left[i]]), pa.array(doc[right[j]])], ["a", "b"])
+
+    found = keyed.groupBy("token", "low", "high").applyInArrow(pairs, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs (a written table) whose sets are alike: overlaps are counted per fragment and summed."""
+
+def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, largest: int) -> DataFrame:
+    """``a, b`` of the pairs (a written table) whose sets are alike: overlaps are counted per fragment and summed.
+
+    ``largest`` is the size of the largest set, which gives the number of fragments.
+    """
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     only = bit_set(ids, "doc", BITS)
-    bounds = np.array([2**64 // FRAGMENTS * k for k in range(1, FRAGMENTS)], np.uint64)
+    fragments = largest // FRAGMENT + 1
+    bounds = np.array([2**64 // fragments * k for k in range(1, fragments)], np.uint64)
 
     def rows(doc_ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
         out: dict[str, list] = {"doc": [], "fragment": [], "n": [], "tokens": []}
@@ -245,9 +283,9 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
         return {name: pa.array(column, kind) for (name, column), kind in zip(out.items(), kinds, strict=True)}
 
-    fragments = _sets(docs, size, rows, "doc long, fragment int, n long, tokens binary", only)
-    left = fragments.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("tokens").alias("left"))
-    right = fragments.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("tokens").alias("right"))
+    segments = _sets(docs, size, rows, "doc long, fragment int, n long, tokens binary", only)
+    left = segments.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("tokens").alias("left"))
+    right = segments.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +340,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = sets.filter("n > 0").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     links = written(own.filter("a <> b").distinct(), "links")
     only = bit_set(classes, "doc", BITS)
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    total, largest = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     prefix = written(prefixes(docs, size, percent, only, total), "prefixes")
     met = prefix.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("token")
     buckets = written(prefix.join(met, "token").withColumn("component", F.col("doc")), "buckets")
@@ -312,7 +350,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
             break
         pairs = written(_leaders(buckets, turn, percent) if turn < STARS else _apart(buckets, percent), "pairs")
         if not pairs.isEmpty():
-            found = written(found.union(verified(docs, pairs, size, percent)), "links")
+            found = written(found.union(verified(docs, pairs, size, percent, largest)), "links")
         if turn == STARS or found.isEmpty():
             continue
         # buckets of one component need no more pairs
@@ -320,7 +358,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         moved = (
             buckets.drop("component")
             .join(now, "doc", "left")
-            .select("token", "doc", "n", "first", F.coalesce("component", "doc").alias("component"))
+            .select("token", "doc", "n", "first", "shares", F.coalesce("component", "doc").alias("component"))
         )
         mixed = moved.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         buckets = written(moved.join(mixed.filter("low < high").select("token"), "token"), "buckets")
