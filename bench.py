@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one JSON line.
+"""Times all queries of the library and prints one JSON line.
 
 BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the number of local cores. Each query is run in full to a sink that
 throws rows away; the time is the better of two runs, after one small query has started the session.
@@ -10,40 +10,11 @@ import time
 
 from tidegauge import build_session
 from tidegauge.plans.queries import QUERIES
+from tidegauge.plans.streams import STREAM_QUERIES
 
-HEADLINE = [
-    "word_count",
-    "word_count_per_batch",
-    "generate_messages",
-    "parse_cost",
-    "parse_header",
-    "roundtrip_check",
-    "fresh_files",
-    "batch_counts",
-    "batch_counts_filled",
-    "running_message_count",
-    "batch_preview",
-    "overrun_report",
-    "offered_load",
-    "batch_records",
-    "app_records",
-    "parse_log",
-    "log_tail",
-    "file_listing_pauses",
-    "completed_delays",
-    "delay_stats",
-    "param_patches",
-    "params_as_of",
-    "throughput_decisions",
-    "epoch_outcomes",
-    "max_throughput",
-    "scaling_curve",
-    "publish_messages",
-    "foreach_batch_counts",
-    "stream_epoch_outcomes",
-]
+HEADLINE = list(QUERIES)
 RUNS = 2
-SLOW = {"foreach_batch_counts", "stream_epoch_outcomes"}  # run once
+SLOW = {q.__name__ for q in STREAM_QUERIES}  # run once
 
 
 def main() -> None:
