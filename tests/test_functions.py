@@ -129,11 +129,23 @@ def test_whole_rate_loses_one_where_division_is_inexact(spark):
 
 def test_one_second_of_messages(spark):
     df = spark.createDataFrame([(100, 20, 64, 0.25), (100, 20, 64, 2.0)], "unix_sec bigint, cpu_pause_ms int, message_bytes bigint, period_sec double")
-    for block in (1, 3, 4, 100):
-        names = [r.name for r in generate.one_second(df, block).orderBy("seq").collect()]
+    for block_bytes in (1, 64, 3 * 64, 4 * 64, 10_000):
+        names = [r.name for r in generate.one_second(df, block_bytes).orderBy("seq").collect()]
         assert names == [f"100_{i:010d}" for i in (1, 2, 3, 4)]
 
 
+def test_large_messages_of_one_setting_are_dealt_out(spark):
+    df = spark.createDataFrame([(100, 20, 50_000_000, 0.01)], "unix_sec bigint, cpu_pause_ms int, message_bytes bigint, period_sec double")
+    parts = generate.one_second(df).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 100
+
+
+def test_large_sizes_keep_their_row(spark):
+    df = spark.createDataFrame([(20, 102_400_001, "n"), (20, 3_000_000_000, "n")], "cpu_pause_ms int, message_bytes bigint, name string")
+    assert [r.message_bytes for r in generate.rejected_settings(df).collect()] == [3_000_000_000]
+    assert generate.with_line(df.limit(1)).select(F.length("line").alias("n")).first().n == 102_400_001
+
+
 def test_numbered_messages(spark):
     got = generate.numbered_messages(spark, 5, start_sec=1000, period_sec=0.5).orderBy("seq").collect()
     assert [r.name.split("_")[0] for r in got] == ["1000", "1000", "1001", "1001", "1002"]

@@ -19,24 +19,28 @@ def with_line(df: DataFrame) -> DataFrame:
     )
 
 
-# Messages of one second that one task makes for one setting.
-_BLOCK = 100_000
+# Bytes of messages that one row of settings is made into at a time.
+_BLOCK_BYTES = 64_000_000
 
 
-def one_second(params: DataFrame, block: int = _BLOCK) -> DataFrame:
+def one_second(params: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     """The messages of one second per setting: ``int(1 / period_sec)`` of each, with numbered names.
 
     Needs unix_sec, cpu_pause_ms, message_bytes, period_sec; settings that send none in a second give no rows.
-    Settings with more than a block of messages are dealt out to all tasks in blocks before the messages are made.
+    Settings are dealt out to all tasks in blocks of about ``block_bytes``, before the messages are made.
     """
-    counted = params.withColumn("_count", msg.whole_rate(F.col("period_sec")))
-    last = F.floor((F.col("_count") - 1) / block).cast("int")
-    blocks = counted.where(F.col("_count") > block).withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
-    spread = blocks.repartition(params.sparkSession.sparkContext.defaultParallelism)
-    whole = counted.where(F.col("_count").between(1, block)).withColumn("_block", F.lit(0))
-    first = F.col("_block") * block + 1
-    numbers = F.sequence(first, F.least(F.col("_count"), first + (block - 1)))
-    numbered = whole.unionByName(spread).withColumn("seq", F.explode(numbers)).drop("_count", "_block")
+    spark = params.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = params.withColumn("_count", msg.whole_rate(F.col("period_sec"))).where(F.col("_count") >= 1)
+    size = F.greatest(F.col("message_bytes"), F.lit(1))
+    step = F.greatest(F.lit(1), F.least(F.floor(F.lit(block_bytes) / size), F.col("_count"))).cast("int")
+    blocks = counted.withColumn("_step", step).withColumn("_first", F.explode(F.sequence(F.lit(1), F.col("_count"), F.col("_step"))))
+    last = F.least(F.col("_count"), F.col("_first") + F.col("_step") - 1)
+    numbered = (
+        blocks.repartition(tasks)
+        .withColumn("seq", F.explode(F.sequence(F.col("_first"), last)))
+        .drop("_count", "_step", "_first")
+    )
     return with_line(numbered.withColumn("name", msg.file_name(F.col("unix_sec"), F.col("seq"))))
 
 
