@@ -134,8 +134,7 @@ def token_classes(docs: DataFrame, size: int, only: np.ndarray, fragment_bits: i
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total: int) -> DataFrame:
-    """``token, doc, n, first, shares``: the n-grams of each prefix that may stand in another text, how long the prefix is, and all
-    such n-grams of it.
+    """``token, doc, n, first``: the n-grams of each prefix that may stand in another text, and how long the prefix is.
 
     The order of n-grams: those in one text, those in a few, those in many, each by hash. ``total`` counts all n-grams of all texts.
     """
@@ -156,7 +155,6 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
         late = meets.astype(np.int8) + in_bit_set(many, identity)
         ends = np.cumsum(lengths)
         out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        shares: dict[int, bytes] = {}
         takes = lengths - (percent * lengths + 99) // 100 + 1
         alone = np.concatenate([[0], np.cumsum(~meets)])
         for i, (a, b, take) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), takes.tolist(), strict=True)):
@@ -164,7 +162,6 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
                 continue  # the whole prefix stands in no other text
             order = np.argsort(late[a:b], kind="stable")[:take] + a
             order = order[meets[order]]
-            shares[i] = np.sort(tokens[order].view(np.int64)).tobytes()
             out.append(tokens[order])
             of.append(np.full(len(order), i))
         of = np.concatenate(of)
@@ -173,10 +170,9 @@ def prefixes(docs: DataFrame, size: int, percent: int, only: np.ndarray, total:
             "doc": pa.array(np.array(ids, np.int64)[of]),
             "n": pa.array(lengths[of].astype(np.int64)),
             "first": pa.array(takes[of].astype(np.int64)),
-            "shares": pa.array([shares[i] for i in of.tolist()], pa.binary()),
         }
 
-    return _sets(docs, size, rows, "token long, doc long, n long, first long, shares binary", only)
+    return _sets(docs, size, rows, "token long, doc long, n long, first long", only)
 
 
 def _alike_size(percent: int) -> Column:
@@ -224,17 +220,47 @@ def _shared(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _apart(buckets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of different components that share enough of their prefixes to be alike, each once.
+    """``a, b``: all pairs of different components that share enough of their prefixes to be alike.
 
-    Behind the shorter-reaching prefix a pair can share at most what that prefix leaves of its set. A bucket is cut into blocks of about
-    BLOCK documents, and each two blocks meet in a task of their own; of the buckets that a pair shares, the one of the least
-    n-gram gives it.
+    ``buckets`` has the buckets of two components or more, and so all that such pairs share. Behind the shorter-reaching prefix a pair
+    can share at most what that prefix leaves of its set. Pairs that meet in large buckets come from those, all others from
+    small ones only, so the counts of both are whole where they decide.
     """
-    counts = buckets.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = buckets.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    counts = buckets.groupBy("token").agg(F.count("*").alias("docs"))
+    sized = written(buckets.join(counts, "token"), "sized-buckets")
+    few = _of_small(sized.filter(F.col("docs") <= MANY), percent)
+    large = sized.filter(F.col("docs") > MANY)
+    if large.isEmpty():
+        return few
+    # a list is as long as the prefix of its document at most
+    shares = sized.join(large.select("doc").distinct(), "doc", "left_semi").groupBy("doc", "n").agg(
+        F.collect_list("token").alias("shares"), F.collect_list(F.when(F.col("docs") > MANY, F.col("token"))).alias("wide")
+    )
+    return few.union(_of_large(large.join(shares, ["doc", "n"]), percent)).distinct()
+
+
+def _of_small(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of buckets of at most MANY documents, with the n-grams counted that they share there."""
+    other = buckets.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "first", "component")])
+    met = (
+        buckets.join(other, "token")
+        .filter((F.col("component") < F.col("component2")) & _alike_size(percent))
+        .groupBy("doc", "doc2", "n", "n2", "first", "first2")
+        .agg(F.count("*").alias("both"))
+    )
+    most = F.col("both") + F.greatest(F.col("n") - F.col("first"), F.col("n2") - F.col("first2"))
+    enough = most * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    return met.filter(enough).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+
+
+def _of_large(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large buckets. A bucket is cut into blocks of about BLOCK documents, and each two blocks meet in a group of their own; of
+    the large buckets that a pair shares, the one of the least n-gram gives it."""
+    blocks = F.ceil(F.col("docs") / F.lit(BLOCK)).cast("int")
+    dealt = buckets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "doc", "n", "first", "component", "shares",
+        "block", "doc", "n", "first", "component", "shares", "wide",
     )
 
     def pairs(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +269,9 @@ def _apart(buckets: DataFrame, percent: int) -> DataFrame:
         block, doc, n, first, component = (rows.column(c).to_numpy() for c in ("block", "doc", "n", "first", "component"))
         if component.min() == component.max():
             return
-        values, has = _shared([np.frombuffer(x, np.int64) for x in rows.column("shares").to_pylist()])
-        before = has[:, : np.searchsorted(values, token)]
+        _, has = _shared([np.array(x, np.int64) for x in rows.column("shares").to_pylist()])
+        values, wide = _shared([np.array(x, np.int64) for x in rows.column("wide").to_pylist()])
+        before = wide[:, : np.searchsorted(values, token)]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         both = has[left] @ has[right].T
         a, b = n[left][:, None], n[right][None, :]
@@ -358,7 +385,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         moved = (
             buckets.drop("component")
             .join(now, "doc", "left")
-            .select("token", "doc", "n", "first", "shares", F.coalesce("component", "doc").alias("component"))
+            .select("token", "doc", "n", "first", F.coalesce("component", "doc").alias("component"))
         )
         mixed = moved.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         buckets = written(moved.join(mixed.filter("low < high").select("token"), "token"), "buckets")
