@@ -73,6 +73,32 @@ def test_components(spark, documents, size, percent, seed):
     assert set(kept.filter("doc_id is not null").toPandas().doc_id) == set(expected.values())
 
 
+def test_rows_of_one_id_are_compared_each_on_its_own(spark, documents):
+    rows = []
+
+    def text(*blocks):
+        return " ".join(f"{name}x{k}" for name, length in blocks for k in range(length))
+
+    for f in range(4):
+        for shared in (49, 63, 78):  # 46, 60 and 75 of 100 n-grams: 0.3, 0.43 and 0.6 alike
+            own, at = 103 - shared, len(rows) * 10
+            one, two, other, partner = (text((f"s{at}", shared), (f"{end}{at}", own)) for end in ("a", "b", "c", "p"))
+            # repeated at one end, at both ends, and one id with two texts whose sets have one size
+            rows += [(at, one), (at, one), (at + 1, partner)]
+            rows += [(at + 2, two), (at + 2, two), (at + 3, other), (at + 3, other)]
+            rows += [(at + 4, text((f"s{at}", shared), (f"d{at}", own))), (at + 4, text((f"s{at}", shared), (f"e{at}", own)))]
+            # holds all their n-grams, so that none stands in one text only
+            rows += [(at + 5, " ".join(t for i, t in rows if at <= i < at + 5))]
+    # and one pair that is alike by one of its texts
+    near = text(("s", 103))
+    rows += [(9000, text(("z", 103))), (9000, near), (9000, near), (9001, near + " more")]
+    rows = [(i, t, "s") for i, t in rows]
+    found = jaccard.linked(documents(rows)).toPandas()
+    assert len(found) == len(rows)
+    assert dict(zip(found.doc_id, found.component_id, strict=True)) == _components(rows, jaccard.WORDS, jaccard.PERCENT)
+    assert jaccard.kept(documents(rows)).count() == len(rows) - 1
+
+
 def test_no_documents_no_links(spark, documents):
     assert jaccard.linked(documents([])).count() == 0
     found = jaccard.linked(documents([(1, "a b c d e f", "s"), (2, None, "s")])).toPandas()

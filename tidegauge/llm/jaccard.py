@@ -60,17 +60,23 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if len(values) else np.zeros(0, np.int64))
 
 
+def _signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit signature of each set."""
+    sums = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
+    mixed = np.array([np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0 for x in sets], np.uint64)
+    return sums, mixed
+
+
 def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """``doc_id, n, s1, s2``: size and 128-bit signature of each document's set."""
 
     def rows(ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        sums = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
-        mixed = np.array([np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0 for x in sets], np.uint64)
+        s1, s2 = _signature(sets)
         return {
             "doc_id": pa.array(ids, pa.int64()),
             "n": pa.array([len(x) for x in sets], pa.int64()),
-            "s1": _signed(sums),
-            "s2": _signed(mixed),
+            "s1": _signed(s1),
+            "s2": _signed(s2),
         }
 
     return _sets(docs, size, rows, "doc_id long, n long, s1 long, s2 long")
@@ -294,7 +300,7 @@ def _of_large(buckets: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, largest: int) -> DataFrame:
     """``a, b`` of the pairs (a written table) whose sets are alike: overlaps are counted per fragment and summed.
 
-    ``largest`` is the size of the largest set, which gives the number of fragments.
+    Of rows that share an id each different set, told by its signature, is compared once and on its own. ``largest`` is the size of the largest set, which gives the number of fragments.
     """
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     only = bit_set(ids, "doc", BITS)
@@ -302,18 +308,22 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, largest
     bounds = np.array([2**64 // fragments * k for k in range(1, fragments)], np.uint64)
 
     def rows(doc_ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        out: dict[str, list] = {"doc": [], "fragment": [], "n": [], "tokens": []}
-        for doc_id, tokens in zip(doc_ids, sets, strict=True):
+        out: dict[str, list] = {"doc": [], "fragment": [], "n": [], "s1": [], "s2": [], "tokens": []}
+        signed = (x.view(np.int64).tolist() for x in _signature(sets))
+        for doc_id, tokens, s1, s2 in zip(doc_ids, sets, *signed, strict=True):
             for k, part in enumerate(np.split(tokens, np.searchsorted(tokens, bounds))):
-                for column, value in zip(out.values(), (doc_id, k, len(tokens), part.tobytes()), strict=True):
+                for column, value in zip(out.values(), (doc_id, k, len(tokens), s1, s2, part.tobytes()), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return {name: pa.array(column, kind) for (name, column), kind in zip(out.items(), kinds, strict=True)}
 
-    segments = _sets(docs, size, rows, "doc long, fragment int, n long, tokens binary", only)
-    left = segments.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("tokens").alias("left"))
-    right = segments.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("tokens").alias("right"))
+    segments = _sets(docs, size, rows, "doc long, fragment int, n long, s1 long, s2 long, tokens binary", only)
+    segments = segments.dropDuplicates(["doc", "fragment", "n", "s1", "s2"])
+    named = ("n", "s1", "s2")
+    left = segments.select(F.col("doc").alias("a"), "fragment", *[F.col(c).alias(f"{c}_a") for c in named], F.col("tokens").alias("left"))
+    right = segments.select(F.col("doc").alias("b"), "fragment", *[F.col(c).alias(f"{c}_b") for c in named], F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
+    keys = ["a", "b", *[f"{c}_{end}" for end in "ab" for c in named]]
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,13 +331,10 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, largest
                 len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(counts, pa.int64())],
-                ["a", "b", "n_a", "n_b", "part"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(counts, pa.int64())], [*keys, "part"])
 
-    parts = both.select("a", "b", "n_a", "n_b", "left", "right").mapInArrow(overlap, "a long, b long, n_a long, n_b long, part long")
-    whole = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
+    parts = both.select(*keys, "left", "right").mapInArrow(overlap, ", ".join(f"{c} long" for c in [*keys, "part"]))
+    whole = parts.groupBy(*keys).agg(F.sum("part").alias("both"))
     return whole.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
@@ -368,7 +375,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     links = written(own.filter("a <> b").distinct(), "links")
     only = bit_set(classes, "doc", BITS)
     total, largest = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    prefix = written(prefixes(docs, size, percent, only, total), "prefixes")
+    prefix = written(prefixes(docs, size, percent, only, total).distinct(), "prefixes")  # repeated rows once
     met = prefix.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("token")
     buckets = written(prefix.join(met, "token").withColumn("component", F.col("doc")), "buckets")
     found = links.limit(0)
