@@ -210,6 +210,39 @@ def test_automata_take_mandatory_wording_only():
     assert end("one four six six") == 4 and end("one") == -1
 
 
+GNU = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public
+License as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        (GNU.format("program", ":", "", "3"), "gpl-3.0-header"),
+        (GNU.format("program", ";", "", "2"), "gpl-2.0-header"),
+        (GNU.format("library", ";", "Lesser ", "2.1"), "lgpl-2.1-header"),
+        (GNU.format("library", ";", "Library ", "2"), "lgpl-2.0-header"),
+        (GNU.format("library", ":", "Lesser ", "3"), "lgpl-3.0-header"),
+        (GNU.format("x", ";", "", "3").replace("This x", "Foo Bar").replace(" of the License", ""), "gpl-3.0-header"),
+        (GNU.format("file", ";", "", "2").replace("either ", "").split(", or")[0] + ".", "gpl-2.0-header"),
+        (GNU.format("program", ";", "", "2").split(" as pub")[0] + " version 2 as published by the Free Software Foundation.", "gpl-2.0-only-header"),
+        ("Licensed under the GNU General Public License, version 2 or (at your option) any later version", "gpl-2.0-notice"),
+        ("released under the terms of the GNU Lesser General Public License version 2.1", "lgpl-2.1-notice"),
+    ],
+)
+def test_published_gnu_notices(text, label):
+    compiled = licenses.automata()
+    for mark in ("", "# ", " * ", "// "):
+        marked = "".join(f"{mark}{line}\n" for line in f"Copyright 2020 A. Person\n\n{text}\n\nand more".split("\n")).lower().encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", marked)
+        places = licenses.template_places(words, marked, compiled)
+        assert [x for *_, x in places] == [label]
+        # all of the notice from its first fixed word on
+        assert words[places[0][1]] == b"and" and words[places[0][1] - 1] == re.findall(rb"\w+", text.lower().encode())[-1]
+    for old, new in (("General", "Generous"), ("under", "beyond"), ("version", "edition")):
+        raw = text.replace(old, new).lower().encode()
+        assert not licenses.template_places(re.findall(rb"[0-9a-z]+", raw), raw, compiled)
+
+
 def test_licences_of_rows(spark, documents):
     mit = re.sub(r"\[\[.*?\]\]\]?\]?|<\d+-\d+>", "", licenses.TEMPLATES["mit-text"]).replace("{this|the}", "this")
     texts = [

@@ -23,6 +23,22 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
+# parts of the notices published with the GNU licences
+_SENTENCE = "[[this {work|program|library|software|file} is]] {licensed|released|distributed} under the [[terms of the]] gnu"
+_HEADER = """[[[[this {work|program|library|software|file} is]] free software]] [[you {can|may}]] redistribute it and or modify it
+    under the terms of the gnu"""
+_PUBLISHED = "as published by the free software foundation"
+_LATER = "[[or [[at your option]] [[any]] later [[version]]]]"
+
+
+def _sentence(name: str, version: str) -> str:
+    return f"{_SENTENCE} {name} general public license [[{_PUBLISHED} [[either]]]] version {version} [[of the license]] {_LATER}"
+
+
+def _header(name: str, version: str) -> str:
+    return f"{_HEADER} {name} general public license {_PUBLISHED} [[either]] version {version} {_LATER}"
+
+
 # wording of public licences and notices, with the regions that vary
 TEMPLATES = {
     "mit-text": """[[the mit license mit]] [[copyright [[c]] <1-12> [[all rights reserved]]]] permission is hereby granted free of charge
@@ -41,8 +57,18 @@ TEMPLATES = {
         endorse or promote products derived from this software without specific prior written permission]]""",
     "apache-2.0-notice": """licensed under the apache license version 2 0 [[the license you may not use this file except in compliance
         with the license you may obtain a copy of the license at <1-12>]]""",
-    "gpl-3.0-notice": """[[this {work|program|software|file} is]] {licensed|released|distributed} under the [[terms of the]] gnu general public license
-        [[as published by the free software foundation either]] version 3 [[or any later version]]""",
+    "gpl-2.0-notice": _sentence("", "2"),
+    "gpl-3.0-notice": _sentence("", "3"),
+    "lgpl-2.0-notice": _sentence("library", "2"),
+    "lgpl-2.1-notice": _sentence("lesser", "2 1"),
+    "lgpl-3.0-notice": _sentence("lesser", "3"),
+    "gpl-2.0-header": _header("", "2 [[of the license]]"),
+    "gpl-2.0-only-header": f"{_HEADER} general public license version 2 {_PUBLISHED}",
+    "gpl-3.0-header": _header("", "3 [[of the license]]"),
+    # the lesser licence has no version 2, yet notices name it; without the words after it this could be 2.1
+    "lgpl-2.0-header": _header("{library|lesser}", "2 of the license"),
+    "lgpl-2.1-header": _header("lesser", "2 1 [[of the license]]"),
+    "lgpl-3.0-header": _header("lesser", "3 [[of the license]]"),
     "mit-notice": "{licensed|released|distributed} under the [[terms of the]] mit license",
     "cc-by-nc-4.0-notice": "[[this work is]] {licensed|released} under [[a|the]] cc by nc 4 0 [[license]]",
     "rights-reserved": "[[copyright [[c]] <1-12>]] all rights reserved",
