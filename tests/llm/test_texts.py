@@ -176,6 +176,64 @@ def test_keys_are_confirmed_by_their_lengths(key):
     assert not secrets.confirmed_spans(base64.b64encode(bytes(broken) + b"zz").decode())
 
 
+PBES2 = _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), _der(0x30, _der(0x30, _der(4, bytes(8)))))
+ENCRYPTED = _der(0x30, PBES2, _der(4, bytes(range(160))))
+DIGEST = _der(0x30, _der(0x30, _der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"), _der(5)), _der(4, bytes(32)))
+
+
+def _string(data):
+    return len(data).to_bytes(4, "big") + data
+
+
+OPENSSH = b"openssh-key-v1\0" + b"".join(map(_string, (b"none", b"none", b""))) + b"\0\0\0\1" + _string(bytes(51)) + _string(bytes(range(136)))
+
+
+def _armour(label, data, headers="", last="", width=64):
+    text = base64.b64encode(data).decode()
+    lines = [text[i : i + width] for i in range(0, len(text), width)]
+    return "\n".join([f"-----BEGIN {label}-----", *headers.splitlines(), *lines, *last.split(), f"-----END {label}-----"])
+
+
+PEM_HEADERS = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+PGP = b"\x95" + (200).to_bytes(2, "big") + b"\4" + bytes(199) + b"\xb4\5a@b.c" + b"\xc7\xc1\x08" + b"\4" + bytes(455)
+ARMOURED = [
+    _armour("RSA PRIVATE KEY", RSA), _armour("PRIVATE KEY", PKCS8), _armour("OPENSSH PRIVATE KEY", OPENSSH, width=70),
+    _armour("ENCRYPTED PRIVATE KEY", ENCRYPTED), _armour("RSA PRIVATE KEY", bytes(range(240)), PEM_HEADERS),
+    _armour("PGP PRIVATE KEY BLOCK", PGP, "Version: GnuPG v2\nComment: a b\n\n", "=aB3/"), _armour("EC PRIVATE KEY", SEC1, "Key-Note: x\n\n"),
+]
+WRITTEN = [
+    lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: json.dumps(t)[1:-1], lambda t: json.dumps(json.dumps(t))[3:-3], lambda t: json.dumps(t + "\n").replace("/", "\\/")[1:-3],
+    lambda t: t.replace("\n", "\\r\\n"), lambda t: t.replace("\n", "\n    "), lambda t: t.replace("\n", '\\n" +\n  "'), lambda t: t.replace("\n", "',\n '"), lambda t: t.replace("\n", "\n# "),
+    lambda t: t.replace("=", "\\u003d").replace("\n", "\\n"),
+]
+
+
+@pytest.mark.parametrize("text", ARMOURED, ids=lambda t: t.split("-----")[1][6:])
+def test_armoured_keys_in_all_forms(text):
+    for k, form in enumerate(WRITTEN):
+        key = form(text)
+        whole = f'é "key": "{key}", "next": "value"'
+        assert secrets.confirmed_spans(whole) == [("private_key", 10, 10 + len(key))], k
+        assert secrets.redacted_text(whole) == 'é "key": "<private_key>", "next": "value"', k
+    # no key: other bytes, other lengths
+    label = text.split("-----")[1][6:]
+    assert not secrets.confirmed_spans(_armour(label, b"some other text that is long enough, not a key"))
+
+
+@pytest.mark.parametrize("key", [RSA, PKCS8, SEC1, ENCRYPTED, OPENSSH])
+@pytest.mark.parametrize("width", [40, 64, 76])
+def test_keys_wrapped_without_armour(key, width):
+    text = base64.b64encode(key).decode()
+    lines = [text[i : i + width] for i in range(0, len(text), width)]
+    for joint in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", '" +\n"', "\\\n"):
+        wrapped = joint.join(lines)
+        for before, after in (("key:\n", "\nand so on"), ("\\n", "\\nnext"), ("x = '", "'"), ("-----BEGIN KEY-----", ". End"), ("Many more words\n", "")):
+            assert secrets.confirmed_spans(before + wrapped + after) == [("private_key", len(before), len(before + wrapped))], (joint, before)
+    assert not secrets.confirmed_spans("\n".join(lines[:-1]))
+    assert not secrets.confirmed_spans(base64.encodebytes(DIGEST).decode()) and not secrets.confirmed_spans(DIGEST.hex())
+    assert not secrets.confirmed_spans("MAIN MENU " * 50 + "\n" + "MIIEabcdefghijklmnopqrstuvwxyz " * 50)
+
+
 def test_tokens_need_a_header_that_names_an_algorithm():
     good, bad = _token({"alg": "HS256"}, {"sub": "1"}), _token({"typ": "x", "a": 1}, {"sub": "1"})
     assert [k for k, *_ in secrets.confirmed_spans(f"{good} {bad} eyJabc.def.ghi")] == ["signed_token"]

@@ -1,7 +1,7 @@
 """Secrets in texts: values after telling names, access keys and hex runs, and what decodes to a key or a signed token.
 
 A candidate of the second sort is reported only if its bytes parse: nested lengths of a key encoding that fill it exactly, or
-a token whose header names its algorithm.
+a token whose header names its algorithm. A key may be wrapped over lines or quoted strings, and its line ends may be escaped.
 """
 
 from __future__ import annotations
@@ -35,8 +35,18 @@ ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so shorter ones can be left out at once
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+_ESCAPED_CODE = re.compile(r"\\+(?:u00|x)([0-7][0-9A-Fa-f])")
+_ESCAPED_END = re.compile(r"\\+[nrt]")
+_JOINT = re.compile(r"""["'`][\s\\]*[+.&,]?[\s\\]*["'`]?""")  # between the strings that a text is put together from
+_LEAD = re.compile(r"^(?:[#*>;]+|//+(?=\s))")
+_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*:(?:\s|$)")
+_BEGUN = re.compile(r"(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14,}")  # how the encodings of a sequence and of _OPENSSH begin
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_BETWEEN = re.compile(r"""(?:\\+(?:[nrt]|(?=/))|["'`]\s*[+.&,]\s*(?=["'`])|["'`,\s])+|\\\s+""")
+_BASE64_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+# the schemes by which a key is encrypted: PKCS #5 and #12
+_ENCRYPTION = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -70,14 +80,19 @@ def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def _is_der_key(data: bytes) -> bool:
-    """A private key as a sequence of version and numbers, of algorithm and key, or of an elliptic curve."""
+    """A private key as a sequence of version and numbers, of algorithm and key, of an elliptic curve, or encrypted."""
     if len(data) < 32 or data[0] != 0x30:
         return False
     outer = _elements(data)
     if not outer or len(outer) != 1:
         return False
     inner = _elements(outer[0][1])
-    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][1] not in (b"\0", b"\1"):
+    if not inner or len(inner) < 2:
+        return False
+    if [tag for tag, _ in inner] == [0x30, 0x04]:
+        scheme = _elements(inner[0][1])
+        return bool(scheme) and scheme[0][0] == 0x06 and scheme[0][1].startswith(_ENCRYPTION) and len(inner[1][1]) >= 16
+    if inner[0][0] != 0x02 or inner[0][1] not in (b"\0", b"\1"):
         return False
     tags = [tag for tag, _ in inner]
     if len(tags) >= 6 and set(tags) == {0x02}:
@@ -109,6 +124,123 @@ def _is_key(data: bytes | None) -> bool:
     return data is not None and (_is_der_key(data) or _is_openssh_key(data))
 
 
+def _is_pgp_key(data: bytes) -> bool:
+    """Packets that fill the data exactly, the first of them a secret key of a known version."""
+    at, first = 0, True
+    while at < len(data):
+        kind, at = data[at], at + 1
+        if not kind & 0x80 or at >= len(data):
+            return False
+        if kind & 0x40:
+            tag, size = kind & 0x3F, data[at]
+            at += 1
+            if size == 255:
+                size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            elif size >= 224:
+                return False
+            elif size >= 192:
+                if at >= len(data):
+                    return False
+                size, at = ((size - 192) << 8) + data[at] + 192, at + 1
+        else:
+            tag, width = (kind >> 2) & 0x0F, 1 << (kind & 3)
+            size, at = (len(data) - at, at) if width == 8 else (int.from_bytes(data[at : at + width], "big"), at + width)
+        if first and (tag not in (5, 7) or size < 8 or at >= len(data) or not 2 <= data[at] <= 6):
+            return False
+        first, at = False, at + size
+    return at == len(data) and not first
+
+
+def _is_armoured_key(label: str, body: str) -> bool:
+    """Whether what stands between two marks is a key: header lines, and base64 lines whose ends may be escaped."""
+    body = _ESCAPED_CODE.sub(lambda m: chr(int(m[1], 16)), body)
+    body = _JOINT.sub("\n", _ESCAPED_END.sub("\n", body)).replace("\\", "")
+    lines = [_LEAD.sub("", line.strip()).strip() for line in body.split("\n")]
+    headers = [line for line in lines if _HEADER.match(line)]
+    encoded = [line for line in lines if line and not _HEADER.match(line)]
+    if label.endswith("BLOCK"):
+        # the last line is a checksum
+        data = _decoded("".join(line for line in encoded if not (line[0] == "=" and len(line) == 5)))
+        return data is not None and _is_pgp_key(data)
+    data = _decoded("".join(encoded))
+    if any(line.startswith("DEK-Info:") for line in headers):
+        # encrypted as a whole, in blocks of a cipher
+        return data is not None and len(data) >= 32 and len(data) % 8 == 0
+    return _is_key(data)
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    out, begun = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun and begun[2] == m[2] and _is_armoured_key(m[2], text[begun.end() : m.start()]):
+            out.append((begun.start(), m.end()))
+            begun = None
+    return out
+
+
+def _gathered(text: str, at: int, size: int) -> tuple[bytes, int, bool] | None:
+    """The ``size`` bytes whose base64 begins at ``at``, over line ends; where it ends, and whether a run ends there too."""
+    left, parts = (4 * size + 2) // 3, []
+    while True:
+        run = _RUN.match(text, at)
+        if not run:
+            return None
+        parts.append(run[0][:left])
+        if len(run[0]) >= left:
+            data = _decoded("".join(parts))
+            return None if data is None else (data, at + left, len(run[0]) == left)
+        left -= len(run[0])
+        between = _BETWEEN.match(text, run.end())
+        if not between:
+            return None
+        at = between.end()
+
+
+def _whole(text: str, at: int) -> tuple[bytes, int] | None:
+    """The bytes of what may be a key that begins at ``at``, as long as it says itself, and where it ends."""
+    if text[at] == "M":
+        head = _gathered(text, at, 6)
+        width = head[0][1] & 0x7F if head and head[0][1] & 0x80 else 0
+        if not head or width > 4:
+            return None
+        size = 2 + width + (int.from_bytes(head[0][2 : 2 + width], "big") if width else head[0][1])
+    else:
+        size = len(_OPENSSH)
+        parts, most = 0, 4
+        while parts <= most:
+            # after three strings stands the number of keys
+            head = _gathered(text, at, size + 4)
+            if not head or not head[0].startswith(_OPENSSH):
+                return None
+            value = int.from_bytes(head[0][size : size + 4], "big")
+            size += 4 if parts == 3 else 4 + value
+            most = 4 + value if parts == 3 else most
+            parts += 1
+    found = _gathered(text, at, size) if size >= 32 else None
+    if not found or not found[2]:
+        return None
+    end = found[1]
+    return found[0], end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+
+
+def _bare(text: str) -> list[tuple[int, int]]:
+    """Places of keys in base64 without marks, on one line or wrapped."""
+    out, upto = [], 0
+    for m in _BEGUN.finditer(text):
+        at = m.start()
+        # the letter of an escape and the end of a mark begin no run
+        inside = at and text[at - 1] in _BASE64_BYTES
+        if at < upto or inside and not (at > 1 and text[at - 2] == "\\" and text[at - 1] in "nrt" or text.endswith("-----", 0, at)):
+            continue
+        found = _whole(text, at)
+        if found and _is_key(found[0]):
+            upto = found[1]
+            out.append((at, upto))
+    return out
+
+
 def _is_token(text: str) -> bool:
     """Whether header and payload are JSON objects and the header names an algorithm."""
     header, payload, _ = text.split(".")
@@ -129,17 +261,17 @@ def base_spans(text: str) -> list[Span]:
 def confirmed_spans(text: str) -> list[Span]:
     """The spans of candidates whose decoded bytes parse as a signed token or a private key."""
     found: list[Span] = []
-    keys: list[re.Match] = []
+    keys: list[tuple[int, int]] = []
     if "eyJ" in text:
         found = [("signed_token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _is_token(m[0])]
     if "PRIVATE KEY" in text:
-        keys = [m for m in _ARMOUR.finditer(text) if _is_key(_decoded(m[2]))]
-    keys += [m for m in _BASE64.finditer(text) if _is_key(_decoded(m[0]))]
-    keys += [m for m in _HEX_ANY.finditer(text) if not len(m[0]) % 2 and _is_key(bytes.fromhex(m[0]))]
+        keys = _armoured(text)
+    keys += _bare(text)
+    keys += [m.span() for m in _HEX_ANY.finditer(text) if not len(m[0]) % 2 and _is_key(bytes.fromhex(m[0]))]
     taken: list[Span] = []
-    for m in keys:
-        if not any(start < m.end() and m.start() < end for _, start, end in taken):
-            taken.append(("private_key", m.start(), m.end()))
+    for begin, upto in keys:
+        if not any(start < upto and begin < end for _, start, end in taken):
+            taken.append(("private_key", begin, upto))
     return found + taken
 
 
