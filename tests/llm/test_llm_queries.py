@@ -22,8 +22,8 @@ def test_same_rows_as_sql(spark, duck, name):
     assert compare.same(found, duck.sql(ORACLE[name]).to_arrow_table()) is None
 
 
-def test_ten_operators():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_all_operators():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, jaccard, licenses, mixing, packing, quality, secrets, toxicity, vectors, warc
+from tidegauge.llm import centroids, chat, fingerprints, jaccard, licenses, mixing, negatives, packing, quality, secrets, toxicity, vectors, warc
 from tidegauge.llm.common import table
 
 
@@ -62,6 +62,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.found(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -73,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_centroids": op11_centroids,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_negatives": op13_negatives,
 }
 
 
-
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -165,4 +179,61 @@ select page_id, payload_bytes,
 from named
 """
 
-ORACLE: dict[str, str] = {"op3_quality": _QUALITY_SQL, "op4_vectors": _VECTORS_SQL, "op5_chat": _CHAT_SQL, "op8_warc": _WARC_SQL}
+_CENTROIDS_SQL = """
+with kept as materialized (
+  select vec_id, row_number() over () as nth, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+c0 as materialized (
+  select cast(row_number() over (order by h, v) - 1 as int) as cluster, v as c
+  from (select v, sha256('3:' || vec_id) as h from kept) order by h, v limit 8),
+{rounds}
+of_cluster as (select near.c as cluster, cast(sum(near.d) as bigint) as cluster_inertia from a10 group by 1)
+select vec_id, near.c as cluster, near.d as distance, cluster_inertia,
+  (select cast(sum(cluster_inertia) as bigint) from of_cluster) as inertia,
+  sha256(array_to_string(c10.c, ',')) as centroid_sha256
+from a10 join of_cluster on near.c = of_cluster.cluster join c10 on near.c = c10.cluster
+"""
+# the nearest of the centroids c<i>, then the floors of the means as c<i + 1>
+_NEAREST_SQL = """a{i} as materialized (
+  select nth, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': d, 'c': cluster}}) as near
+  from (select k.*, c.cluster, cast(list_sum([(k.v[j] - c.c[j]) ** 2 for j in range(1, 65)]) as bigint) as d from kept k, c{i} c)
+  group by nth),
+"""
+_MEANS_SQL = """c{next} as materialized (
+  select cluster, coalesce(moved, c) as c from c{i} left join (
+    select cluster, list(cast((s - (s % n + n) % n) // n as bigint) order by j) as moved
+    from (select near.c as cluster, j, sum(x) as s, count(*) as n from (select near, unnest(v) as x, unnest(range(64)) as j from a{i}) group by 1, 2)
+    group by cluster) using (cluster)),
+"""
+_CENTROIDS_SQL = _CENTROIDS_SQL.replace(
+    "{rounds}",
+    "".join(_NEAREST_SQL.format(i=i) + (_MEANS_SQL.format(i=i, next=i + 1) if i < 10 else "") for i in range(11)).rstrip(),
+)
+
+_NEGATIVES_SQL = """
+with floors as (
+  select row_number() over () as nth, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where embedding is not null and label is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as materialized (
+  select a.nth, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    cast(list_sum([a.v[i] * c.v[i] for i in range(1, len(a.v) + 1)]) as bigint) as score
+  from floors a join floors c on a.nth <> c.nth and len(a.v) = len(c.v) where a.vec_id % 100 = 0),
+positives as (
+  select * from (select *, row_number() over (partition by nth order by score desc, vec_id) as place from scores where same) where place <= 5),
+negatives as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, n.vec_id as negative_id, n.score as negative_score,
+    cast(row_number() over (partition by p.nth, p.place order by n.score desc, n.vec_id) as int) as rank
+  from positives p join scores n on p.nth = n.nth and not n.same
+  where 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_quality": _QUALITY_SQL,
+    "op4_vectors": _VECTORS_SQL,
+    "op5_chat": _CHAT_SQL,
+    "op8_warc": _WARC_SQL,
+    "op11_centroids": _CENTROIDS_SQL,
+    "op13_negatives": _NEGATIVES_SQL,
+}
