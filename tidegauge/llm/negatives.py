@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import written
 
-LONG_MAX = (1 << 63) - 1
 SLOT_ROWS = 1 << 16
+SLOT_NUMBERS = 1 << 22  # components a task holds, in all its rows
 PACK_ROWS = 512  # fields of one wide integer
 FIELD_BITS = (32, 64, 128)
 ANSWER_ROWS = 8192
@@ -157,7 +157,7 @@ def _best_of(candidates: DataFrame, anchors: DataFrame, slots: int, few: Callabl
     held = candidates.withColumns({"slot": slot, "is_anchor": F.lit(False), "bars": F.lit(None).cast("array<long>")})
     asked = anchors.withColumns({"slot": F.explode(F.sequence(F.lit(0), F.lit(slots - 1))), "is_anchor": F.lit(True)})
     sent = held.select(*columns).unionByName(asked.select(*columns))
-    ordered = sent.repartition(slots, "slot").sortWithinPartitions("slot", "is_anchor", "row")
+    ordered = sent.repartitionById(slots, "slot").sortWithinPartitions("slot", "is_anchor", "row")
     answers = ordered.mapInArrow(_scan(few), _ANSWER)
     place = Window.partitionBy("anchor", "nth").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     return answers.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
@@ -222,7 +222,8 @@ def mined(
     spark = vectors.sparkSession
     label = F.when(F.col("vec_id") % moved == 0, (F.col("label") + 1) % labels).otherwise(F.col("label"))
     rows = written(whole_rows(vectors, scale, label), "whole-rows")
-    slots = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / SLOT_ROWS))
+    held = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    slots = max(spark.sparkContext.defaultParallelism, math.ceil(held["n"] / SLOT_ROWS), math.ceil(held["numbers"] / SLOT_NUMBERS))
     anchors = rows.where(F.col("vec_id") % every == 0)
     none = F.lit(None).cast("array<long>")
     near = written(_best_of(rows, anchors.withColumn("bars", none), slots, _positives(positives), positives), "positives")
