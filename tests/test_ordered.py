@@ -1,67 +1,93 @@
-"""Ordered columns: the cut form must equal the plain window, whatever the skew."""
+"""Ordered columns: cut into spans they must equal the plain window over a whole series, whatever the skew."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import ordered
 
-SERIES = ordered.Series(["k"], "at", ["id"])
-CUT = {"parts": 8, "min_rows": 20}
+KEPT = ["k", "at", "id", "v"]
+
+
+def series(span):
+    return ordered.Series(["k"], "at", ["id"], span)
 
 
 def skewed(spark, seed, burst=False):
-    """One key with most rows; with ``burst`` most of those fall at two moments."""
+    """One key with most rows; with ``burst`` most of those fall at two moments. Some rows have no key or no time."""
     rng = random.Random(seed)
     rows = []
     for i in range(1500):
         key = 0 if rng.random() < 0.6 else rng.randrange(1, 40)
-        at = rng.randrange(1_000_000)
+        at = rng.randrange(-200_000, 1_000_000)
         if burst and rng.random() < 0.8:
             at = 500_000 + rng.randrange(2)
-        rows.append((key, at, i, rng.randrange(100) if rng.random() < 0.3 else None))
+        rows.append((None if i % 97 == 0 else key, None if i % 83 == 0 else at, i, rng.randrange(100) if rng.random() < 0.3 else None))
     return spark.createDataFrame(rows, "k bigint, at bigint, id bigint, v bigint").repartition(6)
 
 
 def rows_of(df):
-    return sorted(tuple(-1 if x is None else x for x in r) for r in df.collect())
+    return sorted((str(tuple(r)) for r in df.collect()))
+
+
+
+def whole():
+    return Window.partitionBy("k").orderBy("at", "id")
 
 
+def so_far(column):
+    return column.over(whole().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+# each as the operator gives it, and as a plain window gives it
 FORMS = {
-    "carry_last": lambda df, **kw: ordered.carry_last(df, SERIES, {"x": F.col("v")}, **kw),
-    "carry_struct": lambda df, **kw: ordered.carry_last(
-        df, SERIES, {"s": F.when(F.col("v").isNotNull(), F.struct("v", "id"))}, **kw
-    ).select("k", "at", "id", "v", "s.*").toDF("k", "at", "id", "v", "x", "y"),
-    "previous": lambda df, **kw: ordered.previous(df, SERIES, "x", **kw),
+    "carry_last": (
+        lambda df, s: ordered.carry_last(df, s, {"x": F.col("v")}),
+        lambda df: df.withColumn("x", so_far(F.last("v", ignorenulls=True))),
+    ),
+    "carry_struct": (
+        lambda df, s: ordered.carry_last(df, s, {"x": F.when(F.col("v").isNotNull(), F.struct("v", "id"))}),
+        lambda df: df.withColumn("x", so_far(F.last(F.when(F.col("v").isNotNull(), F.struct("v", "id")), ignorenulls=True))),
+    ),
+    "previous": (
+        lambda df, s: ordered.previous(df.where("at is not null"), s, "x"),
+        lambda df: df.where("at is not null").withColumn("x", F.lag("at").over(whole())),
+    ),
+    "running": (
+        lambda df, s: ordered.running(df, s, {"x": F.col("v"), "n": F.lit(1)}, {"y": F.when(F.col("v").isNotNull(), F.struct("v", "at"))}),
+        lambda df: df.withColumns({"x": so_far(F.sum("v")), "n": so_far(F.sum(F.lit(1))), "y": so_far(F.max(F.when(F.col("v").isNotNull(), F.struct("v", "at"))))}),
+    ),
 }
 
 
 @pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("span", [7, 100_000, ordered.HOUR_US])
 @pytest.mark.parametrize("burst", [False, True])
-def test_cut_form_equals_plain_form(spark, form, burst):
+def test_spans_equal_the_whole_series(spark, form, span, burst):
     df = skewed(spark, seed=len(form) + burst, burst=burst).cache()
-    assert ordered.cut_points(df, SERIES, **CUT) is not None
-    assert ordered.cut_points(df, SERIES) is None
-    assert rows_of(FORMS[form](df, **CUT)) == rows_of(FORMS[form](df))
-
-
-def test_only_large_keys_are_cut_and_none_is_left_large(spark):
-    df = skewed(spark, 1, burst=True).cache()
-    cuts = ordered.cut_points(df, SERIES, **CUT)
-    assert [r.k for r in cuts.select("k").collect()] == [0]
-    sizes = ordered._segmented(df, SERIES, cuts).groupBy("k", "_segment").count()
-    large = [r["count"] for r in sizes.where("k = 0").collect()]
-    # A piece is an eighth of all rows; even rows at one moment are split. The sample is a third of the rows.
-    assert len(large) >= 4 and max(large) < 2 * 1500 / 8
+    ours, plain = FORMS[form]
+    assert rows_of(ours(df, series(span))) == rows_of(plain(df))
 
 
 def test_no_rows(spark):
     df = skewed(spark, 1).where("k = 99")
+    assert [ours(df, series(10)).count() for ours, _ in FORMS.values()] == [0] * len(FORMS)
 
 
-def test_windows_of_the_cut_form_never_span_a_whole_large_key(spark):
-    df = skewed(spark, 3).cache()
-    plan = FORMS["previous"](df, **CUT)._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.split("\n") if "Window [lag" in line]
-    assert windows and all("_segment" in line for line in windows)
+@pytest.mark.parametrize("form", FORMS)
+def test_only_the_ends_of_spans_are_ordered_by_key_alone(spark, form):
+    plan = FORMS[form][0](skewed(spark, 3), series(100))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    windows = [i for i, line in enumerate(plan) if "Window [" in line]
+    keys = [plan[i][plan[i].rindex("], [k#") :] for i in windows]
+    alone = [i for i, key in zip(windows, keys) if "_segment" not in key.split("]")[1]]
+    assert len(windows) == 2 and len(alone) == 1
+    assert any("Aggregate [k#" in line for line in plan[alone[0] + 1 : alone[0] + 3])
+
+
+def test_no_job_before_the_action(spark):
+    df = skewed(spark, 4)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    [ours(df, series(100)) for ours, _ in FORMS.values()]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before

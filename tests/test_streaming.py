@@ -3,13 +3,15 @@
 import glob
 import os
 import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import generate, lines
+from tidegauge.operators import decisions, generate, lines
+from tidegauge.plans.queries import QUERIES
 from tidegauge.sources import readers, tables
-from tidegauge.streaming import epochs, progress, runs, sinks
+from tidegauge.streaming import epochs, progress, runs, sinks, wins
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -63,9 +65,9 @@ def test_lag_of_a_batch_that_starts_late(spark):
 
 
 def test_missing_state_is_an_error(spark, tmp_path):
-    feed = spark.createDataFrame([], epochs.OBSERVATIONS)
+    rows = spark.createDataFrame([], decisions.TIMELINE)
     with pytest.raises(FileNotFoundError):
-        epochs.EpochOutcomes(str(tmp_path))(feed, 3)
+        epochs.EpochOutcomes(str(tmp_path))(rows, 3)
 
 
 def test_line_stream_sees_names_and_skips_hidden_files(spark, tmp_path):
@@ -125,46 +127,119 @@ def feed_of(spark):
 
 
 def expected_outcomes(spark):
-    from tidegauge.plans.queries import QUERIES
-
     return sorted(map(tuple, QUERIES["epoch_outcomes"](spark, SF_DIR).collect()), key=str)
 
 
+def streamed(spark, slices, root, twice=False, **kwargs):
+    """Outcomes of a stream that gets slice after slice of a raw feed; ``twice`` repeats each micro-batch's action."""
+    action = epochs.EpochOutcomes(f"{root}/state")
+
+    def act(rows, batch_id):
+        action(rows, batch_id)
+        if twice:
+            again = spark.read.schema(decisions.TIMELINE).parquet(action._path("timeline", batch_id)).collect()
+            action(spark.createDataFrame(again, decisions.TIMELINE), batch_id)
+
+    def start():
+        stream = spark.readStream.schema(epochs.OBSERVATIONS).parquet(f"{root}/in/*")
+        return sinks.for_each_batch(epochs.timeline(stream, **kwargs), act)
+
+    runs.replay(iter(slices), lambda part, number: part.write.parquet(f"{root}/in/slice-{number}"), start, f"{root}/check")
+    return action
+
+
 def test_repeated_batches_and_repeated_telemetry_change_nothing(spark, tmp_path):
-    action = epochs.EpochOutcomes(str(tmp_path / "state"))
-    slices = [s.cache() for s in runs.time_slices(feed_of(spark), 3)]
-    telemetry = F.col("kind") != "change"
-    for number, part in enumerate(slices):
-        # Every fetch also repeats the telemetry of the slice before.
-        again = slices[number - 1].where(telemetry) if number else part.limit(0)
-        batch = part.unionByName(again)
-        action(batch, number)
-        action(batch, number)
-    got = sorted(map(tuple, action.outcomes(spark).collect()), key=str)
-    assert got == expected_outcomes(spark)
-
-
-def test_old_state_is_removed(spark, tmp_path):
-    action = epochs.EpochOutcomes(str(tmp_path / "state"))
-    for number, part in enumerate(runs.time_slices(feed_of(spark), 4)):
-        action(part, number)
-    assert sorted(os.listdir(tmp_path / "state" / "state")) == ["batch_id=2", "batch_id=3"]
-    assert len(os.listdir(tmp_path / "state" / "outcomes")) == 4
+    slices = list(runs.time_slices(feed_of(spark), 3))
+    # Every slice also brings the telemetry of the slice before once more, as if fetched again.
+    shifted = [slices[0]]
+    for before, part in zip(slices, slices[1:]):
+        first = part.agg(F.min("ts")).first()[0]
+        again = before.where("kind <> 'change'").where(F.col("ts") >= F.lit(first - timedelta(hours=12))).where("kind = 'fetch'")
+        again = again.withColumns({"ts": F.lit(first), "id": F.lit(0).cast("bigint"), "payload": F.regexp_replace("payload", "PROCESSING", "WAITING")})
+        shifted.append(part.unionByName(again))
+    batch = shifted[0].unionByName(shifted[1]).unionByName(shifted[2])
+    kind = F.col("kind")
+    whole = decisions.throughput_decisions(
+        batch.where(kind == "change").withColumnRenamed("id", "change_id"),
+        batch.where(kind == "log").withColumnRenamed("id", "line_no"),
+        batch.where(kind == "fetch").withColumnRenamed("id", "fetch_id"),
+    )
+    expected = sorted(map(tuple, decisions.epoch_outcomes(whole).collect()), key=str)
+    action = streamed(spark, shifted, str(tmp_path), twice=True, bucket_sec=7 * 86_400)
+    assert sorted(map(tuple, action.outcomes(spark).collect()), key=str) == expected
+
+
+def test_many_slices_equal_the_batch_replay(spark, tmp_path):
+    action = streamed(spark, runs.time_slices(feed_of(spark), 4), str(tmp_path))
+    assert sorted(map(tuple, action.outcomes(spark).collect()), key=str) == expected_outcomes(spark)
+    # old state goes
+    kept = sorted(int(n.split("=")[1]) for n in os.listdir(tmp_path / "state" / "state"))
+    assert len(kept) == 2 and kept[1] == kept[0] + 1
+
+
+OBSERVED = "run_id bigint, us bigint, kind string, id bigint, frequency bigint, message_bytes bigint, line string, payload string"
+
+
+def observed(spark, rows):
+    df = spark.createDataFrame([(7, round(at * 1e6), *rest) for at, *rest in rows], OBSERVED)
+    return df.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us").select(*[c.split()[0] for c in epochs.OBSERVATIONS.split(", ")])
+
+
+def poll(at, number, *batches):
+    body = ",".join(f'{{"batchId":{s},"batchTime":"1970-01-01T00:{s // 60:02d}:{s % 60:02d}.000GMT","status":"COMPLETED","totalDelay":{d}}}' for s, d in batches)
+    return (at, "fetch", number, None, None, None, f"[{body}]")
+
+
+def listing(at, number, ms):
+    sec = int(at)
+    return (at, "log", number, None, None, f"1970-01-01 00:{sec // 60:02d}:{sec % 60:02d} INFO  FileInputDStream:54 - Finding new files took {ms} ms", None)
+
+
+CHANGE = (10, "change", 1, 10, 64, None, None)
 
 
 def test_state_keeps_the_epoch_open_across_batches(spark, tmp_path):
-    """Four delays in four micro-batches make the fifth rule fire in the last one only."""
-    action = epochs.EpochOutcomes(str(tmp_path / "state"))
-
-    def fetch(second, delay):
-        body = f'[{{"batchId":{second},"batchTime":"1970-01-01T00:{second // 60:02d}:{second % 60:02d}.000GMT","status":"COMPLETED","totalDelay":{delay}}}]'
-        return (7, second, "fetch", second, None, None, None, body, 0)
-
-    first = [(7, 10, "change", 1, 10, 64, None, None, None), fetch(20, 9), fetch(30, 400)]
-    for number, rows in enumerate([first, [fetch(40, 400)], [fetch(50, 400)], [fetch(60, 400)], [fetch(70, 400)]]):
-        raw = spark.createDataFrame(
-            rows, "run_id bigint, s bigint, kind string, id bigint, frequency bigint, message_bytes bigint, line string, payload string, in_process_ms bigint"
-        )
-        action(raw.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s"), number)
-    # The fetch at 20 lies in the warm-up of the change at 10, so the fourth delay arrives at 60.
-    assert [(r.batch_ts, r.rule, r.new_frequency) for r in action.outcomes(spark).collect()] == [(60, 5, 50)]
+    """Four delays in four micro-batches make the fifth rule fire in the last one only; batches listed again do not count again."""
+    seen = [(20, 9), (30, 400), (40, 400), (50, 400), (60, 400), (70, 400)]
+    slices = [[CHANGE, poll(31, 1, *seen[:2])]] + [[poll(s + 1, i, *seen[: i + 1], (30, 99_999))] for i, (s, _) in enumerate(seen) if i > 1]
+    action = streamed(spark, [observed(spark, rows) for rows in slices], str(tmp_path))
+    # The batch at 20 lies in the warm-up of the change at 10, so the fourth delay is that of 60.
+    assert [(r.poll_us, r.rule, r.new_frequency) for r in action.outcomes(spark).collect()] == [(61_000_000, 5, 50)]
+
+
+def test_delays_fetched_long_after_their_time_count(spark, tmp_path):
+    """Log lines come first, then six batches are fetched forty seconds late."""
+    slices = [
+        [CHANGE, *[listing(t, t, 10) for t in range(30, 80, 5)]],
+        [poll(72 + i, i, *[(s, 400) for s in range(30, 35 + 5 * i, 5)]) for i in range(6)],
+    ]
+    action = streamed(spark, [observed(spark, rows) for rows in slices], str(tmp_path))
+    assert [(r.poll_us, r.rule) for r in action.outcomes(spark).collect()] == [(75_000_000, 5)]
+
+
+def test_the_last_line_of_a_second_counts_across_batches(spark, tmp_path):
+    """Three slow listings would stop the run, but the last word of one second takes it back, in the next micro-batch."""
+    slices = [
+        [CHANGE, *[listing(t + 0.1, t, 9_000) for t in (30, 31, 32)], poll(32.05, 1, (25, 5_000))],
+        [listing(32.5, 33, 10), poll(33, 2, (25, 5_000)), listing(40.2, 40, 9_000), poll(41, 3, (25, 5_000))],
+    ]
+    action = streamed(spark, [observed(spark, rows) for rows in slices], str(tmp_path))
+    assert [(r.poll_us, r.rule, r.reason) for r in action.outcomes(spark).collect()] == [(41_000_000, 2, "LIMIT_FILE_LISTNG")]
+
+
+def test_known_telemetry_is_forgotten_once_no_arrival_can_count(spark, tmp_path):
+    polls = [[poll(60, 1, (30, 1))], [poll(70, 2, (30, 2), (65, 3))], [poll(3_000, 3, (2_990, 4))], [poll(3_010, 4, (30, 5), (2_990, 6))]]
+    schema = "fetch_id bigint, run_id bigint, ts timestamp_ntz, payload string"
+
+    def deliver(part, number):
+        part.select(F.col("id").alias("fetch_id"), "run_id", "ts", "payload").write.parquet(f"{tmp_path}/in/slice-{number}")
+
+    def start():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        found = wins.first_delays(stream, keep_sec=100, lateness="10 seconds", bucket_sec=50)
+        return sinks.keep_batches(found, f"{tmp_path}/out", lambda batch: batch)
+
+    queries = runs.replay(iter([observed(spark, rows) for rows in polls]), deliver, start, f"{tmp_path}/check")
+    got = sinks.kept_batches(spark, f"{tmp_path}/out").collect()
+    assert sorted((r.batch_ts, r.delay_ms) for r in got) == [(30, 1), (65, 3), (2_990, 4)]
+    assert queries[-1].recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1

@@ -86,16 +86,16 @@ def batch_preview(
     )
 
 
-def overrun_report(messages: DataFrame, target_us: Column, **kwargs) -> DataFrame:
+def overrun_report(messages: DataFrame, target_us: Column, span: int = ordered.HOUR_US) -> DataFrame:
     """Per message: time since the one before from the same source and by how much it missed the target.
 
     The first message of a source has no elapsed time and no overrun.
     """
-    series = ordered.Series(["source_id"], "sent_us", ["msg_id"])
+    series = ordered.Series(["source_id"], "sent_us", ["msg_id"], span)
     sent = messages.withColumn("sent_us", times.micros(F.col("ts")))
     elapsed = F.col("sent_us") - F.col("previous_us")
     return (
-        ordered.previous(sent, series, "previous_us", **kwargs)
+        ordered.previous(sent, series, "previous_us")
         .withColumn("elapsed_us", elapsed)
         .withColumn("overrun_us", F.greatest(F.lit(0).cast("bigint"), F.col("elapsed_us") - target_us))
     )

@@ -1,7 +1,11 @@
-"""Raise, lower or stop: what a run should do with its rate, given its delays since the last change of rate.
+"""Raise, lower or stop: what a run should do with its rate, decided at every poll from what was known by then.
 
-All series are reduced to one row per run and second before they are ordered, so a window over a run holds at most
-one change, one pause and one point per second of its life, whatever the number of fetched records or log lines.
+A run is replayed in two times. Its series is ordered by arrival: changes of rate, polls, and the moments at which something
+became known (a delay with the first poll that listed it, a listing pause with its log line). The other time is
+the batch's or line's own: it decides whether that piece of telemetry is late enough after the change to count. So a later poll
+never alters an earlier decision, and a poll that lists only a hanging batch is a decision too.
+
+The series of a run is never in one window: ``operators.ordered`` cuts it into spans of time.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from pyspark.sql import functions as F
 
 from tidegauge import settings
 from tidegauge.functions import times
-from tidegauge.operators.telemetry import is_known_delay
+from tidegauge.operators import ordered
+from tidegauge.operators.telemetry import is_known_delay, listings
+from tidegauge.sources.readers import BATCH_RECORDS, batch_records
 
-# Order of rows in one second: state carried in, a change of rate, a listing pause, a decision point.
-CARRIED, CHANGE, PAUSE, POINT = -1, 0, 1, 2
+# Kinds of rows of a run. At one moment a change comes first, then what a poll made known, then the poll.
+CARRIED, CHANGE, PAUSE, DELAY, POLL = -1, 0, 1, 2, 3
 
 # Fixed thresholds in milliseconds of mean delay, and what each leads to.
 _OVERLOAD_MS = 25_000
@@ -24,113 +30,160 @@ _STEPS_MS = {"x50": 50, "x5": 500, "x1.75": 2_500, "x1.03": 4_500, "limit": 5_00
 WAIT_BATCHES = 3
 WAIT_BATCHES_FULL = 13
 
+# Telemetry that arrives later than this after its own time is left out, so streams may forget what they have seen.
+KEEP_SEC = 86_400
+
 TIMELINE = (
-    "run_id bigint, sec bigint, kind int, change_us bigint, frequency bigint, message_bytes bigint, "
-    "delays bigint, delay_ms bigint, slow bigint, latest_ms bigint, in_process_ms bigint"
+    "run_id bigint, us bigint, class int, tie bigint, kind int, change_us bigint, change_id bigint, frequency bigint, "
+    "message_bytes bigint, of_sec bigint, delays bigint, delay_ms bigint, slow bigint, newest_sec bigint, newest_ms bigint, "
+    "in_process_ms bigint"
 )
-_TIMELINE_COLUMNS = [part.split()[0] for part in TIMELINE.split(", ")]
+_COLUMNS = [part.split()[0] for part in TIMELINE.split(", ")]
+_TYPES = dict(part.split() for part in TIMELINE.split(", "))
+_ORDER = ["class", "tie", "kind"]
+EPOCH = ["change_us", "change_id", "frequency", "message_bytes"]
 
 
-def timeline_rows(df: DataFrame, sec: str, kind: int, **columns: Column) -> DataFrame:
+def timeline_rows(df: DataFrame, kind: int, /, **columns: Column) -> DataFrame:
     """Rows in timeline shape; columns not named are NULL, and the counters 0."""
-    types = dict(part.split() for part in TIMELINE.split(", "))
-    given = {"run_id": F.col("run_id"), "sec": F.col(sec), "kind": F.lit(kind), "delays": F.lit(0), "slow": F.lit(0)}
+    given = {"run_id": F.col("run_id"), "kind": F.lit(kind), "delays": F.lit(0), "slow": F.lit(0)}
+    # the changes of a moment, then its log lines, then what its polls tell
+    given["class"] = F.lit(min(kind, DELAY))
     given |= columns
-    return df.select(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in _TIMELINE_COLUMNS])
+    return df.select(*[given.get(c, F.lit(None)).cast(_TYPES[c]).alias(c) for c in _COLUMNS])
 
 
 def change_rows(changes: DataFrame) -> DataFrame:
-    """The last change of each run up to each whole second; telemetry has whole seconds and sees no other."""
-    newest = F.max(F.struct(times.micros(F.col("ts")).alias("us"), "change_id", "frequency", "message_bytes"))
-    per_second = (
-        changes.withColumn("sec", times.ceil_seconds(times.micros(F.col("ts"))))
-        .groupBy("run_id", "sec")
-        .agg(newest.alias("c"))
-    )
+    """Every change of rate; of several at one moment the last one stays in force."""
+    us = times.micros(F.col("ts"))
     return timeline_rows(
-        per_second,
-        "sec",
+        changes,
         CHANGE,
-        change_us=F.col("c.us"),
-        frequency=F.col("c.frequency"),
-        message_bytes=F.col("c.message_bytes"),
+        us=us,
+        tie=F.col("change_id"),
+        change_us=us,
+        change_id=F.col("change_id"),
+        frequency=F.col("frequency"),
+        message_bytes=F.col("message_bytes"),
     )
 
 
-def pause_rows(pauses: DataFrame, limit_ms: int = settings.SLOW_LISTING_MS) -> DataFrame:
-    slow = (F.col("pause_ms") > limit_ms).cast("bigint")
-    return timeline_rows(pauses, "ts", PAUSE, slow=F.coalesce(slow, F.lit(0)))
+def poll_rows(fetches: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row for each poll, whatever it listed, with the age of the oldest batch in progress at its time."""
+    us = times.micros(F.col("ts"))
+    # most polls list nothing in progress; a plain text test spares them the reading
+    listed = F.when(F.col(payload).contains("PROCESSING"), F.from_json(payload, BATCH_RECORDS))
+    busy = F.filter(listed, lambda r: r["status"] == "PROCESSING")
+    oldest = F.array_min(F.transform(busy, lambda r: times.batch_time_seconds(r["batchTime"])))
+    age_us = F.greatest(F.lit(0), F.coalesce(us - oldest * 1_000_000, F.lit(0)))
+    # rounded up, so that it is over a limit of whole milliseconds exactly if the age is
+    return timeline_rows(fetches, POLL, us=us, tie=F.col("fetch_id"), in_process_ms=-F.floor(-age_us / F.lit(1000)))
+
 
+def _in_time(us: Column, keep_sec: int) -> Column:
+    return us <= (F.col("of_sec") + keep_sec) * 1_000_000
 
-def point_rows(records: DataFrame) -> DataFrame:
-    """One decision point per run and second with a completed batch: the first known delay and the oldest in process."""
-    known = F.when(is_known_delay(F.col("total_delay_ms")), F.col("fetch_id"))
-    points = (
-        records.where((F.col("status") == "COMPLETED") & F.col("batch_ts").isNotNull())
-        .groupBy("run_id", "batch_ts")
-        .agg(
-            F.min_by("total_delay_ms", known).alias("delay_ms"),
-            F.max("in_process_ms").alias("in_process_ms"),
+
+def delay_sightings(fetches: DataFrame, keep_sec: int = KEEP_SEC) -> DataFrame:
+    """run_id, of_sec, us, tie, value, ts: each known delay of a completed batch, as often as polls list it."""
+    us = times.micros(F.col("ts"))
+    return (
+        batch_records(fetches)
+        .where((F.col("status") == "COMPLETED") & is_known_delay(F.col("total_delay_ms")) & F.col("batch_ts").isNotNull())
+        .select(
+            "run_id",
+            F.col("batch_ts").alias("of_sec"),
+            us.alias("us"),
+            F.col("fetch_id").alias("tie"),
+            F.col("total_delay_ms").alias("value"),
+            "ts",
         )
+        .where(_in_time(F.col("us"), keep_sec))
     )
-    delay = F.col("delay_ms")
+
+
+def slow_sightings(
+    lines: DataFrame, limit_ms: int = settings.SLOW_LISTING_MS, keep_sec: int = KEEP_SEC
+) -> DataFrame:
+    """run_id, of_sec, us, tie, value, ts: each listing, 1 for a slow one; in one second the last line stays."""
+    slow = F.coalesce((F.col("pause_ms") > limit_ms).cast("bigint"), F.lit(0))
+    return (
+        listings(lines)
+        .select(
+            "run_id",
+            F.col("sec").alias("of_sec"),
+            times.micros(F.col("ts")).alias("us"),
+            F.col("line_no").alias("tie"),
+            slow.alias("value"),
+            "ts",
+        )
+        .where(_in_time(F.col("us"), keep_sec))
+    )
+
+
+def delay_rows(known: DataFrame) -> DataFrame:
+    """From run_id, of_sec, us, tie, value, once for each batch: the delay, from when it was known."""
+    sec, delay = F.col("of_sec"), F.col("value")
     return timeline_rows(
-        points,
-        "batch_ts",
-        POINT,
-        delays=delay.isNotNull().cast("bigint"),
-        delay_ms=delay,
-        latest_ms=delay,
-        in_process_ms=F.col("in_process_ms"),
+        known, DELAY, us=F.col("us"), tie=F.col("tie"), of_sec=sec, delays=F.lit(1), delay_ms=delay, newest_sec=sec, newest_ms=delay
     )
 
 
-def timeline(changes: DataFrame, pauses: DataFrame, records: DataFrame) -> DataFrame:
-    return change_rows(changes).unionByName(pause_rows(pauses)).unionByName(point_rows(records))
+def pause_rows(altered: DataFrame) -> DataFrame:
+    """From run_id, of_sec, us, tie, value: by how much a line alters the number of slow listings."""
+    return timeline_rows(altered, PAUSE, us=F.col("us"), tie=F.col("tie"), of_sec=F.col("of_sec"), slow=F.col("value"))
 
 
-def with_epochs(rows: DataFrame) -> DataFrame:
-    """Adds the newest change to every row: its time names the epoch."""
-    so_far = (
-        Window.partitionBy("run_id").orderBy("sec", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    newest = F.last(
-        F.when(F.col("change_us").isNotNull(), F.struct("change_us", "frequency", "message_bytes")), ignorenulls=True
-    )
+def first_known(sightings: DataFrame) -> DataFrame:
+    """The first sighting of each batch; counted on the map side first."""
+    first = F.min(F.struct("us", "tie", "value")).alias("f")
+    return sightings.groupBy("run_id", "of_sec").agg(first).select("run_id", "of_sec", "f.*")
+
+
+def alterations(sightings: DataFrame) -> DataFrame:
+    """Lines whose second was not slow and is now, or the other way round. A window holds the lines of one second."""
+    before = F.lag("value", 1, 0).over(Window.partitionBy("run_id", "of_sec").orderBy("us", "tie"))
+    changed = sightings.withColumn("value", F.col("value") - before)
+    return changed.where(F.col("value") != 0)
+
+
+def timeline(changes: DataFrame, lines: DataFrame, fetches: DataFrame, keep_sec: int = KEEP_SEC) -> DataFrame:
     return (
-        rows.withColumn("_epoch", newest.over(so_far))
-        .drop("change_us", "frequency", "message_bytes")
-        .select("*", "_epoch.*")
-        .drop("_epoch")
+        change_rows(changes)
+        .unionByName(poll_rows(fetches))
+        .unionByName(delay_rows(first_known(delay_sightings(fetches, keep_sec))))
+        .unionByName(pause_rows(alterations(slow_sightings(lines, keep_sec=keep_sec))))
     )
 
 
+def with_epochs(rows: DataFrame) -> DataFrame:
+    """Gives every row the newest change up to it, which names its epoch."""
+    change = F.when(F.col("change_us").isNotNull(), F.struct(*EPOCH))
+    series = ordered.Series(["run_id"], "us", _ORDER)
+    return ordered.carry_last(rows, series, {"_epoch": change}).drop(*EPOCH).select("*", "_epoch.*").drop("_epoch")
+
+
 def is_settled(warmup_sec: int = settings.WARMUP_SEC) -> Column:
-    """True for carried state, and for telemetry late enough after the change to show the new rate."""
-    return (F.col("kind") == CARRIED) | (
-        (F.col("kind") > CHANGE) & (F.col("sec") * 1_000_000 > F.col("change_us") + warmup_sec * 1_000_000)
-    )
+    """True for carried state, and for telemetry whose own time is late enough after the change to show the new rate."""
+    return (F.col("kind") == CARRIED) | (F.col("of_sec") * 1_000_000 > F.col("change_us") + warmup_sec * 1_000_000)
 
 
 def since_change(rows: DataFrame, warmup_sec: int = settings.WARMUP_SEC) -> DataFrame:
-    """Decision points with n, sum, latest delay and slow listings since the change, after the warm-up."""
-    so_far = (
-        Window.partitionBy("run_id", "change_us")
-        .orderBy("sec", "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Polls with n, sum, latest delay and slow listings since the change, after the warm-up, as known by then."""
+    counting = with_epochs(rows).where(
+        F.col("change_us").isNotNull() & ((F.col("kind") == POLL) | is_settled(warmup_sec))
     )
+    newest = F.when(F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms"))
     return (
-        with_epochs(rows)
-        .where(is_settled(warmup_sec))
-        .withColumns(
-            {
-                "n": F.sum("delays").over(so_far),
-                "total_ms": F.sum("delay_ms").over(so_far),
-                "slow_listings": F.sum("slow").over(so_far),
-                "newest_ms": F.last("latest_ms", ignorenulls=True).over(so_far),
-            }
+        ordered.running(
+            counting,
+            ordered.Series(["run_id", "change_us", "change_id"], "us", _ORDER),
+            sums={"n": F.col("delays"), "total_ms": F.col("delay_ms"), "slow_listings": F.col("slow")},
+            greatest={"_newest": newest},
         )
-        .where((F.col("kind") == POINT) & (F.col("n") > 0))
+        .where((F.col("kind") == POLL) & (F.col("n") > 0))
+        .drop("newest_ms")
+        .withColumn("newest_ms", F.col("_newest.newest_ms"))
     )
 
 
@@ -184,27 +237,32 @@ def decide(points: DataFrame, wait_batches: int = WAIT_BATCHES) -> DataFrame:
 
 def throughput_decisions(
     changes: DataFrame,
-    pauses: DataFrame,
-    records: DataFrame,
+    lines: DataFrame,
+    fetches: DataFrame,
     warmup_sec: int = settings.WARMUP_SEC,
     wait_batches: int = WAIT_BATCHES,
+    keep_sec: int = KEEP_SEC,
 ) -> DataFrame:
-    """A decision for each completed batch that has at least one delay since the last change."""
-    points = since_change(timeline(changes, pauses, records), warmup_sec)
+    """A decision for each poll that knows at least one delay since the last change.
+
+    ``changes`` hold change_id, run_id, ts, frequency, message_bytes; ``lines`` line_no, run_id, ts, line; ``fetches`` fetch_id, run_id, ts,
+    payload. A payload that cannot be read is a poll that listed nothing.
+    """
+    points = since_change(timeline(changes, lines, fetches, keep_sec), warmup_sec)
     return decision_columns(decide(points, wait_batches))
 
 
 def decision_columns(decided: DataFrame) -> DataFrame:
     return decided.select(
         "run_id",
-        F.col("sec").alias("batch_ts"),
-        "change_us",
-        "frequency",
-        "message_bytes",
+        F.col("tie").alias("fetch_id"),
+        F.col("us").alias("poll_us"),
+        *EPOCH,
         "n",
         "total_ms",
         F.col("newest_ms").alias("latest_ms"),
         "slow_listings",
+        "in_process_ms",
         "rule",
         "new_frequency",
         "reason",
@@ -213,13 +271,11 @@ def decision_columns(decided: DataFrame) -> DataFrame:
 
 
 def epoch_outcomes(decisions: DataFrame) -> DataFrame:
-    """The first decision of each epoch that stops or changes the rate. The rows of an epoch are already in one task."""
-    taken = F.min(F.struct("batch_ts", "rule", "new_frequency", "reason"))
+    """The first decision of each epoch that stops or changes the rate."""
+    taken = F.min(F.struct("poll_us", "fetch_id", "rule", "new_frequency", "reason"))
+    epoch = [c for c in EPOCH if c in decisions.columns]
     return (
-        decisions.where("ends_epoch")
-        .groupBy("run_id", "change_us", "frequency", "message_bytes")
-        .agg(taken.alias("d"))
-        .select("run_id", "change_us", "frequency", "message_bytes", "d.*")
+        decisions.where("ends_epoch").groupBy("run_id", *epoch).agg(taken.alias("d")).select("run_id", *epoch, "d.*")
     )
 
 
@@ -237,10 +293,10 @@ def max_throughput(outcomes: DataFrame) -> DataFrame:
 
 def post_warmup_delays(changes: DataFrame, delays: DataFrame, warmup_sec: int = settings.WARMUP_SEC) -> DataFrame:
     """Delays late enough after the last change of their run, with that change."""
-    delay = F.col("delay_ms")
-    points = timeline_rows(delays, "batch_ts", POINT, delays=F.lit(1), delay_ms=delay, latest_ms=delay)
+    sec, delay = F.col("batch_ts"), F.col("delay_ms")
+    points = timeline_rows(delays, DELAY, us=sec * 1_000_000, of_sec=sec, delays=F.lit(1), delay_ms=delay)
     return (
         with_epochs(change_rows(changes).unionByName(points))
-        .where(is_settled(warmup_sec) & (F.col("kind") == POINT))
-        .select("run_id", F.col("sec").alias("batch_ts"), "delay_ms", "change_us", "frequency")
+        .where(is_settled(warmup_sec) & (F.col("kind") == DELAY))
+        .select("run_id", F.col("of_sec").alias("batch_ts"), "delay_ms", "change_us", "frequency")
     )

@@ -1,10 +1,10 @@
-"""Order-dependent columns over long series: last value so far, previous value, running total.
+"""Order-dependent columns over long series: last value so far, previous value, running totals.
 
-A plain window over ``partitionBy(key)`` sends a whole series to one task, so a source that holds a third
-of the rows would run alone at the end. Here the keys that hold more than ``1 / parts`` of the rows are
-looked up first. At most ``parts`` keys can be that large, so the list is small by construction. Their series
-are cut into segments of about that many rows; every segment is a window of its own and starts from one
-extra row that carries the state of the segments before it. When no key is large, the plan is a plain window.
+A plain window over ``partitionBy(key)`` sends a whole series to one task, so a source that holds a third of the rows would run
+alone at the end. Here every series is cut into spans of a fixed length of time. Each span is a window of its own,
+which starts from one extra row that carries the state of the spans before it. That state comes from the end of each
+span, reduced on the map side, so what is ordered by key alone is one row for each key and span, whatever the traffic.
+The plan is the same for every table, and nothing runs before the action.
 """
 
 from __future__ import annotations
@@ -15,64 +15,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-PARTS = 1024
-MIN_ROWS = 1_000_000
+HOUR_US = 3_600_000_000
 
-# Sampled rows per segment; their spread makes segments differ by about an eighth.
-_SAMPLES = 64
-
-_SEGMENT, _SEED, _CUTS = "_segment", "_seed", "_cuts"
+_SPAN, _SEED = "_segment", "_seed"
 
 
 @dataclass(frozen=True)
 class Series:
-    """Rows of one series share ``keys``; ``at`` and then ``tie`` give their order."""
+    """Rows of one series share ``keys``; ``at``, a whole number, and then ``tie`` give their order.
+
+    ``span`` is the length of a window in units of ``at``. Rows without a time come first, in a window of their own.
+    """
 
     keys: list[str]
     at: str
     tie: list[str]
+    span: int = HOUR_US
 
     def position(self) -> Column:
         return F.struct(self.at, *self.tie)
 
-
-def cut_points(df: DataFrame, series: Series, parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame | None:
-    """Keys over ``max(rows / parts, min_rows)`` rows, with ascending positions that cut them in pieces of that size.
-
-    Positions come from a sample, so two runs of the same job may find others. They are fetched once (there are no
-    more than about ``2 * parts``) and every use sees the same ones. None when no key is that large.
-    """
-    sizes = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_n"))
-    row = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    piece = max((row.total or 0) / parts, min_rows)
-    if not row.total or row.largest <= piece:
-        return None
-    share = min(1.0, _SAMPLES / piece)
-    every = max(1, round(share * piece))
-    large = sizes.where(F.col("_n") > piece).drop("_n")
-    cuts = (
-        df.select(*series.keys, series.position().alias("_at"))
-        .join(F.broadcast(large), series.keys, "left_semi")
-        .sample(share)
-        .groupBy(*series.keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_at"))
-        .select(*series.keys, F.filter("_at", lambda _, i: i % every == every - 1).alias(_CUTS))
-    )
-    return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-
-
-def _segmented(df: DataFrame, series: Series, cuts: DataFrame) -> DataFrame:
-    """Adds the segment of each row: the number of cuts at or before it (0 for keys that are not cut)."""
-    most = cuts.agg(F.max(F.size(_CUTS))).first()[0]
-    steps = [2**i for i in reversed(range(most.bit_length()))] or [1]
-    # Binary search: each step moves on when the cut it would pass lies at or before the row.
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda pos, s: F.when(F.get(F.col(_CUTS), pos + s - 1) <= series.position(), pos + s).otherwise(pos),
-    )
-    tagged = df.join(F.broadcast(cuts), series.keys, "left")
-    return tagged.withColumn(_SEGMENT, F.when(F.col(_CUTS).isNotNull(), found).otherwise(0))
+    def span_number(self) -> Column:
+        return F.floor(F.col(self.at) / F.lit(self.span))
 
 
 def _over(
@@ -82,32 +46,24 @@ def _over(
     ends: dict[str, Column],
     carried: dict[str, Column],
     results: dict[str, Callable[[WindowSpec], Column]],
-    parts: int,
-    min_rows: int,
 ) -> DataFrame:
     """Adds ``results``, each computed over the ordered window it is given.
 
-    ``columns`` prepares helper columns per row, ``ends`` folds them to the state at the end of a segment, and
-    ``carried`` combines the ends of earlier segments. Both name their results like the helper columns, so the
-    extra row of a segment looks like one more row at its front.
+    ``columns`` prepares helper columns per row, ``ends`` folds them to the state at the end of a span, and
+    ``carried`` combines the ends of earlier spans. Both name their results like the helper columns, so the
+    extra row of a span looks like one more row at its front.
     """
     kept = df.columns
-    prepared = df.withColumns(columns)
-    cuts = cut_points(df, series, parts, min_rows)
-    if cuts is None:
-        window = Window.partitionBy(*series.keys).orderBy(series.at, *series.tie)
-        return prepared.withColumns({k: c(window) for k, c in results.items()}).select(*kept, *results)
-    rows = _segmented(prepared, series, cuts)
-    earlier = Window.partitionBy(*series.keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns(columns).withColumn(_SPAN, series.span_number())
+    earlier = Window.partitionBy(*series.keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
     seeds = (
-        rows.where(F.col(_CUTS).isNotNull())
-        .groupBy(*series.keys, _SEGMENT)
+        rows.groupBy(*series.keys, _SPAN)
         .agg(*[c.alias(k) for k, c in ends.items()])
-        .select(*series.keys, _SEGMENT, *[c.over(earlier).alias(k) for k, c in carried.items()])
+        .select(*series.keys, _SPAN, *[c.over(earlier).alias(k) for k, c in carried.items()])
         .withColumn(_SEED, F.lit(0))
     )
-    both = rows.drop(_CUTS).withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    window = Window.partitionBy(*series.keys, _SEGMENT).orderBy(_SEED, series.at, *series.tie)
+    both = rows.withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    window = Window.partitionBy(*series.keys, _SPAN).orderBy(_SEED, series.at, *series.tie)
     done = both.withColumns({k: c(window) for k, c in results.items()})
     return done.where(F.col(_SEED) == 1).select(*kept, *results)
 
@@ -116,9 +72,7 @@ def _so_far(column: Column) -> Callable[[WindowSpec], Column]:
     return lambda window: column.over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def carry_last(
-    df: DataFrame, series: Series, values: dict[str, Column], parts: int = PARTS, min_rows: int = MIN_ROWS
-) -> DataFrame:
+def carry_last(df: DataFrame, series: Series, values: dict[str, Column]) -> DataFrame:
     """Adds for each value its newest non-null one up to and with the current row."""
     order = series.position()
     helper = {name: f"_value_{name}" for name in values}
@@ -129,14 +83,10 @@ def carry_last(
         ends={h: F.max_by(h, F.when(F.col(h).isNotNull(), order)) for h in helper.values()},
         carried={h: F.last(h, ignorenulls=True) for h in helper.values()},
         results={n: _so_far(F.last(helper[n], ignorenulls=True)) for n in values},
-        parts=parts,
-        min_rows=min_rows,
     )
 
 
-def previous(
-    df: DataFrame, series: Series, name: str, parts: int = PARTS, min_rows: int = MIN_ROWS
-) -> DataFrame:
+def previous(df: DataFrame, series: Series, name: str) -> DataFrame:
     """Adds the ``at`` of the row before, NULL for the first row of a series."""
     return _over(
         df,
@@ -145,6 +95,18 @@ def previous(
         ends={"_at": F.max("_at")},
         carried={"_at": F.last("_at", ignorenulls=True)},
         results={name: lambda window: F.lag("_at").over(window)},
-        parts=parts,
-        min_rows=min_rows,
+    )
+
+
+def running(df: DataFrame, series: Series, sums: dict[str, Column], greatest: dict[str, Column]) -> DataFrame:
+    """Adds the sum so far, or the greatest value so far, of each column, with the current row."""
+    helper = {name: f"_value_{name}" for name in (*sums, *greatest)}
+    fold = {n: F.sum if n in sums else F.max for n in helper}
+    return _over(
+        df,
+        series,
+        columns={helper[n]: c for n, c in (sums | greatest).items()},
+        ends={h: fold[n](h) for n, h in helper.items()},
+        carried={h: fold[n](h) for n, h in helper.items()},
+        results={n: _so_far(fold[n](h)) for n, h in helper.items()},
     )

@@ -28,6 +28,16 @@ def completed_delays(records: DataFrame) -> DataFrame:
     )
 
 
+def newest_records(records: DataFrame) -> DataFrame:
+    """Each batch of a run once, as the last poll that listed it shows it."""
+    shown = F.struct("status", "total_delay_ms")
+    return (
+        records.groupBy("run_id", "batch_id", "batch_ts")
+        .agg(F.max_by(shown, "fetch_id").alias("r"))
+        .select("run_id", "batch_id", "batch_ts", "r.*")
+    )
+
+
 def unfinished_batches(records: DataFrame, now: Column) -> DataFrame:
     """Per run, in its newest fetch: queued batches, whether they pile up, and the age of the oldest batch in progress.
 
@@ -57,19 +67,23 @@ def _lines_of(lines: DataFrame, logger: str, text: str = "") -> DataFrame:
     )
 
 
-def listing_pauses(lines: DataFrame) -> DataFrame:
-    """run_id, ts, pause_ms of directory listings found in log lines; in one second the last line stays."""
+def listings(lines: DataFrame) -> DataFrame:
+    """Adds sec and pause_ms to the lines that report a directory listing."""
     return (
         _lines_of(lines, settings.LISTING_LOGGER, settings.LISTING_TEXT)
-        .select(
-            "run_id", F.col("timestamp_unix").alias("ts"), "line_no", logs.first_integer(F.col("message")).alias("ms")
-        )
-        .where(F.col("ts").isNotNull())
-        .groupBy("run_id", "ts")
-        .agg(F.max_by("ms", "line_no").alias("pause_ms"))
+        .withColumnRenamed("timestamp_unix", "sec")
+        .withColumn("pause_ms", logs.first_integer(F.col("message")))
+        .where(F.col("sec").isNotNull())
+        .drop("message")
     )
 
 
+def listing_pauses(lines: DataFrame) -> DataFrame:
+    """run_id, ts, pause_ms of directory listings found in log lines; in one second the last line stays."""
+    found = listings(lines).groupBy("run_id", F.col("sec").alias("ts"))
+    return found.agg(F.max_by("pause_ms", "line_no").alias("pause_ms"))
+
+
 def app_log_lines(lines: DataFrame) -> DataFrame:
     """Lines the application itself logged."""
     return _lines_of(lines, settings.APP_LOGGER)

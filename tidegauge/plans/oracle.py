@@ -20,14 +20,16 @@ VIEWS = {
     "files": """
         select event_id, concat(case when event_type = 'error' then '.COPYING.' when event_type = 'signup' then '_'
           else '' end, ev_name) as name, sec + k as mtime_s from ev""",
+    # Four batches of a run for each poll, and one in progress for views.
     "batches": """
-        select event_id as batch_id, user_id as run_id, sec as batch_ts,
-          case when event_type = 'error' then 'QUEUED' when event_type = 'view' then 'PROCESSING'
+        select event_id as fetch_id, user_id as run_id, us, case when j < 4 then sec // 14400 - j else sec end as batch_id,
+          case when j < 4 then (sec // 14400 - j) * 14400 else sec - k % 40 end as batch_ts,
+          case when j = 4 then 'PROCESSING' when event_type = 'error' and (j = 0 or j = 1 and k < 50) then 'QUEUED'
             else 'COMPLETED' end as status,
-          case when k < 95 then cast(floor(value * 100 / case user_id % 3 when 0 then 1.0::double
-            when 1 then 10.0::double else 100.0::double end) as bigint) end as total_delay_ms,
-          case when k = 94 then 30000 else 0 end as in_process_ms
-        from ev where event_type <> 'signup'""",
+          case when j = 4 or (k + 7 * j) % 20 = 19 then null when (k + 7 * j) % 20 = 18 then -1
+            else cast(floor(value * 100 / case user_id % 3 when 0 then 1.0::double when 1 then 10.0::double
+              else 100.0::double end) as bigint) + 10 * j end as total_delay_ms
+        from (select *, unnest(range(5)) as j from ev) where j < 4 or event_type = 'view'""",
     "changes": """
         select event_id as change_id, user_id as run_id, ts, sec, us, cast(1 + k as bigint) as frequency,
           size as message_bytes
@@ -73,37 +75,39 @@ VIEWS = {
           from bench group by run_id, container_count)
         where total is not null and prepare is not null""",
     "delays": """
-        select run_id, batch_ts, arg_min(total_delay_ms, batch_id) as delay_ms from batches
+        select run_id, batch_ts, arg_min(total_delay_ms, fetch_id) as delay_ms from batches
         where status = 'COMPLETED' and coalesce(total_delay_ms, -1) >= 0 group by run_id, batch_ts""",
-    "pauses": r"""
-        select run_id, timestamp_unix as ts, arg_max(cast(regexp_extract(message, '[0-9]+') as bigint), line_no) as pause_ms
-        from log_records where logger_name = 'FileInputDStream' and message like '%Finding new files took%'
-        group by run_id, timestamp_unix""",
-    # Every completed second of a run, with the newest change at or before it.
-    "points": """
-        select p.*, c.us as change_us, c.frequency, c.message_bytes from (
-          select run_id, batch_ts, batch_ts * 1000000 as us,
-            arg_min(total_delay_ms, batch_id) filter (where coalesce(total_delay_ms, -1) >= 0) as delay_ms,
-            max(in_process_ms) as in_process_ms
-          from batches where status = 'COMPLETED' group by run_id, batch_ts) p
+    "listings": """
+        select r.run_id, l.us, r.line_no, r.timestamp_unix as sec, cast(regexp_extract(message, '[0-9]+') as bigint) as pause_ms
+        from log_records r join (select line_no, epoch_us(ts) as us from log_lines) l using (line_no)
+        where logger_name = 'FileInputDStream' and message like '%Finding new files took%'""",
+    "pauses": "select run_id, sec as ts, arg_max(pause_ms, line_no) as pause_ms from listings group by run_id, sec",
+    # What the loop sees at each poll: the rate in force, the age of the oldest batch in progress, ...
+    "polls": """
+        select p.*, c.us as change_us, c.change_id, c.frequency, c.message_bytes from (
+          select fetch_id, run_id, us, greatest(0, coalesce(max(us - batch_ts * 1000000) filter (where status = 'PROCESSING'), 0)) as age_us
+          from batches group by fetch_id, run_id, us) p
         asof join changes c on p.run_id = c.run_id and p.us >= c.us""",
+    # ... the delays it knows by then, of which the first one fetched stays, ...
+    "known": """
+        select run_id, batch_ts, us, fetch_id, total_delay_ms as delay_ms from (
+          select *, row_number() over (partition by run_id, batch_ts order by us, fetch_id) as nth from batches
+          where status = 'COMPLETED' and coalesce(total_delay_ms, -1) >= 0) where nth = 1""",
+    "recent": """
+        select p.fetch_id, p.run_id, p.us, p.age_us, p.change_us, p.change_id, p.frequency, p.message_bytes, count(*) as n,
+          cast(sum(d.delay_ms) as bigint) as total_ms, arg_max(d.delay_ms, d.batch_ts) as latest_ms
+        from polls p join known d on d.run_id = p.run_id and d.batch_ts * 1000000 > p.change_us + 13000000
+          and (d.us < p.us or d.us = p.us and d.fetch_id <= p.fetch_id)
+        group by all""",
+    # ... and the listing pauses it knows, of which the last line of a second stays.
     "slow": """
-        select p.run_id, p.ts, c.us as change_us from pauses p
-        asof join changes c on p.run_id = c.run_id and p.ts * 1000000 >= c.us
-        where p.pause_ms > 4750 and p.ts * 1000000 > c.us + 13000000""",
-    "settled": """
-        select run_id, batch_ts, change_us, frequency, message_bytes, in_process_ms,
-          count(delay_ms) over w as n, cast(sum(delay_ms) over w as bigint) as total_ms,
-          last_value(delay_ms ignore nulls) over w as latest_ms
-        from points where us > change_us + 13000000
-        window w as (partition by run_id, change_us order by batch_ts rows unbounded preceding)""",
-    "counted": """
-        select s.*, (select count(*) from slow q where q.run_id = s.run_id and q.change_us = s.change_us
-          and q.ts <= s.batch_ts) as slow_listings
-        from settled s where n > 0""",
+        select fetch_id, count(*) filter (where pause_ms > 4750) as slow_listings from (
+          select p.fetch_id, l.sec, arg_max(l.pause_ms, l.line_no) as pause_ms
+          from polls p join listings l on l.run_id = p.run_id and l.us <= p.us and l.sec * 1000000 > p.change_us + 13000000
+          group by p.fetch_id, l.sec) group by fetch_id""",
     "ruled": """
         select *, case
-          when (frequency > 1 and latest_ms > 25000) or in_process_ms > 25000 then 1
+          when (frequency > 1 and latest_ms > 25000) or age_us > 25000000 then 1
           when frequency > 1 and slow_listings > 2 then 2
           when n > 5 and total_ms > 10000 * n then 3
           when n > 3 and total_ms < 50 * n then 4
@@ -112,10 +116,10 @@ VIEWS = {
           when n > 3 and total_ms < 4500 * n then 7
           when n > 3 and total_ms < 5000 * n then 8
           when n > 3 then 9 else 10 end as rule
-        from counted""",
+        from (select r.*, coalesce(s.slow_listings, 0) as slow_listings from recent r left join slow s using (fetch_id))""",
     "decided": """
-        select run_id, batch_ts, change_us, frequency, message_bytes, n, total_ms, latest_ms, slow_listings, rule,
-          new_frequency, reason, reason is not null or new_frequency <> frequency as ends_epoch
+        select run_id, fetch_id, us as poll_us, change_us, change_id, frequency, message_bytes, n, total_ms, latest_ms, slow_listings,
+          cast(ceil(age_us / 1000.0::double) as bigint) as in_process_ms, rule, new_frequency, reason, reason is not null or new_frequency <> frequency as ends_epoch
         from (select *, case when rule in (1, 3, 9) then greatest(1, frequency // 2)
               when rule = 4 then frequency * 50 when rule = 5 then frequency * 5
               when rule = 6 then cast(floor(frequency * 1.75::double) as bigint) + 1
@@ -124,8 +128,8 @@ VIEWS = {
             case rule when 2 then 'LIMIT_FILE_LISTNG' when 8 then 'LIMIT_TOTAL_DELAY' end as reason
           from ruled)""",
     "outcomes": """
-        select run_id, change_us, frequency, message_bytes, batch_ts, rule, new_frequency, reason
-        from (select *, row_number() over (partition by run_id, change_us order by batch_ts) as nth
+        select run_id, change_us, change_id, frequency, message_bytes, poll_us, fetch_id, rule, new_frequency, reason
+        from (select *, row_number() over (partition by run_id, change_us order by poll_us, fetch_id) as nth
           from decided where ends_epoch) where nth = 1""",
     "bounds": "select min(sec) as lo, max(sec) as hi from ev",
     # Slice of a row when the time span is cut in four, at whole seconds.
@@ -215,7 +219,7 @@ BODIES = {
         select sec // 300 * 300 as batch_start_s, cast(sum(cpu_pause_ms) as bigint) as cost_ms,
           sum(cpu_pause_ms) / 2400000.0::double as load
         from messages group by sec // 300""",
-    "batch_records": "select run_id, batch_id, batch_ts, status, total_delay_ms from batches",
+    "batch_records": "select fetch_id, run_id, batch_id, batch_ts, status, total_delay_ms from batches",
     "app_records": """
         select event_id as fetch_id, app_id, name, startTime, duration, sparkUser, completed, startTimeEpoch
         from (select event_id, concat('local-', ms) as app_id, concat('run ', user_id) as name, nth,
@@ -238,7 +242,7 @@ BODIES = {
         select run_id, count(*) filter (where status = 'QUEUED') as queued,
           count(*) filter (where status = 'QUEUED') > 1 as has_backlog,
           greatest(0, coalesce(max({_NOW} - batch_ts) filter (where status = 'PROCESSING'), 0)) as in_process_sec
-        from batches where (run_id, batch_id) in (select (run_id, max(batch_id)) from batches group by run_id) group by run_id""",
+        from batches where (run_id, fetch_id) in (select (run_id, max(fetch_id)) from batches group by run_id) group by run_id""",
     "post_warmup_delays": """
         select d.run_id, d.batch_ts, d.delay_ms, c.us as change_us, c.frequency from delays d
         asof join changes c on d.run_id = c.run_id and d.batch_ts * 1000000 >= c.us
@@ -255,6 +259,7 @@ BODIES = {
     "latest_delay": """
         select run_id, max(batch_ts) as batch_ts, arg_max(delay_ms, batch_ts) as delay_ms from delays group by run_id""",
     "ordered_delays": "select * from delays order by run_id, batch_ts",
+    # Each batch as the last poll that listed it shows it.
     "run_statistics": """
         select run_id, min(batch_ts) as start_s, count(*) filter (where status = 'COMPLETED') as completed_batches,
           count(*) filter (where status = 'PROCESSING') as active_batches,
@@ -267,7 +272,9 @@ BODIES = {
             // nullif(count(total_delay_ms) filter (where status = 'COMPLETED'), 0) as bigint) as avg_processing_ms,
           cast(sum(total_delay_ms) filter (where status = 'COMPLETED')
             // nullif(count(total_delay_ms) filter (where status = 'COMPLETED'), 0) as bigint) as avg_total_ms
-        from batches group by run_id""",
+        from (select run_id, batch_id, batch_ts, status, case when total_delay_ms >= 0 then total_delay_ms end as total_delay_ms
+          from (select *, row_number() over (partition by run_id, batch_id, batch_ts order by fetch_id desc) as nth from batches) where nth = 1)
+        group by run_id""",
     "param_patches": """
         select event_id, run_id, coalesce(last_value(cost ignore nulls) over w, 20) as cpu_pause_ms,
           coalesce(last_value(bytes ignore nulls) over w, 200) as message_bytes,
@@ -321,6 +328,7 @@ BODIES = {
     "stream_clean_source": """
         select count(*) as processed, count(*) filter (where quarter = 3) as still_there from quarters""",
     "stream_epoch_outcomes": "select * from outcomes",
+    "stream_completed_delays": "select * from delays",
 }
 BODIES["parse_cost_udf"] = BODIES["parse_cost"]
 

@@ -186,7 +186,7 @@ def _pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("run_id", "batch_id", "batch_ts", "status", "total_delay_ms")
+    return _records(spark, sf_dir).select("fetch_id", "run_id", "batch_id", "batch_ts", "status", "total_delay_ms")
 
 
 def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,16 +248,10 @@ def ordered_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scheduling = F.floor(F.col("total_delay_ms") / 25).cast("bigint")
-    timed = (
-        _records(spark, sf_dir)
-        .withColumns(
-            {
-                "records": F.col("batch_id") % 100,
-                "scheduling_ms": scheduling,
-                "processing_ms": F.col("total_delay_ms") - scheduling,
-            }
-        )
+    known = F.when(F.col("total_delay_ms") >= 0, F.col("total_delay_ms"))
+    scheduling = F.floor(known / 25).cast("bigint")
+    timed = telemetry.newest_records(_records(spark, sf_dir)).withColumns(
+        {"records": F.col("batch_id") % 100, "scheduling_ms": scheduling, "processing_ms": known - scheduling}
     )
     return telemetry.run_statistics(timed, settings.BATCH_INTERVAL_SEC)
 
@@ -283,7 +277,7 @@ def params_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def throughput_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.throughput_decisions(
-        tables.changes(spark, sf_dir), _pauses(spark, sf_dir), _records(spark, sf_dir)
+        tables.changes(spark, sf_dir), tables.log_lines(spark, sf_dir), tables.batch_payloads(spark, sf_dir)
     )
 
 

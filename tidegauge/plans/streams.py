@@ -17,9 +17,11 @@ from tidegauge.functions import times
 from tidegauge.operators import files, words
 from tidegauge.session import scratch_dir
 from tidegauge.sources import folders, readers, tables
-from tidegauge.streaming import epochs, progress, runs, sinks, windows
+from tidegauge.streaming import epochs, progress, runs, sinks, windows, wins
 
 SLICES = 4
+# The batches of the tables are four hours long, not five seconds, so a span of state is longer too.
+KNOWN_SPAN_SEC = 7 * 86_400
 FRESH_FROM_S = 1_704_931_200  # 2024-01-11 00:00:00 UTC
 
 
@@ -177,7 +179,7 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_epoch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First decision of each epoch, found by a stream that keeps the state of every run."""
+    """First decision of each epoch, found by a stream of changes, log lines and overlapping polls in the order of arrival."""
     root = scratch_dir(spark, "epochs")
     feed = epochs.observations(
         tables.changes(spark, sf_dir), tables.log_lines(spark, sf_dir), tables.batch_payloads(spark, sf_dir)
@@ -189,12 +191,28 @@ def stream_epoch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start():
         stream = spark.readStream.schema(epochs.OBSERVATIONS).parquet(f"{root}/in/*")
-        return sinks.for_each_batch(stream, action)
+        return sinks.for_each_batch(epochs.timeline(stream, bucket_sec=KNOWN_SPAN_SEC), action)
 
     runs.replay(runs.time_slices(feed, 3), deliver, start, f"{root}/checkpoint")
     return action.outcomes(spark)
 
 
+def stream_completed_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first delay of each batch from a stream of overlapping polls."""
+    root = scratch_dir(spark, "delays")
+    schema = "fetch_id bigint, run_id bigint, ts timestamp_ntz, payload string"
+
+    def deliver(part: DataFrame, number: int) -> None:
+        part.select("fetch_id", "run_id", "ts", "payload").write.parquet(f"{root}/in/slice-{number}")
+
+    def start():
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        return sinks.keep_batches(wins.first_delays(stream, bucket_sec=KNOWN_SPAN_SEC), f"{root}/out", lambda batch: batch)
+
+    runs.replay(runs.time_slices(tables.batch_payloads(spark, sf_dir), SLICES), deliver, start, f"{root}/checkpoint")
+    return sinks.kept_batches(spark, f"{root}/out").drop("batch_id")
+
+
 STREAM_QUERIES = (
     foreach_batch_counts,
     stream_line_count,
@@ -205,4 +223,5 @@ STREAM_QUERIES = (
     stream_clean_source,
     progress_log,
     stream_epoch_outcomes,
+    stream_completed_delays,
 )

@@ -1,9 +1,10 @@
-"""Decisions on a stream: the state of every run is kept between micro-batches.
+"""Decisions on a stream: what each run knew at each poll, kept from micro-batch to micro-batch.
 
-A run may hold a large part of a micro-batch, so its rows are not handed to one Python function. Each micro-batch
-is reduced to one row per run and second with the batch operators, and the state of a run enters as one more row at
-the front of its series. State is a table written once per micro-batch under its number; a batch that is repeated
-after a failure reads the state before it again and replaces what it wrote.
+Two kinds of state are kept. Which delays and listings are known already lies in Spark's state store (``streaming.wins``), so a batch that
+overlapping polls list again counts once, whenever it arrives. The totals of each run since its last change are a table that each
+micro-batch writes under its number: a run may hold a large part of a micro-batch, so its rows are not handed to one Python
+function but reduced with the batch operators, and its totals enter as one more row at the front of its series. A micro-batch
+that is repeated after a failure reads the totals before it again and replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -12,29 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import settings
-from tidegauge.functions import times
 from tidegauge.operators import decisions as dec
-from tidegauge.operators.telemetry import listing_pauses
-from tidegauge.sources.readers import batch_records
 from tidegauge.sources import folders
+from tidegauge.streaming import wins
 
 OBSERVATIONS = (
-    "run_id bigint, ts timestamp_ntz, kind string, id bigint, frequency bigint, message_bytes bigint, "
-    "line string, payload string, in_process_ms bigint"
+    "run_id bigint, ts timestamp_ntz, kind string, id bigint, frequency bigint, message_bytes bigint, line string, payload string"
 )
 
-STATE = (
-    "run_id bigint, change_us bigint, frequency bigint, message_bytes bigint, delays bigint, delay_ms bigint, "
-    "slow bigint, latest_ms bigint, last_sec bigint, decided boolean"
-)
+_TOTALS = ["delays", "delay_ms", "slow", "newest_sec", "newest_ms"]
+STATE = "run_id bigint, " + ", ".join(f"{c} bigint" for c in [*dec.EPOCH, *_TOTALS]) + ", decided boolean"
 OUTCOMES = (
-    "run_id bigint, change_us bigint, frequency bigint, message_bytes bigint, batch_ts bigint, rule int, "
-    "new_frequency bigint, reason string"
+    "run_id bigint, change_us bigint, change_id bigint, frequency bigint, message_bytes bigint, poll_us bigint, fetch_id bigint, "
+    "rule int, new_frequency bigint, reason string"
 )
 
 
 def observations(changes: DataFrame, log_lines: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Changes, log lines and fetched batch records as one raw feed."""
+    """Changes, log lines and polls as one raw feed in the order of ``ts``, their time of arrival."""
     shape = dict(part.split() for part in OBSERVATIONS.split(", "))
 
     def rows(df: DataFrame, kind: str, number: str) -> DataFrame:
@@ -48,61 +44,70 @@ def observations(changes: DataFrame, log_lines: DataFrame, fetches: DataFrame) -
     )
 
 
-def _timeline(feed: DataFrame) -> DataFrame:
+def timeline(
+    feed: DataFrame, keep_sec: int = dec.KEEP_SEC, lateness: str = wins.LATENESS, bucket_sec: int = wins.BUCKET_SEC
+) -> DataFrame:
+    """The stream of observations as a stream of timeline rows; telemetry that was known before is left out."""
     kind = F.col("kind")
-    logs = feed.where(kind == "log").select("run_id", F.col("id").alias("line_no"), "line")
-    fetches = feed.where(kind == "fetch").select("run_id", F.col("id").alias("fetch_id"), "payload", "in_process_ms")
-    return dec.timeline(
-        feed.where(kind == "change").withColumnRenamed("id", "change_id"), listing_pauses(logs), batch_records(fetches)
+    changes = feed.where(kind == "change").withColumnRenamed("id", "change_id")
+    logs = feed.where(kind == "log").select("run_id", "ts", F.col("id").alias("line_no"), "line")
+    fetches = feed.where(kind == "fetch").select("run_id", "ts", F.col("id").alias("fetch_id"), "payload")
+    seen = (
+        dec.delay_sightings(fetches, keep_sec)
+        .withColumn("kind", F.lit(dec.DELAY))
+        .unionByName(dec.slow_sightings(logs, keep_sec=keep_sec).withColumn("kind", F.lit(dec.PAUSE)))
+    )
+    known = wins.newly_known(seen, keep_sec, lateness, bucket_sec)
+    is_delay = F.col("kind") == dec.DELAY
+    sec, value = F.col("of_sec"), F.col("value")
+    told = dec.timeline_rows(
+        known,
+        dec.DELAY,
+        us=F.col("us"),
+        tie=F.col("tie"),
+        of_sec=sec,
+        delays=is_delay.cast("bigint"),
+        delay_ms=F.when(is_delay, value),
+        newest_sec=F.when(is_delay, sec),
+        newest_ms=F.when(is_delay, value),
+        slow=F.when(is_delay, 0).otherwise(value),
+        **{"kind": F.col("kind"), "class": F.when(is_delay, dec.DELAY).otherwise(dec.PAUSE)},
     )
+    return told.unionByName(dec.change_rows(changes)).unionByName(dec.poll_rows(fetches))
 
 
 def _carried(state: DataFrame) -> DataFrame:
-    """The state of each run as a timeline row at the time of its last change."""
-    return dec.timeline_rows(
-        state.where(F.col("change_us").isNotNull()).withColumn("sec", times.ceil_seconds(F.col("change_us"))),
-        "sec",
-        dec.CARRIED,
-        **{
-            c: F.col(c)
-            for c in ("change_us", "frequency", "message_bytes", "delays", "delay_ms", "slow", "latest_ms")
-        },
-    )
+    """The totals of each run as a timeline row at the time of its last change."""
+    columns = {c: F.col(c) for c in [*dec.EPOCH, *_TOTALS]}
+    return dec.timeline_rows(state, dec.CARRIED, us=F.col("change_us"), tie=F.col("change_id"), **columns)
 
 
-def _next_state(rows: DataFrame, before: DataFrame | None, decided: DataFrame, warmup_sec: int) -> DataFrame:
-    """Totals of the newest epoch of each run, the newest second seen, and whether the epoch has its outcome."""
+def _next_state(rows: DataFrame, decided: DataFrame, warmup_sec: int) -> DataFrame:
+    """Totals of the newest epoch of each run, and whether the epoch has its outcome. The totals before are among the rows."""
     settled = dec.is_settled(warmup_sec)
 
     def total(column: str):
         return F.sum(F.when(settled, F.col(column))).alias(column)
 
-    epochs = rows.groupBy("run_id", "change_us", "frequency", "message_bytes").agg(
-        total("delays"),
-        total("delay_ms"),
-        total("slow"),
-        F.max_by("latest_ms", F.when(settled & F.col("latest_ms").isNotNull(), F.col("sec"))).alias("latest_ms"),
-        F.max(F.when(F.col("kind") > dec.CHANGE, F.col("sec"))).alias("last_sec"),
+    newest = F.max(F.when(settled & F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms")))
+    epochs = (
+        dec.with_epochs(rows)
+        .where(F.col("change_us").isNotNull())
+        .groupBy("run_id", *dec.EPOCH)
+        .agg(total("delays"), total("delay_ms"), total("slow"), newest.alias("n"))
+        .select("run_id", *dec.EPOCH, "delays", "delay_ms", "slow", "n.*")
     )
-    carried = ["change_us", "frequency", "message_bytes", "delays", "delay_ms", "slow", "latest_ms"]
-    newest = epochs.groupBy("run_id").agg(F.max(F.struct(*carried)).alias("s"), F.max("last_sec").alias("last_sec"))
-    state = newest.select("run_id", "s.*", "last_sec")
-    if before is not None:
-        seen = before.select("run_id", F.col("last_sec").alias("_seen"))
-        state = (
-            state.join(seen, "run_id", "left")
-            .withColumn("last_sec", F.greatest("last_sec", "_seen"))
-            .drop("_seen")
-            .unionByName(before.join(state.select("run_id"), "run_id", "left_anti").drop("decided"))
-        )
-    flag = decided.select("run_id", "change_us").distinct().withColumn("decided", F.lit(True))
-    return state.join(flag, ["run_id", "change_us"], "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
+    state = epochs.groupBy("run_id").agg(F.max(F.struct(*dec.EPOCH, *_TOTALS)).alias("s")).select("run_id", "s.*")
+    flag = decided.distinct().withColumn("decided", F.lit(True))
+    epoch = ["run_id", "change_us", "change_id"]
+    return state.join(flag, epoch, "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
 
 
 class EpochOutcomes:
-    """Action for each micro-batch of observations: writes the outcomes it finds and the state it leaves.
+    """Action for each micro-batch of timeline rows: writes the outcomes it finds and the totals it leaves.
 
-    Telemetry at or before the newest second already seen of its run is a repeat or late, and is left out.
+    Rows of a run count in the order of their arrival. One that comes in a later micro-batch than its time of arrival suggests counts
+    from there on, if its epoch still lasts.
     """
 
     def __init__(
@@ -115,32 +120,36 @@ class EpochOutcomes:
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch_id={batch_id}"
 
-    def __call__(self, feed: DataFrame, batch_id: int) -> None:
-        spark = feed.sparkSession
-        rows = _timeline(feed)
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        epoch = ["run_id", "change_us", "change_id"]
+        # Written once: the stream is read a single time, and outcomes and totals both start from these rows.
+        rows.write.mode("overwrite").parquet(self._path("timeline", batch_id))
+        rows = spark.read.schema(dec.TIMELINE).parquet(self._path("timeline", batch_id))
         before = None
         if batch_id > 0:
             if not folders.exists(spark, self._path("state", batch_id - 1)):
                 raise FileNotFoundError(f"the state of micro-batch {batch_id - 1} is missing: {self.folder}")
             before = spark.read.schema(STATE).parquet(self._path("state", batch_id - 1))
-            seen = before.select("run_id", F.col("last_sec").alias("_seen"))
-            is_new = (F.col("kind") == dec.CHANGE) | F.col("_seen").isNull() | (F.col("sec") > F.col("_seen"))
-            rows = rows.join(seen, "run_id", "left").where(is_new).drop("_seen").unionByName(_carried(before))
-        # Written once: outcomes and state both start from these rows.
-        rows.write.mode("overwrite").parquet(self._path("timeline", batch_id))
-        rows = spark.read.schema(dec.TIMELINE).parquet(self._path("timeline", batch_id))
+            if rows.isEmpty():  # Spark also runs batches that only move the watermark
+                self._finish(before, batch_id)
+                return
+            rows = rows.unionByName(_carried(before))
 
         decided = dec.decision_columns(dec.decide(dec.since_change(rows, self.warmup_sec), self.wait_batches))
         outcomes = dec.epoch_outcomes(decided)
         if before is not None:
-            done = before.where("decided").select("run_id", "change_us")
-            outcomes = outcomes.join(done, ["run_id", "change_us"], "left_anti")
+            done = before.where("decided").select(*epoch)
+            outcomes = outcomes.join(done, epoch, "left_anti")
         outcomes.write.mode("overwrite").parquet(self._path("outcomes", batch_id))
 
-        found = spark.read.schema(OUTCOMES).parquet(self._path("outcomes", batch_id)).select("run_id", "change_us")
+        found = spark.read.schema(OUTCOMES).parquet(self._path("outcomes", batch_id)).select(*epoch)
         if before is not None:
             found = found.unionByName(done)
-        state = _next_state(dec.with_epochs(rows), before, found, self.warmup_sec)
+        self._finish(_next_state(rows, found, self.warmup_sec), batch_id)
+
+    def _finish(self, state: DataFrame, batch_id: int) -> None:
+        spark = state.sparkSession
         state.write.mode("overwrite").parquet(self._path("state", batch_id))
         for table in ("state", "timeline"):
             folders.remove(spark, self._path(table, batch_id - 2))
