@@ -9,6 +9,7 @@ from tidegauge.plans.streams import STREAM_QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITES = {"append_results", "publish_messages"}
+USER_FUNCTIONS = {"parse_cost_udf", "reduce_word_count", "reduce_cost_bits"}
 BATCH = sorted(set(QUERIES) - {f.__name__ for f in STREAM_QUERIES} - WRITES)
 
 
@@ -31,6 +32,24 @@ def test_no_pairing_of_all_rows_and_no_window_over_a_single_partition(plan, name
     for window in re.findall(r"Window \[.*", text):
         spec = window.split("windowspecdefinition(")[1]
         assert re.match(r"(run_id|source_id|batch_start_s|_groupingexpression)", spec), window
+
+
+@pytest.mark.parametrize("name", ["throughput_decisions", "epoch_outcomes", "post_warmup_delays", "params_as_of", "param_patches", "overrun_report"])
+def test_no_window_holds_a_whole_series(plan, name):
+    """Windows by a key alone stand right above the aggregate of its spans; all others hold one span, or one second."""
+    lines = plan(name).split("\n")
+    for i, line in enumerate(lines):
+        if "Window [" not in line:
+            continue
+        keys = re.findall(r"\], \[([^\]]*)\], \[", line)[-1]
+        if "_segment" not in keys and "of_sec" not in keys:
+            below = "".join(lines[i + 1 : i + 7])
+            assert re.search(r"Aggregate\(keys?=\[[^]]*_segment", below), line
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_single_partitions_hold_one_row_per_task(plan, name):
+    text = plan(name)
     # One row per task is all that may meet in a single partition.
     for before, after in zip(text.split("\n"), text.split("\n")[1:]):
         if "Exchange SinglePartition" in before:
@@ -39,7 +58,7 @@ def test_no_pairing_of_all_rows_and_no_window_over_a_single_partition(plan, name
 
 @pytest.mark.parametrize("name", BATCH)
 def test_only_the_user_function_leaves_the_jvm(plan, name):
-    assert ("Python" in plan(name)) == (name == "parse_cost_udf")
+    assert bool(re.search("Python|InArrow|InPandas", plan(name))) == (name in USER_FUNCTIONS)
 
 
 @pytest.mark.parametrize(
@@ -72,11 +91,19 @@ def test_groups_are_combined_before_the_shuffle(plan, name):
     assert re.search(r"HashAggregate\(keys=\[.+\], functions=\[partial_", plan(name))
 
 
-@pytest.mark.parametrize("name, at_most", [("throughput_decisions", 4), ("params_as_of", 1), ("overrun_report", 1), ("batch_counts", 1), ("param_patches", 1)])
+# a series in spans: its rows, the ends of its spans, and these in order; decisions: two series, each over all kinds of rows
+@pytest.mark.parametrize("name, at_most", [("throughput_decisions", 17), ("params_as_of", 3), ("overrun_report", 3), ("batch_counts", 1), ("param_patches", 3)])
 def test_number_of_shuffles(plan, name, at_most):
     assert len(re.findall(r"Exchange (?:hash|range|Single)", plan(name))) <= at_most
 
 
-@pytest.mark.parametrize("name", ["batch_records", "app_records"])
+def test_nothing_shuffles_whole_payloads(plan):
+    """Polls and lines are reduced to a few numbers before they are ordered."""
+    for line in plan("throughput_decisions").split("\n"):
+        if "Exchange hash" in line:
+            assert "payload" not in line and "line#" not in line
+
+
+@pytest.mark.parametrize("name", ["batch_records", "app_records", "statistics_records", "completed_delays"])
 def test_payloads_are_read_once(plan, name):
     assert plan(name).count("from_json(") == 1

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import decisions, generate, lines
 from tidegauge.plans.queries import QUERIES
-from tidegauge.sources import readers, tables
-from tidegauge.streaming import epochs, progress, runs, sinks, wins
+from tidegauge.sources import directory, folders, readers, tables
+from tidegauge.streaming import epochs, late, progress, runs, sinks, tail, windows, wins
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -243,3 +243,113 @@ def test_known_telemetry_is_forgotten_once_no_arrival_can_count(spark, tmp_path)
     got = sinks.kept_batches(spark, f"{tmp_path}/out").collect()
     assert sorted((r.batch_ts, r.delay_ms) for r in got) == [(30, 1), (65, 3), (2_990, 4)]
     assert queries[-1].recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_directory_source_takes_new_fresh_files_and_names_the_strange_ones(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    now = int(time.time())
+
+    def put(name, old=False):
+        (inbox / name).write_text(f"from {name}\nsecond line\n")
+        if old:
+            os.utime(inbox / name, (now - 500, now - 500))
+
+    for name in ("200_1", "150_1", "95_1", ".COPYING.200_2", "notes", "x_200"):
+        put(name)
+    put("201_old", old=True)
+    put("strange-old", old=True)
+
+    def start():
+        lines = directory.directory_lines(spark, str(inbox), directory.fresh_by_name(F.lit(105)), start_s=now - 100)
+        return directory.to_two_sinks(lines, str(tmp_path / "lines"), str(tmp_path / "strange"))
+
+    runs.run_available(start(), str(tmp_path / "check"))
+    put("300_1")
+    put("more")
+    runs.run_available(start(), str(tmp_path / "check"))
+    runs.run_available(start(), str(tmp_path / "check"))
+    lines = sinks.kept_batches(spark, str(tmp_path / "lines")).collect()
+    assert sorted((r.batch_id, r.name, r.line) for r in lines) == [
+        (n, name, line) for n, name in ((0, "150_1"), (0, "200_1"), (1, "300_1")) for line in (f"from {name}", "second line")
+    ]
+    strange = sinks.kept_batches(spark, str(tmp_path / "strange")).collect()
+    assert sorted((r.batch_id, r.name) for r in strange) == [(0, "notes"), (0, "x_200"), (1, "more")]
+
+
+def test_directory_source_with_another_predicate_and_no_start(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("a.log", "b.txt"):
+        (inbox / name).write_text("one\n")
+        os.utime(inbox / name, (1_000, 1_000))
+    lines = directory.directory_lines(spark, str(inbox), lambda name: name.endswith(".log"))
+    runs.run_available(directory.to_two_sinks(lines, str(tmp_path / "lines"), str(tmp_path / "strange")), str(tmp_path / "check"))
+    assert [(r.name, r.line) for r in spark.read.parquet(str(tmp_path / "lines")).collect()] == [("a.log", "one")]
+    assert spark.read.parquet(str(tmp_path / "strange")).isEmpty()
+
+
+def test_published_files_have_their_own_names(spark, tmp_path):
+    df = spark.createDataFrame([("a b%c", "1"), ("100_1", "2"), ("100_1", "3")], "name string, line string")
+    paths = sinks.publish_files(df, str(tmp_path / "out"))
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == ["100_1", "a b%c"]
+    got = spark.read.text(str(tmp_path / "out")).select("_metadata.file_path", "value").collect()
+    assert sorted(r.value for r in got) == ["1", "2", "3"]
+    assert (tmp_path / "out" / "a b%c").read_text() == "1\n"
+    with pytest.raises(FileExistsError):
+        folders.move(spark, paths[0], paths[1])
+
+
+def test_newest_rows_of_all_that_arrived(spark, tmp_path):
+    action = tail.NewestRows(str(tmp_path / "kept"), [F.desc("at"), F.desc("id")], 5)
+    parts, seen = [[(5, 1), (9, 2), (1, 3)], [], [(7, 4), (9, 5), (2, 6), (None, 7), (8, 8), (3, 9)], [(1, 10)], [(99, 11)]], []
+    for number, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "at bigint, id bigint")
+        seen += rows
+        action(df, number)
+        action(df, number)
+        kept = action.kept(spark).where(F.col("batch_id") == number).collect()
+        order = sorted(seen, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)[:5]
+        assert sorted((r.at, r.id) for r in kept if r.at is not None) == sorted(r for r in order if r[0] is not None)
+        assert len(kept) == len(order)
+    with pytest.raises(FileNotFoundError):
+        action(df, 9)
+
+
+def test_late_rows_are_those_that_windows_drop(spark, tmp_path):
+    parts = [[100, 3_000, 7_300], [3_500, 3_599, 3_600, 7_000, 20_000], [7_199, 12_599, 12_600, 16_400, 16_399, 19_000], [10, 16_500, 40_000]]
+    slices = [spark.createDataFrame([(s,) for s in part], "s bigint").select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")) for part in parts]
+    action = late.LateRows(str(tmp_path / "late"), 3600, 3600)
+
+    def feed(name, writer):
+        def deliver(part, number):
+            part.write.parquet(f"{tmp_path}/{name}/slice-{number}")
+
+        def start():
+            return writer(spark.readStream.schema("ts timestamp_ntz").parquet(f"{tmp_path}/{name}/*"))
+
+        runs.replay(iter(slices), deliver, start, f"{tmp_path}/{name}-check")
+
+    feed("ours", lambda stream: sinks.for_each_batch(stream, action))
+    feed("windows", lambda stream: sinks.keep_batches(windows.windowed_counts(stream, "1 hour", "1 hour"), f"{tmp_path}/out", lambda b: b, mode="update"))
+    counted = {r.batch_start_s: r.n for r in windows.newest_counts(sinks.kept_batches(spark, f"{tmp_path}/out")).collect()}
+    totals = action.totals(spark).collect()
+    assert {r.batch_start_s: r.n for r in totals if not r.is_late} == counted
+    assert sum(r.n for r in totals) == sum(map(len, parts))
+    assert action.late_rows(spark).count() == sum(r.n for r in totals if r.is_late) > 0
+
+
+def test_late_rows_repeat_and_rows_without_a_time(spark, tmp_path):
+    action = late.LateRows(str(tmp_path / "late"), 10, 5)
+    def rows(*seconds):
+        return spark.createDataFrame([(s,) for s in seconds], "s bigint").select(F.timestamp_seconds("s").alias("ts"))
+    for _ in range(2):
+        action(rows(100, None, 1), 0)
+    for _ in range(2):
+        action(rows(89, 90, 200), 1)
+    action(rows(), 2)
+    found = sorted((r.batch_start_s, r.is_late, r.n) for r in action.totals(spark).collect() if r.batch_start_s is not None)
+    assert found == [(0, False, 1), (80, True, 1), (90, False, 1), (100, False, 1), (200, False, 1)]
+    assert action.late_rows(spark).count() == 2
+    with pytest.raises(FileNotFoundError):
+        action(rows(1), 9)

@@ -137,6 +137,8 @@ VIEWS = {
         select e.event_id, cast(case when sec < lo + (hi + 1 - lo) // 4 then 0
           when sec < lo + (hi + 1 - lo) * 2 // 4 then 1 when sec < lo + (hi + 1 - lo) * 3 // 4 then 2
           else 3 end as bigint) as quarter from ev e cross join bounds""",
+    "daily": """
+        select line, cpu_pause_ms as k, sec // 86400 as day, quarter // 2 as half from messages join quarters on msg_id = event_id""",
 }
 
 _NOW = 1_704_931_200
@@ -145,6 +147,17 @@ BODIES = {
     "word_count": r"""
         select word, count(*) as n from (select unnest(string_split_regex(text, '[\n ]')) as word from documents)
         group by word""",
+    "reduce_cost_bits": "select source_id, bit_or(cast(cpu_pause_ms as bigint)) as bits from messages group by source_id",
+    "statistics_records": """
+        select event_id as fetch_id, user_id as run_id,
+          concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '.000GMT') as "startTime", 5000::bigint as "batchDuration", 1::bigint as "numReceivers",
+          case when event_type = 'error' then 0 else 1 end::bigint as "numActiveReceivers",
+          case when event_type = 'error' then 1 else 0 end::bigint as "numInactiveReceivers", k::bigint as "numTotalCompletedBatches",
+          least(k, 50)::bigint as "numRetainedCompletedBatches", (event_id % 3)::bigint as "numActiveBatches",
+          size as "numProcessedRecords", size + k as "numReceivedRecords", size / 8.0::double as "avgInputRate",
+          (event_id % 7)::bigint as "avgSchedulingDelay", k::bigint as "avgProcessingTime",
+          case when k < 95 then event_id % 7 + k end::bigint as "avgTotalDelay"
+        from ev""",
     "word_count_per_batch": """
         select batch_start_s, word, count(*) as n
         from (select sec // 3600 * 3600 as batch_start_s, unnest(string_split(line, ' ')) as word from log_lines)
@@ -319,8 +332,23 @@ BODIES = {
           from log_lines l join quarters q on l.line_no = q.event_id)
         group by batch_id, word""",
     "stream_fresh_lines": f"""
-        select concat(sec // 86400 * 86400, '_', lpad(cast(sec // 86400 as varchar), 10, '0')) as name, line
-        from messages where {_NOW} < sec // 86400 * 86400 + 10""",
+        select concat(day * 86400, '_', lpad(cast(day as varchar), 10, '0'), '_', half) as name, line
+        from daily where k % 10 <> 0 and day % 5 <> 0 and {_NOW} < day * 86400 + 10""",
+    "stream_unreadable_files": """
+        select distinct concat('notes-', day, '_', half) as name from daily where k % 10 = 0 and day % 5 <> 0""",
+    "stream_log_tail": """
+        select quarter as batch_id, line_no, run_id, line from (
+          select t.quarter, l.line_no, l.run_id, l.line, row_number() over (partition by t.quarter order by ts desc, line_no desc) as nth
+          from log_lines l join quarters q on l.line_no = q.event_id
+          join (select unnest(range(4)) as quarter) t on q.quarter <= t.quarter) where nth <= 500""",
+    # Errors come one slice late; by then the newest other event of their slice or before has moved the watermark.
+    "stream_late_rows": """
+        select sec // 3600 * 3600 as batch_start_s,
+          event_type = 'error' and (sec // 3600 * 3600 + 3600) * 1000000 <= newest_us - 3600000000 as is_late, count(*) as n
+        from ev join quarters using (event_id)
+        join (select t.quarter, max(us) as newest_us from ev join quarters q using (event_id)
+          join (select unnest(range(4)) as quarter) t on q.quarter <= t.quarter where event_type <> 'error' group by t.quarter) using (quarter)
+        group by all""",
     "stream_batch_counts": """
         select sec // 3600 * 3600 as batch_start_s, count(*) as n from messages group by sec // 3600""",
     "stream_remember_window": """
@@ -331,6 +359,7 @@ BODIES = {
     "stream_completed_delays": "select * from delays",
 }
 BODIES["parse_cost_udf"] = BODIES["parse_cost"]
+BODIES["reduce_word_count"] = BODIES["word_count"]
 
 
 def _needed(body: str) -> list[str]:

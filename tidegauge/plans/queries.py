@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge import settings
 from tidegauge.functions import messages as msg
 from tidegauge.functions import times
-from tidegauge.operators import counts, decisions, files, generate, lines, params, scaling, telemetry, words
+from tidegauge.operators import counts, decisions, files, generate, lines, params, reduce, scaling, telemetry, words
 from tidegauge.plans import streams
 from tidegauge.session import scratch_dir
 from tidegauge.sources import readers, tables
@@ -37,6 +37,19 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_count(tables.documents(spark, sf_dir), words.words_of_text(F.col("text")))
 
 
+def reduce_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same count by a function of the user's."""
+    found = tables.documents(spark, sf_dir).select(F.explode(words.words_of_text(F.col("text"))).alias("word"))
+    ones = found.withColumn("n", F.lit(1).cast("bigint"))
+    return reduce.reduce_by_key(ones, ["word"], "n", lambda a, b: a + b)
+
+
+def reduce_cost_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bits the costs of each source have, by a function of the user's."""
+    costs = tables.messages(spark, sf_dir).select("source_id", F.col("cpu_pause_ms").cast("bigint").alias("bits"))
+    return reduce.reduce_by_key(costs, ["source_id"], "bits", lambda a, b: a | b)
+
+
 def word_count_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_count_per_batch(tables.log_lines(spark, sf_dir), HOUR)
 
@@ -189,6 +202,10 @@ def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("fetch_id", "run_id", "batch_id", "batch_ts", "status", "total_delay_ms")
 
 
+def statistics_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.statistics_records(tables.statistics_payloads(spark, sf_dir))
+
+
 def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.app_records(tables.app_payloads(spark, sf_dir)).select(
         "fetch_id", "app_id", "name", "startTime", "duration", "sparkUser", "completed", "startTimeEpoch"
@@ -332,6 +349,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         word_count,
         word_count_per_batch,
+        reduce_word_count,
+        reduce_cost_bits,
         generate_messages,
         parse_cost,
         parse_cost_udf,
@@ -355,6 +374,7 @@ QUERIES: dict[str, Query] = {
         overrun_report,
         offered_load,
         batch_records,
+        statistics_records,
         app_records,
         parse_log,
         log_tail,

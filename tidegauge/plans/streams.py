@@ -6,6 +6,8 @@ can be compared with the batch form. The number of slices is fixed, and each gro
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 from tidegauge import settings
 from tidegauge.functions import messages as msg
 from tidegauge.functions import times
-from tidegauge.operators import files, words
+from tidegauge.operators import words
 from tidegauge.session import scratch_dir
-from tidegauge.sources import folders, readers, tables
-from tidegauge.streaming import epochs, progress, runs, sinks, windows, wins
+from tidegauge.sources import directory, folders, readers, tables
+from tidegauge.streaming import epochs, late, progress, runs, sinks, tail, windows, wins
 
 SLICES = 4
 # The batches of the tables are four hours long, not five seconds, so a span of state is longer too.
@@ -84,23 +86,80 @@ def stream_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.kept_batches(spark, f"{root}/out").select("batch_id", "word", "n")
 
 
+def _watch_directory(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Files named by day, some with a name that has no time, some written before the stream began, through the directory source."""
+    day = F.floor(times.seconds(F.col("ts")) / 86_400).cast("bigint")
+    dated = msg.file_name(day * 86_400, day)
+    name = F.when(F.col("cpu_pause_ms") % 10 == 0, F.concat(F.lit("notes-"), day.cast("string"))).otherwise(dated)
+    started = int(time.time())
+
+    def deliver(part: DataFrame, number: int) -> None:
+        # a day that is cut by the slices has a file in each
+        named = part.select("line", F.concat(name, F.lit(f"_{number}")).alias("name"))
+        for file in sinks.publish_files(named, f"{root}/in"):
+            if int(re.search(r"(\d+)_\d+$", file)[1]) % 5 == 0:  # the day
+                folders.set_modified(spark, file, (started - 3600) * 1000)
+
+    def start():
+        lines = directory.directory_lines(
+            spark, f"{root}/in", directory.fresh_by_name(F.lit(FRESH_FROM_S)), start_s=started - 60
+        )
+        return directory.to_two_sinks(lines, f"{root}/lines", f"{root}/unreadable")
+
+    runs.replay(_message_slices(spark, sf_dir, 2), deliver, start, f"{root}/checkpoint")
+
+
 def stream_fresh_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the files that are fresh by the time in their name. Lines of one day share a name."""
+    """Lines of the files that are fresh by the time in their own name and were written after the stream began."""
     root = scratch_dir(spark, "fresh-lines")
-    day_s = F.floor(times.seconds(F.col("ts")) / 86_400).cast("bigint") * 86_400
-    name = msg.file_name(day_s, F.floor(day_s / 86_400))
+    _watch_directory(spark, sf_dir, root)
+    return sinks.kept_batches(spark, f"{root}/lines").select("name", "line")
+
+
+def stream_unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the files of the same stream that hold no time."""
+    root = scratch_dir(spark, "unreadable-files")
+    _watch_directory(spark, sf_dir, root)
+    return sinks.kept_batches(spark, f"{root}/unreadable").select("name")
+
 
-    def deliver(part: DataFrame, _: int) -> None:
-        named = part.select("line", name.alias("name"))
-        sinks.publish_messages(named, f"{root}/in", by=["name"])
+def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest log lines of all that arrived, after each micro-batch."""
+    root = scratch_dir(spark, "log-tail")
+    action = tail.NewestRows(f"{root}/kept", [F.desc("ts"), F.desc("line_no")])
+
+    def deliver(part: DataFrame, number: int) -> None:
+        part.write.parquet(f"{root}/in/slice-{number}")
 
     def start():
-        stream = spark.readStream.schema("line string, name string").text(f"{root}/in")
-        fresh = files.fresh_files(stream, F.lit(FRESH_FROM_S))
-        return fresh.writeStream.format("parquet").option("path", f"{root}/out").outputMode("append")
+        stream = spark.readStream.schema("line_no bigint, run_id bigint, ts timestamp_ntz, line string").parquet(f"{root}/in/*")
+        return sinks.for_each_batch(stream, action)
 
-    runs.replay(_message_slices(spark, sf_dir, 2), deliver, start, f"{root}/checkpoint")
-    return spark.read.schema("line string, name string").parquet(f"{root}/out").select("name", "line")
+    runs.replay(runs.time_slices(tables.log_lines(spark, sf_dir), SLICES), deliver, start, f"{root}/checkpoint")
+    return action.kept(spark).select(F.col("batch_id").cast("bigint").alias("batch_id"), "line_no", "run_id", "line")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour, those that came in time and those that came too late: errors arrive one slice after the others."""
+    root = scratch_dir(spark, "late-rows")
+    action = late.LateRows(f"{root}/out", 3600, 3600)
+    slices = [s.select("ts", "event_type") for s in runs.time_slices(tables.events(spark, sf_dir), SLICES)]
+    is_error = F.col("event_type") == "error"
+    none = slices[0].limit(0)
+    moved = [
+        on_time.where(~is_error).unionByName(before.where(is_error))
+        for on_time, before in zip([*slices, none], [none, *slices])
+    ]
+
+    def deliver(part: DataFrame, number: int) -> None:
+        part.write.parquet(f"{root}/in/slice-{number}")
+
+    def start():
+        stream = spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(f"{root}/in/*")
+        return sinks.for_each_batch(stream, action)
+
+    runs.replay(iter(moved), deliver, start, f"{root}/checkpoint")
+    return action.totals(spark)
 
 
 def stream_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +277,9 @@ STREAM_QUERIES = (
     stream_line_count,
     stream_word_count,
     stream_fresh_lines,
+    stream_unreadable_files,
+    stream_log_tail,
+    stream_late_rows,
     stream_batch_counts,
     stream_remember_window,
     stream_clean_source,

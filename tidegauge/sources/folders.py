@@ -21,8 +21,24 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of all files below a folder."""
+    fs, target = _open(spark, path)
+    found, listed = [], fs.listFiles(target, True)
+    while listed.hasNext():
+        found.append(listed.next().getPath().toString())
+    return sorted(found)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a file its final name in one step; an existing file stays and is an error."""
+    fs, target = _open(spark, path)
+    if not fs.rename(target, _open(spark, to)[1]):
+        raise FileExistsError(f"{path} cannot be renamed to {to}")
+
+
 def set_modified(spark: SparkSession, path: str, millis: int) -> None:
-    """Sets the modification time of the files directly in a folder."""
+    """Sets the modification time of a file, or of the files directly in a folder."""
     fs, target = _open(spark, path)
     for status in fs.listStatus(target):
         if status.isFile():

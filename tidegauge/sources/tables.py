@@ -112,6 +112,31 @@ def batch_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statistics_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fetch_id, run_id, payload: the run statistics a poll got, one object per event; the total delay may be absent."""
+    k, number = tag_number().cast("bigint"), F.col("event_id")
+    down = (F.col("event_type") == "error").cast("bigint")
+    statistics = F.struct(
+        _batch_time(times.seconds(F.col("ts"))).alias("startTime"),
+        F.lit(5000).alias("batchDuration"),
+        F.lit(1).alias("numReceivers"),
+        (1 - down).alias("numActiveReceivers"),
+        down.alias("numInactiveReceivers"),
+        k.alias("numTotalCompletedBatches"),
+        F.least(k, F.lit(50)).alias("numRetainedCompletedBatches"),
+        (number % 3).alias("numActiveBatches"),
+        size_bytes().alias("numProcessedRecords"),
+        (size_bytes() + k).alias("numReceivedRecords"),
+        (size_bytes() / 8.0).alias("avgInputRate"),
+        (number % 7).alias("avgSchedulingDelay"),
+        k.alias("avgProcessingTime"),
+        F.when(k < 95, number % 7 + k).alias("avgTotalDelay"),
+    )
+    return events(spark, sf_dir).select(
+        number.alias("fetch_id"), F.col("user_id").alias("run_id"), F.to_json(statistics).alias("payload")
+    )
+
+
 def app_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fetch_id, payload: a JSON list holding one application with one or two attempts, per signup."""
     us = times.micros(F.col("ts"))

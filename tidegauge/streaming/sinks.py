@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidegauge import settings
 from tidegauge.functions import messages as msg
+from tidegauge.sources import folders
 
 
 def console_preview(stream: DataFrame, rows: int = settings.PREVIEW_ROWS, mode: str = "append") -> DataStreamWriter:
@@ -64,6 +67,23 @@ def publish_messages(lines: DataFrame, path: str, by: list[str] | None = None) -
         lines.write.mode("append").text(path)
 
 
+def publish_files(lines: DataFrame, path: str, name: str = "name") -> list[str]:
+    """Writes the lines of each name to one file with that name. Readers see a file only once it is complete.
+
+    Files are written to a hidden folder first; renaming them is one step for each and moves no data. Gives their paths.
+    """
+    spark = lines.sparkSession
+    staged = f"{path}/{settings.HIDDEN_PREFIX}staged-{uuid.uuid4().hex}"
+    lines.repartition(name).write.partitionBy(name).text(staged)
+    published = []
+    for part in folders.files_below(spark, staged):
+        folder, file = part.split("/")[-2:]
+        if folder.startswith(f"{name}=") and not file.startswith(("_", ".")):
+            published.append(f"{path}/{unquote(folder.split('=', 1)[1])}")
+            folders.move(spark, part, published[-1])
+    return published
+
+
 def run_stamp(started: datetime) -> str:
     """The name a run's results are kept under."""
     return started.strftime(settings.RUN_STAMP_FORMAT)
