@@ -298,6 +298,16 @@ def throughput_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``throughput_decisions``, for a full run, which waits for more batches after each change."""
+    return decisions.throughput_decisions(
+        tables.changes(spark, sf_dir),
+        tables.log_lines(spark, sf_dir),
+        tables.batch_payloads(spark, sf_dir),
+        wait_batches=decisions.WAIT_BATCHES_FULL,
+    )
+
+
 def epoch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.epoch_outcomes(throughput_decisions(spark, sf_dir))
 
@@ -393,6 +403,7 @@ QUERIES: dict[str, Query] = {
         params_as_of,
         params_held,
         throughput_decisions,
+        full_run_decisions,
         epoch_outcomes,
         max_throughput,
         bench_rows,
