@@ -16,3 +16,12 @@ def documents(spark):
         return df
 
     return make
+
+
+@pytest.fixture
+def twins():
+    """Two different words of 1,024 letters that every polynomial modulo 2^64 takes for one."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))

@@ -99,6 +99,11 @@ def test_rows_of_one_id_are_compared_each_on_its_own(spark, documents):
     assert jaccard.kept(documents(rows)).count() == len(rows) - 1
 
 
+def test_words_that_agree_modulo_a_power_of_two_are_no_link(spark, documents, twins):
+    found = jaccard.linked(documents([(i, t, "s") for i, t in enumerate([*twins, twins[0], f"a b {twins[0]} c", f"a b {twins[1]} c"])])).toPandas()
+    assert dict(zip(found.doc_id, found.component_id, strict=True)) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
 def test_no_documents_no_links(spark, documents):
     assert jaccard.linked(documents([])).count() == 0
     found = jaccard.linked(documents([(1, "a b c d e f", "s"), (2, None, "s")])).toPandas()

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidegauge.llm import mixing, packing
+from tidegauge.llm import mixing, packing, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -40,6 +41,38 @@ def test_every_id_lies_in_one_piece(spark, documents):
     assert sorted(found.sequence_id.unique()) == list(range(found.sequence_id.nunique()))
 
 
+def test_words_that_agree_modulo_a_power_of_two_have_their_own_ids(spark, documents, twins):
+    tokenizer = Tokenizer.from_file(PATH)
+    found = packing.packed(documents([(i, t, "a") for i, t in enumerate(twins)]), PATH).toPandas().set_index("doc_id")
+    for i, text in enumerate(twins):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert found.ids_crc32[i] == zlib.crc32(ids.tobytes())
+
+
+def test_words_that_share_a_hash_are_encoded_on_their_own(monkeypatch):
+    texts = ["one two three", "One, two. Ünï 12", None, "x" * 500]
+    expected = [x.ids for x in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    true = words.Words.hashes
+    monkeypatch.setattr(words.Words, "hashes", lambda self, a=None, b=None, salt=0: true(self, a, b, salt) % np.uint64(3 if salt == 0 else 1 << 63))
+    got = [ids.tolist() for ids in packing.Encoder(PATH).encode(pa.array(texts))]
+    assert got == expected
+
+
+def test_hashes_of_words_and_spans():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 90))) for _ in range(3000)] + ["a" * n for n in range(140)]
+    found = words.words_of(pa.array(texts))
+    by_word = {}
+    for start, end, h in zip(found.starts, found.ends, found.hashes(), strict=True):
+        by_word.setdefault(found.data[start:end].tobytes(), set()).add(int(h))
+    assert all(len(h) == 1 for h in by_word.values())
+    assert len(set.union(*by_word.values())) == len(by_word)
+    # the same bytes have the same hash wherever they lie
+    moved = words.words_of(pa.array(["zz " + t for t in texts if t]))
+    assert set(moved.hashes().tolist()) - set.union(*by_word.values()) == {int(words.words_of(pa.array(["zz"])).hashes()[0])}
+    assert not set(found.hashes(salt=1).tolist()) & set.union(*by_word.values())
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_patterns_hold_all_lengths(seed):
     rng = random.Random(seed)

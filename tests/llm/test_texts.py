@@ -5,10 +5,12 @@ import hashlib
 import json
 import re
 
+import pyarrow as pa
 import pytest
 
 from tidegauge.llm import chat, licenses, quality, secrets, toxicity
 from tidegauge.llm.licenses import Automaton
+from tidegauge.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -327,3 +329,8 @@ def test_licences_of_rows(spark, documents):
     assert labels[0] == "mit,mit-notice" and labels[4] == "mit,mit-text" and labels[5] == "gpl,gpl-3.0-notice"
     assert "mit-text" not in labels[8]
     assert licenses.found(documents([])).count() == 0
+
+
+def test_words_that_agree_modulo_a_power_of_two_have_their_own_features(twins):
+    found = toxicity.features(words_of(pa.array([" ".join(twins)])))
+    assert found[0, 0] != found[1, 0]

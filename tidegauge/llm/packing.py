@@ -39,6 +39,14 @@ _MARK[list(b".,;:!?")] = True
 _SLOW_SALT = np.uint64(0xA24BAED4963EE407)
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes lie in one of some spans that do not overlap."""
+    steps = np.zeros(n + 1, np.int8)
+    steps[starts] += 1
+    steps[ends] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int8) > 0
+
+
 class Encoder:
     """The ids of texts as a tokenizer gives them, without special tokens, from each distinct word once.
 
@@ -66,6 +74,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
+        self.checks = array("Q")
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
 
     def _slow(self, texts: list[str]) -> list[list[int]]:
@@ -79,8 +88,9 @@ class Encoder:
         self.sizes.extend(sizes.tolist())
         self.ids.frombytes(ids.astype(np.uint32).tobytes())
 
-    def _learn(self, keys: list[int], texts: list[bytes], plain: np.ndarray) -> None:
+    def _learn(self, keys: list[int], checks: np.ndarray, texts: list[bytes], plain: np.ndarray) -> None:
         fast = np.flatnonzero(plain).tolist()
+        self.checks.frombytes(np.concatenate([checks[plain], checks[~plain]]).tobytes())
         if fast:
             ids = np.array(self.plain.encode(b" ".join([texts[i] for i in fast]).decode(), add_special_tokens=False).ids)
             self._add([keys[i] for i in fast], ids, np.flatnonzero(self.last[ids]) + 1)
@@ -121,20 +131,20 @@ class Encoder:
         unit_starts[more], unit_ends[more] = middle[many == 2], ends[many == 2]
         letters_only = np.zeros(len(unit_starts), bool)
         letters_only[first] = plain
-        h = np.where(
-            letters_only,
-            replace(words, data=lower).hashes(unit_starts, unit_ends),
-            words.hashes(unit_starts, unit_ends) + _SLOW_SALT,
-        )
-        return h, lower, unit_starts, unit_ends, letters_only, many
+        # the bytes that are encoded
+        encoded = replace(words, data=np.where(_spans(unit_starts[letters_only], unit_ends[letters_only], len(data)), lower, data))
+        kind = np.where(letters_only, np.uint64(0), _SLOW_SALT)
+        h, check = (encoded.hashes(unit_starts, unit_ends, salt) + kind for salt in (0, 1))
+        return h, check, lower, unit_starts, unit_ends, letters_only, many
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a column. Words are told apart by 64-bit hashes."""
+        """The ids of each text of a column. Words are found by one 64-bit hash and compared by a second one of their bytes; should
+        two words share the first, the texts are encoded without what is known of words."""
         words = words_of(column)
         if not len(words.starts):
             yield from (np.zeros(0, np.uint32) for _ in range(len(column)))
             return
-        h, lower, starts, ends, plain, many = self._units(words)
+        h, check, lower, starts, ends, plain, many = self._units(words)
         keys, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         if self.known and len(self.known) + len(keys) > CACHED_WORDS:
             self.clear()
@@ -146,8 +156,11 @@ class Encoder:
                 (small if p else raw)[a:b]
                 for a, b, p in zip(starts[of].tolist(), ends[of].tolist(), plain[of].tolist(), strict=True)
             ]
-            self._learn([listed[i] for i in new], texts, plain[of])
+            self._learn([listed[i] for i in new], check[of], texts, plain[of])
         at = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+        if (np.frombuffer(self.checks, np.uint64)[at] != check).any():
+            yield from (np.array(ids, np.uint32) for ids in self._slow([t or "" for t in column.to_pylist()]))
+            return
         sizes = np.frombuffer(self.sizes, np.int64)[at]
         upto = np.cumsum(sizes)
         place = np.repeat(np.frombuffer(self.starts, np.int64)[at] - (upto - sizes), sizes) + np.arange(upto[-1])

@@ -1,41 +1,29 @@
 """Words and shingles of whole Arrow columns in numpy, without a loop over words.
 
 A word is a run of bytes other than space and the five ASCII white-space controls; A-Z count as a-z where asked.
-Hashes are polynomial over the bytes, modulo 2^64, then mixed; equal words always agree.
+Hashes take in eight bytes at a time and mix all bits after each, so no regular text makes words fall together; the bytes of long words
+go through a cryptographic hash. Equal words always agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse
-_BACK = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(step: int, n: int) -> np.ndarray:
-    """step**0 .. step**n modulo 2^64; tables up to the usual slice are kept."""
-    have = _powers.get(step)
-    if have is None or len(have) <= n:
-        steps = np.full(max(n, SLICE_BYTES // 8) + 1, step, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 2 * SLICE_BYTES:
-            _powers[step] = have
-    return have[: n + 1]
+_STEP = 0x9E3779B97F4A7C15
+SHORT_BYTES = 64  # longer words are hashed one by one
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,15 +75,26 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.firsts)
 
-    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of the given byte spans."""
+    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of the given byte spans; another ``salt`` gives another, independent one."""
         starts = self.starts if starts is None else starts
         ends = self.ends if ends is None else ends
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * _power(_STEP, n)[:n], dtype=np.uint64, out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_BACK, n)[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        sizes = ends - starts
+        h = mix(sizes.astype(np.uint64) + np.uint64((salt + 1) * _STEP & (1 << 64) - 1))
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
+        rows = np.flatnonzero((sizes > 0) & (sizes <= SHORT_BYTES))
+        done = 0
+        while len(rows):
+            left = sizes[rows] - done
+            part = eight[starts[rows] + done].view("<u8")[:, 0]
+            part = part & (np.uint64((1 << 64) - 1) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64))
+            h[rows] = mix(h[rows] ^ part) + np.uint64(_STEP)
+            done += 8
+            rows = rows[left > 8]
+        for i in np.flatnonzero(sizes > SHORT_BYTES).tolist():
+            digest = blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+            h[i] = int.from_bytes(digest.digest(), "little")
+        return h
 
 
 def words_of(column: pa.Array, lower: bool = False, is_word: np.ndarray = _IS_WORD) -> Words:
