@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import ranked, written
-from tidegauge.llm.words import Words, sliced, words_of
+from tidegauge.llm.words import SLICE_BYTES, Words, release, sliced, words_of
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_WORDS = 600_000  # words whose ids a task keeps before it begins anew; only time depends on it
+CACHED_WORDS = 300_000  # words whose ids a task keeps before it begins anew; only time depends on it
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -71,6 +71,7 @@ class Encoder:
         if self.suffix:
             self.last[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
         self.clear()
+        release()  # what reading the file took
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
@@ -181,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_BYTES // 2):
             rows = [[] for _ in range(5)]
             ids_of = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(ids_of, encoder.encode(batch.column("text")), strict=True):

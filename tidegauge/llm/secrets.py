@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.words import sliced
+
 KINDS = ("assign", "access", "hex", "signed_token", "private_key")
 BASE_KINDS = KINDS[:3]
 Span = tuple[str, int, int]
@@ -294,7 +296,7 @@ def found(docs: DataFrame) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows: list[list] = [[] for _ in range(5)]
             for text in batch.column("text"):
                 text = text.as_py() or ""
@@ -331,7 +333,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             old = batch.column("text").to_pylist()
             new = [x and redacted_text(x) for x in old]
             out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, batch.schema.field("text").type))

@@ -7,6 +7,7 @@ go through a cryptographic hash. Equal words always agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -48,8 +49,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Spark's Python workers live on, and would keep the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each has about ``limit`` bytes of text, or one row."""
+    """Cuts record batches so that each has about ``limit`` bytes of text, or one row; frees memory before and behind them."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -60,6 +70,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    release()
 
 
 @dataclass
