@@ -14,6 +14,7 @@ from tidegauge.plans.streams import STREAM_QUERIES
 
 HEADLINE = list(QUERIES)
 RUNS = 2
+REPEAT_BELOW_SEC = 10
 SLOW = {q.__name__ for q in STREAM_QUERIES}  # run once
 
 
@@ -31,7 +32,11 @@ def main() -> None:
         return time.perf_counter() - started
 
     run("batch_counts")
-    seconds = {name: round(min(run(name) for _ in range(1 if name in SLOW else RUNS)), 3) for name in HEADLINE}
+    seconds = {}
+    for name in HEADLINE:
+        first = run(name)
+        again = [run(name) for _ in range(RUNS - 1)] if name not in SLOW and first < REPEAT_BELOW_SEC else []
+        seconds[name] = round(min(first, *again) if again else first, 3)
     spark.stop()
     result = {
         "metric": "headline_queries_total",
