@@ -1,9 +1,10 @@
-"""Documents whose sets of n-grams are alike, joined by vertical partitions of one global order of n-grams.
+"""Documents whose sets of n-grams are alike: candidates from prefixes of one global order of n-grams, overlaps summed over fragments.
 
 The order: n-grams of one text come first and those of many texts last, by counts over all texts. Two alike sets share an n-gram among the first few
 of each (the prefix), so only documents of one such bucket are compared. Equal sets are one node. A pair is checked by
-fragments of the order: each gives a partial overlap, and the sum per pair decides. Documents of a bucket first meet leaders only,
-in a few rounds; pairs of all members are formed only between components that the rounds left apart.
+fragments, ranges of the n-gram hash: each gives a partial overlap, and the sum per pair decides. Documents of a bucket first meet leaders
+only, in a few rounds. All members meet only where the rounds left components apart: in small buckets as pairs, in large ones
+block by block, where whole sets are compared at once and only links that join two components leave the task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ BITS = 26  # log of the bits in a set of documents that goes to every task
 MOST_BITS = 30  # the same for sets of n-grams, which have a bit for every two n-grams up to this bound
 HELD = 1 << 21  # n-grams that a task counts at a time
 FRAGMENT = 4096  # n-grams of the largest set in a fragment of the order, about
-BLOCK = 512  # documents of a bucket that meet another such block in one task
+BLOCK = 512  # documents of a bucket that meet another such block in one task, about
+BLOCK_NGRAMS = 1 << 19  # n-grams of such a block, about
 STARS = 3  # rounds in which documents of a bucket meet leaders only
 TRIES = 8  # leaders of a document from large buckets in one round
 
@@ -225,24 +227,44 @@ def _shared(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return values[times > 1], has
 
 
-def _apart(buckets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of different components that share enough of their prefixes to be alike.
+def _apart(docs: DataFrame, buckets: DataFrame, size: int, percent: int, largest: int) -> DataFrame:
+    """``a, b``: links that join all components which alike documents of the buckets leave apart.
 
     ``buckets`` has the buckets of two components or more, and so all that such pairs share. Behind the shorter-reaching prefix a pair
-    can share at most what that prefix leaves of its set. Pairs that meet in large buckets come from those, all others from
+    can share at most what that prefix leaves of its set. Pairs that meet in large buckets are compared there, all others come from
     small ones only, so the counts of both are whole where they decide.
     """
-    counts = buckets.groupBy("token").agg(F.count("*").alias("docs"))
+    counts = buckets.groupBy("token").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
     sized = written(buckets.join(counts, "token"), "sized-buckets")
-    few = _of_small(sized.filter(F.col("docs") <= MANY), percent)
+    pairs = written(_of_small(sized.filter(F.col("docs") <= MANY), percent), "pairs")
+    few = verified(docs, pairs, size, percent, largest)
     large = sized.filter(F.col("docs") > MANY)
-    if large.isEmpty():
+    ids = written(large.select("doc").distinct(), "large-docs")
+    if ids.isEmpty():
         return few
     # a list is as long as the prefix of its document at most
-    shares = sized.join(large.select("doc").distinct(), "doc", "left_semi").groupBy("doc", "n").agg(
+    shares = sized.join(ids, "doc", "left_semi").groupBy("doc", "n").agg(
         F.collect_list("token").alias("shares"), F.collect_list(F.when(F.col("docs") > MANY, F.col("token"))).alias("wide")
     )
-    return few.union(_of_large(large.join(shares, ["doc", "n"]), percent)).distinct()
+    members = large.join(shares.join(whole_sets(docs, size, bit_set(ids, "doc", BITS)), ["doc", "n"]), ["doc", "n"])
+    return few.union(_of_large(members, percent))
+
+
+def whole_sets(docs: DataFrame, size: int, only: np.ndarray) -> DataFrame:
+    """``doc, n, tokens``: the different n-gram sets of each id in the bit set ``only``, packed in order."""
+
+    def rows(ids: list, sets: list[np.ndarray]) -> dict[str, pa.Array]:
+        s1, s2 = _signature(sets)
+        return {
+            "doc": pa.array(ids, pa.int64()),
+            "n": pa.array([len(x) for x in sets], pa.int64()),
+            "s1": _signed(s1),
+            "s2": _signed(s2),
+            "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
+        }
+
+    found = _sets(docs, size, rows, "doc long, n long, s1 long, s2 long, tokens binary", only)
+    return found.dropDuplicates(["doc", "n", "s1", "s2"]).select("doc", "n", "tokens")
 
 
 def _of_small(buckets: DataFrame, percent: int) -> DataFrame:
@@ -259,17 +281,35 @@ def _of_small(buckets: DataFrame, percent: int) -> DataFrame:
     return met.filter(enough).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (in order) are alike: overlaps of fragments are summed until what is left cannot change the answer."""
+    need = -(-percent * (len(x) + len(y)) // (100 + percent))
+    both = at = 0
+    for begin in range(0, len(x), FRAGMENT):
+        part = x[begin : begin + FRAGMENT]
+        end = int(np.searchsorted(y, part[-1], "right"))
+        both += len(np.intersect1d(part, y[at:end], assume_unique=True))
+        at = end
+        if both + min(len(x) - begin - len(part), len(y) - end) < need:
+            return False
+    return both >= need
+
+
 def _of_large(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large buckets. A bucket is cut into blocks of about BLOCK documents, and each two blocks meet in a group of their own; of
-    the large buckets that a pair shares, the one of the least n-gram gives it."""
-    blocks = F.ceil(F.col("docs") / F.lit(BLOCK)).cast("int")
+    """``a, b``: links between documents of large buckets, whose rows hold the whole set of the document in ``tokens``.
+
+    A bucket is cut into blocks of about BLOCK documents and BLOCK_NGRAMS n-grams, and each two blocks meet in a group of their own; of
+    the large buckets that a pair shares, the one of the least n-gram compares it. A group gives a link only if it joins two
+    components that its links before left apart, so it has fewer rows than documents.
+    """
+    blocks = F.greatest(F.ceil(F.col("docs") / F.lit(BLOCK)), F.ceil(F.col("ngrams") / F.lit(BLOCK_NGRAMS))).cast("int")
     dealt = buckets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "doc", "n", "first", "component", "shares", "wide",
+        "block", "doc", "n", "first", "component", "shares", "wide", "tokens",
     )
 
-    def pairs(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(groups))
         token, low, high = (k.as_py() for k in key)
         block, doc, n, first, component = (rows.column(c).to_numpy() for c in ("block", "doc", "n", "first", "component"))
@@ -291,10 +331,25 @@ def _of_large(buckets: DataFrame, percent: int) -> DataFrame:
         if low == high:
             keep &= doc[left][:, None] < doc[right][None, :]
         i, j = np.nonzero(keep)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[left[i]]), pa.array(doc[right[j]])], ["a", "b"])
+        likely = np.argsort(-both[i, j], kind="stable")  # pairs that come later are mostly joined by then
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        label = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                label[c] = c = label[label[c]]
+            return c
+
+        found: list[tuple[int, int]] = []
+        for x, y in zip(left[i[likely]].tolist(), right[j[likely]].tolist(), strict=True):
+            one, two = root(component[x]), root(component[y])
+            if one != two and _alike(sets[x], sets[y], percent):
+                label[one] = two
+                found.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+        pair = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    found = keyed.groupBy("token", "low", "high").applyInArrow(pairs, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return keyed.groupBy("token", "low", "high").applyInArrow(links, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, largest: int) -> DataFrame:
@@ -379,13 +434,13 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     met = prefix.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("token")
     buckets = written(prefix.join(met, "token").withColumn("component", F.col("doc")), "buckets")
     found = links.limit(0)
-    for turn in range(STARS + 1):
+    for turn in range(STARS):
         if buckets.isEmpty():
             break
-        pairs = written(_leaders(buckets, turn, percent) if turn < STARS else _apart(buckets, percent), "pairs")
+        pairs = written(_leaders(buckets, turn, percent), "pairs")
         if not pairs.isEmpty():
             found = written(found.union(verified(docs, pairs, size, percent, largest)), "links")
-        if turn == STARS or found.isEmpty():
+        if found.isEmpty():
             continue
         # buckets of one component need no more pairs
         now = written(components(found), "labels")
@@ -396,6 +451,8 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         )
         mixed = moved.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         buckets = written(moved.join(mixed.filter("low < high").select("token"), "token"), "buckets")
+    if not buckets.isEmpty():
+        found = found.union(_apart(docs, buckets, size, percent, largest))
     final = components(written(links.union(found).distinct(), "links"))
     rows = sets.join(final, sets["doc_id"] == final["doc"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
