@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import jaccard, vectors, warc
 from tidegauge.llm.common import bit_set, in_bit_set, ranked
@@ -73,6 +75,36 @@ def test_components(spark, documents, size, percent, seed):
     assert set(kept.filter("doc_id is not null").toPandas().doc_id) == set(expected.values())
 
 
+def test_large_buckets_are_joined_block_by_block(spark, documents, monkeypatch):
+    # no leaders, all buckets large, blocks of a few documents or n-grams
+    for name, value in (("STARS", 0), ("MANY", 1), ("BLOCK", 6), ("BLOCK_NGRAMS", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(7)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(copy), "s"))
+    rows += [(3, rows[9][1] + " end", "s"), (3, rows[3][1], "s"), (70, " ".join(base[:60]), "s"), (71, "other words in this one", "s")]
+    found = jaccard.linked(documents(rows)).toPandas()
+    expected = _components(rows, jaccard.WORDS, jaccard.PERCENT)
+    assert dict(zip(found.doc_id, found.component_id, strict=True)) == expected
+    assert len(found) == len(rows) and 2 < len(set(expected.values())) < 60
+
+
+def test_overlap_by_fragments(monkeypatch):
+    rng = np.random.default_rng(3)
+    for fragment in (1, 7, 4096):
+        monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
+        for _ in range(100):
+            x = np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 60, 5).astype(np.uint64)]))
+            both = len(set(x.tolist()) & set(y.tolist()))
+            for percent in (50, 80, 85):
+                assert jaccard._alike(x, y, percent) == (100 * both >= percent * (len(x) + len(y) - both))
+
+
 def test_rows_of_one_id_are_compared_each_on_its_own(spark, documents):
     rows = []
 
@@ -174,6 +206,36 @@ def test_wrong_bytes_are_noticed():
         warc.parsed((header.replace("40", str(len(block))) + "\r\n\r\n").encode())
 
 
+def _altered(spark, path, folder, payloads, headers):
+    for name, change in (("payloads", payloads), ("headers", headers)):
+        change(spark.read.parquet(f"{path}/{name}")).write.parquet(f"{folder}/{name}")
+    return warc.read_back(spark, str(folder))
+
+
+def test_digests_of_all_records_are_compared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARE", 2)  # several shares of one payload
+    df = spark.createDataFrame([(i, "u", "same", "x") for i in range(9)] + [(20, "u", None, "x"), (21, "u", "", "x")], PAGES)
+    path = warc.archive(df)
+    bodies = warc.records(spark, path).collect()
+    # every revisit gets its payload back
+    assert sorted(warc.record(r.header, r.packed)["payload"] for r in bodies) == [b""] * 2 + [b"same"] * 9
+    same, zero = F.lit(hashlib.sha256(b"same").digest()), F.lit(bytes(32))
+    false_key = F.when(F.col("key") == same, zero).otherwise(F.col("key"))
+    other = F.when(F.col("key") == same, F.lit(zlib.compress(b"sane"))).otherwise(F.col("packed"))
+    as_is, revisits = (lambda d: d), (lambda d: d.filter("record_type = 'revisit'"))
+    cases = {
+        "false key": (lambda d: d.withColumn("key", false_key), lambda d: d.withColumn("key", false_key)),
+        "false key of revisits": (lambda d: d.withColumn("key", false_key), lambda d: revisits(d).withColumn("key", false_key)),
+        "other bytes": (lambda d: d.withColumn("packed", other), revisits),
+        "lost payload": (lambda d: d.filter(F.col("key") != same), revisits),
+        "lost empty payload": (lambda d: d.filter(F.col("key") == same), as_is),
+    }
+    assert _altered(spark, path, tmp_path / "same", as_is, as_is).count() == 11
+    for name, (payloads, headers) in cases.items():
+        with pytest.raises(Exception, match="SHA-256|no payload"):
+            _altered(spark, path, tmp_path / name.replace(" ", "-"), payloads, headers).collect()
+
+
 def test_ranks_have_no_gaps(spark):
     df = spark.createDataFrame([(i % 3 and 1, i) for i in range(500)] + [(2, 7)] * 3, "k long, v long")
     found = ranked(df, ["k"], ["v"], 503).toPandas()

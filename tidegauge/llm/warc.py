@@ -1,8 +1,8 @@
 """A content-addressed archive of WARC records: payloads once by digest, exact record headers apart.
 
 ``payloads`` holds the bytes of each distinct payload, packed, under its SHA-256 digest; ``headers`` holds the header block of each
-record as it would stand in a WARC file. A record is read back by joining the two, and its bytes are checked against the
-digests that name them.
+record as it would stand in a WARC file. A record is read back by joining the two, responses and revisits alike: its payload must have the
+SHA-256 digest that it is kept under and the SHA-1 digest and length that the header names, or reading is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = "\r\n"
 PACKING = 1  # level of compression
+SHARE = 4096  # records of one payload that are read in one share; the payload is read once for each share
 
 
 def _digests(pages: DataFrame, with_payload: bool) -> DataFrame:
@@ -82,9 +83,11 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> str:
     spark = pages.sparkSession
     path = scratch_dir(spark, "archive")
     # equal payloads meet here once for each task, so a payload on most pages stays one row for each
-    once = _digests(pages, True).groupBy("key").agg(F.first("packed").alias("packed"), F.max("page_id").alias("answers"))
+    once = _digests(pages, True).groupBy("key").agg(
+        F.first("packed").alias("packed"), F.max("page_id").alias("answers"), F.count("*").alias("records")
+    )
     once.write.parquet(f"{path}/payloads")
-    answers = spark.read.parquet(f"{path}/payloads").select("key", "answers")
+    answers = spark.read.parquet(f"{path}/payloads").select("key", "answers", "records")
     columns = ["key", "page_id", "url", "payload_digest", "payload_bytes"]
     counted = _digests(pages, False).groupBy(*columns).agg(F.count("*").alias("times"))
     before = Window.partitionBy("key", "page_id").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,17 +102,26 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> str:
             "refers_to_id": _record_id(F.col("answers"), F.lit(0)),
         }
     )
-    typed.select("key", "record_type", _header().alias("header")).write.parquet(f"{path}/headers")
+    share = F.pmod(F.xxhash64("record_id"), _shares()).cast("int")
+    typed.select("key", share.alias("share"), "record_type", _header().alias("header")).write.parquet(f"{path}/headers")
     return path
 
 
+def _shares() -> Column:
+    """Into how many shares the records of a payload are dealt."""
+    return F.ceil(F.col("records") / F.lit(SHARE))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """``header, packed`` of every record of an archive: its header block, and for responses the payload as it is kept."""
+    """``header, key, packed`` of every record of an archive: its header block, its payload as it is kept, and the digest it is kept under.
+
+    A revisit has the payload that it refers to. A header whose payload is gone has a null payload. Records of one payload
+    are dealt into shares, so that one on most pages does not meet in one task.
+    """
     headers = spark.read.parquet(f"{path}/headers")
-    kept = spark.read.parquet(f"{path}/payloads").select("key", "packed")
-    responses = headers.filter("record_type = 'response'").join(kept, "key")
-    revisits = headers.filter("record_type = 'revisit'").withColumn("packed", F.lit(None).cast("binary"))
-    return responses.select("header", "packed").unionByName(revisits.select("header", "packed"))
+    kept = spark.read.parquet(f"{path}/payloads")
+    dealt = kept.select("key", "packed", F.explode(F.sequence(F.lit(0), _shares().cast("int") - 1)).alias("share"))
+    return headers.join(dealt, ["key", "share"], "left").select("header", "key", "packed")
 
 
 def warc_bytes(header: str, packed: bytes | None) -> bytes:
@@ -136,11 +148,34 @@ def parsed(record: bytes) -> dict[str, str | bytes]:
     return fields
 
 
+def record(header: str, packed: bytes | None) -> dict:
+    """The fields of a record, and as ``payload`` the bytes that it stands for: a revisit's come from what it refers to."""
+    revisit = "WARC-Type: revisit" in header.split(LINE)
+    fields = parsed(warc_bytes(header, None if revisit else packed))
+    if packed is None:
+        return {**fields, "payload": None}
+    return {**fields, "payload": zlib.decompress(packed)} if revisit else fields
+
+
+def verified(fields: dict, key: bytes, payload: bytes | None) -> bytes:
+    """The payload of a record, also of a revisit; one that is gone, or that any digest or length denies, is an error."""
+    name = fields["WARC-Record-ID"]
+    if payload is None:
+        raise ValueError(f"{name} has no payload in the archive")
+    if hashlib.sha256(payload).digest() != key:
+        raise ValueError(f"{name} has a payload under a false SHA-256 digest")
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if fields["WARC-Payload-Digest"] != f"sha1:{digest}" or len(payload) != int(fields["http"]["Content-Length"]):
+        raise ValueError(f"{name} names another payload than it has")
+    return payload
+
+
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` from the bytes of every record of an archive."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` of every record of an archive, each with its whole payload
+    at hand, so size and digest are those of its bytes."""
 
     def page(address: str) -> int | None:
         name = address.split(":")[2]
@@ -149,11 +184,12 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for header, packed in zip(batch.column("header").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                fields = parsed(warc_bytes(header, packed))
+            for header, key, packed in zip(*(batch.column(c) for c in ("header", "key", "packed")), strict=True):
+                fields = record(header.as_py(), packed.as_py())
+                payload = verified(fields, key.as_py(), fields["payload"])
                 values = (
                     page(fields["WARC-Record-ID"]),
-                    int(fields["http"]["Content-Length"]),
+                    len(payload),
                     fields["WARC-Payload-Digest"].removeprefix("sha1:"),
                     fields["WARC-Type"],
                     page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
