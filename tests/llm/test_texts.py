@@ -54,8 +54,44 @@ def test_lines_that_a_host_repeats(spark, documents):
     assert found.kept[list(range(30))].all() and (found.removed_chars[list(range(30))] == len(menu)).all()
     assert not found.kept[[100, 101, 102, 103, 104]].any() and not found.base_failed[[100, 101, 200]].any()
     assert (found.removed_chars[[200, 201, 202]] == 0).all() and found.kept[[200, 201, 202]].all()
-    # exact copies are one text
-    assert found.kept[[300, 349]].all()
+    # copies under ids of their own are documents
+    assert not found.kept[[300, 349]].any()
+
+
+def test_lines_are_counted_by_documents(spark, documents):
+    menu = "Home News Sport Weather About us Contact and all the other pages that every page of this site must list once"
+
+    def own(i, words=30):
+        return " ".join(f"{chr(97 + i % 26)}{i}w{k}" for k in range(words))
+
+    copied = f"{menu}\n{own(5000)}"
+    rows = [(i, copied if i < 200 else own(i), "copies") for i in range(230)]
+    rows += [(1000 + i, f"{menu}\n{own(i)}" if i < 45 else own(i), "large") for i in range(5000)]
+    rows += [(7000 + i, f"{menu}\n{own(i)}" if i < 5 else own(i), "small") for i in range(51)]
+    rows += [(8000 + i, f"{menu}\n{own(i)}" if i < 5 else own(i), "tiny") for i in range(50)]
+    rows += [(9000 + i, f"{menu}\n{own(i)}" if i < 4 else own(i), "least") for i in range(5)]
+    found = quality.judged(documents(rows)).toPandas().set_index("doc_id")
+    assert (found.removed_chars[list(range(200))] == len(menu) + len(own(5000))).all() and not found.kept[list(range(200))].any()
+    assert (found.removed_chars[[1000, 1044, 8000, 8004]] == len(menu)).all()
+    assert (found.removed_chars[[200, 1045, 7000, 7004, 8005, 9000, 9003]] == 0).all()
+
+
+def test_repeated_rows_and_null_ids_are_judged_each(spark, documents):
+    menu = "Home News Sport Weather About us Contact and all the other pages that every page of this site must list once"
+    words = " ".join(f"own{k}" for k in range(30))
+    rows = [(i, f"{menu}\nrest {i} {words}{i}", "site") for i in range(30)]
+    once = quality.judged(documents(rows)).toPandas().set_index("doc_id")
+    twice = quality.judged(documents(rows + rows[:1] * 7 + [(None, t, s) for _, t, s in rows[:3]] + [(None, "a b", "site"), (1, words, "other")])).toPandas()
+    assert len(twice) == 42
+    for i in range(30):
+        same = twice[(twice.doc_id == i) & (twice.n_words > 30)]
+        assert len(same) == (8 if i == 0 else 1)
+        assert (same.removed_chars == once.removed_chars[i]).all() and (same.kept == once.kept[i]).all() and once.kept[i]
+    nameless = twice[twice.doc_id.isna()]
+    assert sorted(nameless.removed_chars) == [0, len(menu), len(menu), len(menu)] and nameless.kept.sum() == 3
+    # a repeated row counts once for a line
+    few = [(i, f"{menu}\n{words}{i}", "few") for i in range(4)]
+    assert (quality.judged(documents(few * 9)).toPandas().removed_chars == 0).all()
 
 
 CHAT = "conv_id long, turn long, role string, text string, turns string"

@@ -13,8 +13,9 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
-SHARE_PCT = 1.0  # a line is common from this share of the distinct texts of its host
-MIN_TEXTS = 20  # and at least this many of them
+MOST_DOCS = 20  # a line is common from so many documents of its host on, whatever the size of the host
+SHARE_PCT = 10.0  # or, in smaller hosts, from this share of the documents of its host
+MIN_DOCS = 5  # and at least so many of them
 LEFT_PCT = 50  # a document with less than this share of its words left is depleted
 SALTS = 32
 
@@ -85,51 +86,61 @@ def figures(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
+KEY = ("host", "doc", "text_hash")  # what tells documents apart: rows that agree in it have one verdict
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds KEY to ``doc_id, source, text``: host and document as texts, null apart from every value, and a hash of the text."""
+    host = F.coalesce(F.concat(F.lit("h"), F.col("source").cast("string")), F.lit("null"))
+    doc = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("null"))
+    return docs.withColumns({"host": host, "doc": doc, "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc, host, text_hash, line, chars`` for each line that isn't blank: a hash of the trimmed line in lower case."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    host = F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("null"))
+    """KEY, ``nth, line, chars`` for each line that isn't blank: its place and a hash of the trimmed line in lower case."""
+    each = F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("nth", "line")
     return (
-        docs.select("doc", host.alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(F.split(F.lower(text), "\n")).alias("line"))
+        docs.select(*KEY, each)
         .withColumn("line", F.btrim("line", F.lit(SPACES)))
         .filter("line <> ''")
-        .select("doc", "host", "text_hash", F.xxhash64("line").alias("line"), F.length("line").cast("long").alias("chars"))
+        .select(*KEY, "nth", F.xxhash64("line").alias("line"), F.length("line").cast("long").alias("chars"))
     )
 
 
-def common_lines(lines: DataFrame, share_pct: float = SHARE_PCT, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``host, line`` of the lines that stand in too many distinct texts of a host (exact copies count once)."""
-    # a pair of line and text goes once, so what meets for one line is a count from each task
-    seen = lines.select("host", "line", "text_hash").distinct()
-    per_line = seen.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
-    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all_texts"))
-    return per_line.join(hosts, "host").filter(100 * F.col("texts") >= share_pct * F.col("all_texts")).select("host", "line")
+def common_lines(lines: DataFrame, most_docs: int = MOST_DOCS, share_pct: float = SHARE_PCT, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``host, line`` of the lines that stand in too many documents of a host: a fixed number, or a share of a smaller host."""
+    # a pair of line and document goes once, so what meets for one line is a count from each task
+    per_line = lines.select(*KEY, "line").distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    hosts = lines.select(*KEY).distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
+    many = (F.col("docs") >= most_docs) | (100 * F.col("docs") >= share_pct * F.col("all_docs"))
+    return per_line.join(hosts, "host").filter(many).select("host", "line")
 
 
 def removed_chars(docs: DataFrame) -> DataFrame:
-    """``doc, removed``: characters in lines that the rule removes, for documents that lose any."""
+    """KEY, ``removed``: characters in lines that the rule removes, for documents that lose any."""
     lines = written(lines_of(docs), "lines")
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    # each common line stands in MIN_TEXTS texts or more, so the copies for the salts stay near the rows of lines
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SALTS)).cast("int"))
+    # each common line stands in MIN_DOCS documents or more, so the copies for the salts stay near the rows of lines
     common = common_lines(lines).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(common, ["host", "line", "salt"]).groupBy("doc").agg(F.sum("chars").alias("removed"))
+    # the place of a line makes repeated rows of a document one
+    gone = salted.join(common, ["host", "line", "salt"]).select(*KEY, "nth", "chars").distinct()
+    return gone.groupBy(*KEY).agg(F.sum("chars").alias("removed"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """``doc_id``, the figures of :func:`figures`, ``removed_chars`` and ``kept`` for every row of ``docs``.
 
     A document fails by its own figures, or if the lines that its host repeats leave less than LEFT_PCT per cent of its
-    word characters. Hosts are the values of ``source``; null is one of its own. Rows that repeat an id are judged each by its
-    own text, with the characters removed from all of them; null ids count as one id. An empty table gives
-    no rows; other columns are not read.
+    word characters. Hosts are the values of ``source``; null is one of its own. Rows that agree in id, source and text are one document
+    and have one verdict however often they come; other rows, also with one id or without, are documents of their own. So
+    copies under other ids count for a line. An empty table gives no rows; other columns are not read.
     """
-    own = figures(docs.select("doc_id", "text")).drop("text")
-    doc = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("null"))
-    lost = removed_chars(docs.select(doc.alias("doc"), F.col("source").alias("host"), "text"))
-    rows = own.withColumn("doc", doc).join(lost, "doc", "left")
+    keyed = _keyed(docs.select("doc_id", "source", "text"))
+    own = figures(keyed).drop("text", "source")
+    rows = own.join(removed_chars(keyed), list(KEY), "left")
     removed = F.coalesce("removed", F.lit(0).cast("long"))
     # a line's characters include the single spaces between its words
     depleted = 100 * removed > (100 - LEFT_PCT) * (F.col("word_chars") + F.col("n_words"))
     return rows.select(
-        *own.columns, removed.alias("removed_chars"), (~(F.col("base_failed") | depleted)).alias("kept")
+        *[c for c in own.columns if c not in KEY], removed.alias("removed_chars"), (~(F.col("base_failed") | depleted)).alias("kept")
     )

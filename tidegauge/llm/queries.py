@@ -132,10 +132,10 @@ repeats as (
 lines as (
   select doc_id, host, text, trim(lower(l), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line
   from (select *, unnest(string_split(text, chr(10))) as l from docs)),
-hosts as (select host, count(distinct text) as all_texts from lines where line <> '' group by host),
+hosts as (select host, count(distinct doc_id) as all_docs from lines where line <> '' group by host),
 common as (
-  select host, line from lines join hosts using (host) where line <> '' group by host, line, all_texts
-  having count(distinct text) >= {min_texts} and 100 * count(distinct text) >= {share} * all_texts),
+  select host, line from lines join hosts using (host) where line <> '' group by host, line, all_docs
+  having count(distinct doc_id) >= {most} or (count(distinct doc_id) >= {least} and 100 * count(distinct doc_id) >= {share} * all_docs)),
 lost as (select doc_id, sum(length(line)) as removed from lines join common using (host, line) group by doc_id),
 figures as (
   select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
@@ -150,7 +150,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from figures
 """
 _QUALITY_SQL = (
-    _QUALITY_SQL.replace("{min_texts}", str(quality.MIN_TEXTS))
+    _QUALITY_SQL.replace("{most}", str(quality.MOST_DOCS))
+    .replace("{least}", str(quality.MIN_DOCS))
     .replace("{share}", str(quality.SHARE_PCT))
     .replace("{gone}", str(100 - quality.LEFT_PCT))
 )
