@@ -165,3 +165,22 @@ def test_repeated_rows_keep_their_columns(spark, documents):
     out = mixing.repeated(docs)
     assert out.columns == docs.columns
     assert out.toPandas().groupby("doc_id").size().to_dict() == taken[taken > 0].to_dict()
+
+
+def test_copies_belong_to_rows(spark, documents):
+    rows = [(None, f"n{i} b c", "s") for i in range(20)] + [(5, "two texts of", "t"), (5, "one id here", "t"), (6, "x y z", None)]
+    rows += [(7, "a b c", "s")] * 30 + [(None, None, "s"), (8, " ", "s")]
+    docs = documents(rows)
+    found = mixing.mixed(docs)
+    out = mixing.repeated(docs).toPandas()
+    assert len(out) == found.agg({"copies": "sum"}).first()[0]
+    by_id = found.toPandas().groupby("doc_id").copies.sum()
+    assert out.groupby("doc_id").size().to_dict() == by_id[by_id > 0].to_dict()
+    assert out.doc_id.isna().any() and not out.text.isna().any()
+
+
+def test_no_convergence_is_an_error(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    rows = [(i, " ".join(["w"] * (1 + i % 40)), "a" if i % 2 else "b") for i in range(200)]
+    with pytest.raises(RuntimeError):
+        mixing.mixed(documents(rows))

@@ -27,16 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, per_key: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, per_key: DataFrame | None = None, dealt_by: Sequence[str] = ()
 ) -> DataFrame:
     """Adds ``rank``, from 0 without gaps inside each group of ``keys`` (not null), also where one group holds most rows.
 
-    Groups are cut by a hash of ``order`` into about sqrt(rows) buckets. The counts of the buckets give each its first
+    Groups are cut by a hash of ``dealt_by``, or else of ``order``, into about sqrt(rows) buckets. The counts of the buckets give each its first
     rank, so no task sees a group whole. ``order`` decides the ranks inside a bucket; rows that agree in all of
     it must be equal in what the caller keeps. Columns of ``per_key`` (one row for each group) are added on the way.
     """
     keys, buckets = list(keys), max(1, math.isqrt(rows))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*(dealt_by or order)), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

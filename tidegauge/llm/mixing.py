@@ -22,9 +22,10 @@ MAX_STEPS = 60
 _UNIT = 1 << 20  # rates are whole multiples of 1 / _UNIT, so sums don't depend on the order of adding
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, key, size``: words of each document; the key names the source, null apart from every text."""
+def sized(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, key, size`` and the columns ``more``: words of each document; the key names the source, null apart from every text."""
     return docs.select(
+        *more,
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("key"),
@@ -75,7 +76,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     """``key, unit, tilt``: the multiplier of each source, by Newton steps on all sources at once.
 
     ``histogram`` is ``key, size, n`` with sizes above 0. A step outside the bracket known so far is replaced by its
-    middle. Each step is one join and sum over the histogram; its state, a row for each source, is written.
+    middle. Each step is one join and sum over the histogram; its state, a row for each source, is written. Sources that are not near
+    their target after MAX_STEPS steps are an error.
     """
     start = histogram.groupBy("key").agg(
         (F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("n") * F.col("size"))).alias("unit")
@@ -86,6 +88,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
             "key",
             "unit",
             "target",
+            (F.col("source_size") / _UNIT).alias("least"),
             F.when(full, F.lit(1e9)).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("tilt"),
             F.lit(-1e6).alias("low"),
             F.lit(1e6).alias("high"),
@@ -118,12 +121,14 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
             .otherwise((F.col("low") + F.col("high")) / 2)
         )
         inside = F.col("moved").isNotNull() & (F.col("moved") > F.col("low")) & (F.col("moved") < F.col("high"))
-        near = (F.abs("over") <= TOLERANCE * F.col("target")) | (F.col("high") - F.col("low") < 1e-12)
+        # rates are rounded, so no tilt is sure to come nearer than one unit of every document
+        near = (F.abs("over") <= F.greatest(TOLERANCE * F.col("target"), F.col("least"))) | (F.col("high") - F.col("low") < 1e-12)
         state = written(
             stepped.select(
                 "key",
                 "unit",
                 "target",
+                "least",
                 F.when(F.col("done") | near, F.col("tilt")).when(inside, F.col("moved")).otherwise(middle).alias("tilt"),
                 "low",
                 "high",
@@ -132,8 +137,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
             "tilts",
         )
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("key", "unit", "tilt")
+            return state.select("key", "unit", "tilt")
+    raise RuntimeError(f"no rates that give every source its target after {MAX_STEPS} steps")
 
 
 def copies(histogram: DataFrame, multipliers: DataFrame, cap: int = CAP) -> DataFrame:
@@ -162,7 +167,12 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -
     of its own, last. Which of equal documents get one more copy follows from a hash of their ids, so reruns agree.
     Repeated rows count on their own. An empty table gives no rows.
     """
-    sizes = written(sized(docs), "sizes")
+    return _mixed(docs, weights, cap, [])
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], cap: int, more: Sequence[str]) -> DataFrame:
+    """The rows of :func:`mixed` with the columns ``more`` of ``docs``, which also tell rows of one id apart."""
+    sizes = written(sized(docs, more), "sizes")
     goals = written(targets(sizes, weights, cap), "targets")
     histogram = written(
         sizes.filter("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "histogram"
@@ -172,23 +182,31 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -
     per_key = histogram.join(plan, ["key", "size"], "left").select(
         "key", "size", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("extra", F.lit(0)).alias("extra")
     )
-    none = sizes.filter("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("copies"))
-    some = ranked(sizes.filter("size > 0").drop("source"), ["key", "size"], ["doc_id"], rows, per_key).select(
-        "doc_id", "key", "size", (F.col("base") + (F.col("rank") < F.col("extra")).cast("long")).alias("copies")
+    none = sizes.filter("size = 0").select("doc_id", *more, "key", "size", F.lit(0).cast("long").alias("copies"))
+    # rows without an id are dealt out by what tells them apart
+    apart = F.when(F.col("doc_id").isNull(), F.hash(*more)) if more else F.lit(None).cast("int")
+    worded = sizes.filter("size > 0").drop("source").withColumn("apart", apart)
+    some = ranked(worded, ["key", "size"], ["doc_id", *more], rows, per_key, ["doc_id", "apart"]).select(
+        "doc_id", *more, "key", "size", (F.col("base") + (F.col("rank") < F.col("extra")).cast("long")).alias("copies")
     )
     return (
         some.unionByName(none)
-        .join(F.broadcast(goals) if goals.count() <= 100_000 else goals, "key")
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .join(goals, "key")
+        .select("doc_id", *more, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def repeated(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of ``docs``, with all columns, as often as the mix takes them.
 
-    Rows that share an id are each taken as often as any of them, at most ``cap`` times. Rows with a null id or without words are
-    left out, as nothing of them is taken.
+    Copies belong to rows, told apart by all of their columns, so rows with a null id or with one id are taken each as
+    :func:`mixed` says, and equal rows together as often as the mix takes all of them. Rows without words are left out, as nothing of them is taken.
     """
-    times = mixed(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_times_taken")).filter("_times_taken > 0")
-    joined = docs.join(times, "doc_id")
-    return joined.withColumn("_time_taken", F.explode(F.sequence(F.lit(1), F.col("_times_taken")))).select(*docs.columns)
+    # nulls leave such a hash as it is, so which columns are null counts too
+    values = [*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns)]
+    key = ["_mix_row", "_mix_row2"]
+    keyed = docs.withColumns({key[0]: F.xxhash64(*values), key[1]: F.xxhash64(F.lit("second"), *values)})
+    times = _mixed(keyed, weights, cap, key).groupBy(*key).agg(F.sum("copies").cast("int").alias("_mix_times")).filter("_mix_times > 0")
+    # equal rows become one before they meet, so any number of them is one row for each task
+    joined = keyed.dropDuplicates(key).join(times, key)
+    return joined.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*(f"`{c}`" for c in docs.columns))
