@@ -145,6 +145,15 @@ def test_sources_come_near_their_targets(spark, documents):
     assert found[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
 
 
+def test_rounding_is_carried_in_words(spark, documents):
+    rng = random.Random(4)
+    # a few long documents and many short ones
+    rows = [(i, " ".join(["w"] * (rng.randint(200, 900) if i % 9 == 0 else rng.randint(1, 8))), "abc"[i % 3]) for i in range(600)]
+    found = mixing.mixed(documents(rows)).toPandas()
+    for _, part in found.groupby("source_size"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 8  # a short one at most
+
+
 def test_rates_grow_or_fall_with_size(spark, documents):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), "a" if i % 2 else "b") for i in range(2000)]
     found = mixing.mixed(documents(rows)).toPandas()

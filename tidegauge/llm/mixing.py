@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,20 +146,24 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
 def copies(histogram: DataFrame, multipliers: DataFrame, cap: int = CAP) -> DataFrame:
     """``key, size, base, extra``: every document of a source and size gets ``base`` copies, ``extra`` of them one more.
 
-    The parts of copies are carried from one size to the next smaller in whole units, so a source misses its target by
-    less than its largest document.
+    What rounding leaves over is carried in words from one size to the next smaller, so a source misses its target by
+    what its smallest documents leave over. A source's rows are its different sizes, as many as its longest document has words at most.
     """
-    rate = histogram.join(multipliers, "key").withColumn("rate", F.least(_rate(cap), F.lit(cap * _UNIT)).cast("long"))
-    split = rate.select(
-        "key",
-        "size",
-        F.floor(F.col("rate") / _UNIT).cast("long").alias("base"),
-        (F.col("n") * (F.col("rate") % _UNIT)).alias("part"),
-    )
-    order = Window.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = split.withColumn("upto", F.sum("part").over(order) + _UNIT // 2)
-    whole = F.expr(f"upto div {_UNIT} - (upto - part) div {_UNIT}")
-    return upto.select("key", "size", "base", whole.alias("extra"))
+    most = cap * _UNIT
+    rate = histogram.join(multipliers, "key").withColumn("rate", F.least(_rate(cap), F.lit(most)).cast("long"))
+
+    def rounded(sizes: pa.Table) -> pa.Table:
+        sizes = sizes.sort_by([("size", "descending")])
+        owed, extra = 0, []
+        for size, n, part in zip(*(sizes.column(c).to_pylist() for c in ("size", "n", "rate")), strict=True):
+            owed += n * (part % _UNIT) * size
+            more = min(n, max(0, (2 * owed + size * _UNIT) // (2 * size * _UNIT))) if part < most else 0
+            owed -= more * size * _UNIT
+            extra.append(more)
+        base = pc.divide(sizes.column("rate"), _UNIT)
+        return pa.table({"key": sizes.column("key"), "size": sizes.column("size"), "base": base, "extra": pa.array(extra, pa.int64())})
+
+    return rate.select("key", "size", "n", "rate").groupBy("key").applyInArrow(rounded, "key string, size long, base long, extra long")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
