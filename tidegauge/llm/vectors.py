@@ -20,18 +20,23 @@ SCALE = 1024
 CELLS = 256
 QUERY_BLOCK = 1024  # query vectors that are sent to every task at a time
 SCAN_ROWS = 2048
+MOST = 2.0**62  # squares of a vector add up to less, so scores lie between -MOST and MOST
 FIRST_READS = 4  # times k vectors are read before the bounds of the others are looked at again
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v``: floor(1024 * x) of each component as 64-bit integers; null vectors and such with null or non-finite
-    components go."""
+    """``vec_id, v``: floor(1024 * x) of each component as 64-bit integers.
+
+    Null vectors and such with null or non-finite components go, and vectors whose squares add up to 2^62 or more: without
+    those every score and all its partial sums fit a long.
+    """
     usable = F.col("embedding").isNotNull() & ~F.exists(
         F.coalesce(F.col("embedding"), F.array()),
         lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")),
     )
     floors = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
-    return vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), floors.alias("v"))
+    whole = vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), floors.alias("v"))
+    return whole.filter(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")) < MOST)
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
@@ -109,14 +114,21 @@ def _scan(approximated: DataFrame, queries: list[tuple[int, int, list[int]]], la
                 best = tops.setdefault(n, np.full((len(q), k), np.iinfo(np.int64).min))
                 # sums below 2^53 are exact as floats, whose products are far faster
                 up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
+                reach = np.linalg.norm(q.astype(float), axis=1)
                 for first in range(0, len(rows), SCAN_ROWS):
                     part = rows[first : first + SCAN_ROWS]
                     cells = np.frombuffer(b"".join(batch.column("cells").take(pa.array(part)).to_pylist()), np.uint8)
                     least = low0 + cells.reshape(-1, n).astype(np.int64) * width
                     most = (least + width - 1).astype(float)
                     least = least.astype(float)
-                    lower = (up @ least.T + down @ most.T).astype(np.int64)
-                    upper = (up @ most.T + down @ least.T).astype(np.int64)
+                    lower = up @ least.T + down @ most.T
+                    upper = up @ most.T + down @ least.T
+                    sums = np.linalg.norm(np.maximum(np.abs(least), np.abs(most)), axis=1)
+                    if reach.max() * sums.max() >= 2.0**52:
+                        # larger ones are rounded, so the bounds give way by all that rounding can do
+                        slack = np.outer(reach, sums) * (n + 4) * 2.0**-51
+                        lower, upper = np.floor(lower - slack), np.ceil(upper + slack)
+                    lower, upper = (np.clip(x, -MOST, MOST).astype(np.int64) for x in (lower, upper))
                     best = np.sort(np.concatenate([best, lower], axis=1), axis=1)[:, -k:]
                     i, j = np.nonzero(upper >= best[:, :1])
                     kept.append((np.full(len(i), n), i, part[j] * 0, lower[i, j], upper[i, j], batch.column("c1").to_numpy()[part[j]], batch.column("c2").to_numpy()[part[j]]))
@@ -147,7 +159,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose ``vec_id`` is divisible by ``every`` its ``k`` best other rows.
 
     The score is the inner product of whole-number vectors; ties go to the smaller id. Vectors that are null or hold null or
-    non-finite components take no part; a null id is no query and comes after all ids; vectors meet only those of their
+    non-finite components take no part, nor do those whose scores may not fit a long (see :func:`whole_numbers`); a null id is no query and comes after all ids; vectors meet only those of their
     own number of dimensions. Repeated rows count each: a query leaves out one row of its id and vector, so its own repeats are
     candidates, and each repeat is a query. An empty table gives no rows.
     """
