@@ -27,6 +27,7 @@ LEAST_EVIDENCE = 30.0  # likelihood ratio from which a feature marks toxic token
 LEAST_RATIO = 30.0  # and how many times more often it stands in toxic documents than in clean ones
 STEPS = 60
 SEGMENT = 128  # words of a training sequence
+REST = 10  # of the training sequences without a telling word each such one is fitted, and counts as many times
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -183,10 +184,11 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         for first in range(0, len(of), SEGMENT):
             pieces.append(of[first : first + SEGMENT])
             labels.append(y[first : first + SEGMENT])
-    # segments without a telling word in any document add nothing but moves between clean words
-    telling = [i for i, x in enumerate(pieces) if strong[x].any()]
-    rest = [i for i in range(len(pieces)) if i % 10 == 0]
-    chosen = sorted(set(telling) | set(rest), key=lambda i: -len(pieces[i]))
+    # of the segments without a telling word each REST-th stands for REST of them
+    telling = {i for i, x in enumerate(pieces) if strong[x].any()}
+    rest = [i for i in range(len(pieces)) if i not in telling][::REST]
+    chosen = sorted([*telling, *rest], key=lambda i: -len(pieces[i]))
+    stands_for = np.array([1.0 if i in telling else REST for i in chosen])
     lengths = np.array([len(pieces[i]) for i in chosen])
     steps = int(lengths[0])
     inside = np.arange(steps)[:, None] < lengths
@@ -197,18 +199,19 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
     where = to_used[of[inside]]
     w, bias, moves = np.zeros(len(used) + 1), -3.0, np.zeros((2, 2))
     squares, bias_square, move_squares = np.full(len(used) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    n, follows = len(where), inside[1:]
-    pairs = [[((y[:-1] == i) & (y[1:] == j) & follows).sum() for j in (0, 1)] for i in (0, 1)]
+    times = np.broadcast_to(stands_for, inside.shape)
+    n, follows, following = times[inside].sum(), inside[1:], times[1:][inside[1:]]
+    pairs = [[(((y[:-1] == i) & (y[1:] == j))[follows] * following).sum() for j in (0, 1)] for i in (0, 1)]
     emissions = np.zeros((steps, len(chosen)))
     for _ in range(STEPS):
         emissions[inside] = w[where].sum(1) + bias
         p, forward, backward = marginals(emissions, moves, lengths)
-        lack = np.where(inside, y - p, 0.0)[inside]
+        lack = (y - p)[inside] * times[inside]
         gradient = np.bincount(where.ravel(), np.repeat(lack, KINDS), len(used) + 1) - 0.05 * w
         a, q = np.exp(moves), np.exp(np.clip(emissions[1:], -30, 30)) * backward[1:]
         joint = [[a[0, 0] + 0 * q, a[0, 1] * q], [a[1, 0] * forward[:-1], a[1, 1] * forward[:-1] * q]]
         whole = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        expected = [[(joint[i][j] / whole)[follows].sum() for j in (0, 1)] for i in (0, 1)]
+        expected = [[((joint[i][j] / whole)[follows] * following).sum() for j in (0, 1)] for i in (0, 1)]
         bias_step = lack.sum() / n
         move_step = (np.array(pairs) - np.array(expected)) / n - 1e-4 * moves
         squares += gradient**2
@@ -274,7 +277,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
         .select("doc_id", "toxic", "text")
         .mapInArrow(read, "doc_id long, toxic int, of binary")
         .filter("length(of) > 0")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "toxic")
+        .agg(F.max("of").alias("of"))  # of different texts under one id always the same
         .toArrow()
         .sort_by("doc_id")
     )
