@@ -36,7 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so shorter ones can be left out at once
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# an opened brace, then a quote, a blank or a line end
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 _ESCAPED_CODE = re.compile(r"\\+(?:u00|x)([0-7][0-9A-Fa-f])")
 _ESCAPED_END = re.compile(r"\\+[nrt]")
@@ -50,6 +51,9 @@ _BASE64_BYTES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 # the schemes by which a key is encrypted: PKCS #5 and #12
 _ENCRYPTION = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+_HEX_BEGUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{14,}(?=[\x20\t\r]*(?:\n|\\n))")  # a sequence, on several lines
+_HEX_LINE = re.compile(r"[\x20\t\r]*(?:\n|\\n)[\x20\t]*([0-9A-Fa-f]+)")
+_PEM = "LS0tLS1CRUdJTi"  # how the encoding of a mark begins
 _OPENSSH = b"openssh-key-v1\0"
 
 
@@ -227,14 +231,19 @@ def _whole(text: str, at: int) -> tuple[bytes, int] | None:
     return found[0], end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
 
 
+def _inside(text: str, at: int) -> bool:
+    """Whether a run of base64 goes on at ``at``; the letter of an escape and the end of a mark begin no run."""
+    if not at or text[at - 1] not in _BASE64_BYTES:
+        return False
+    return not (at > 1 and text[at - 2] == "\\" and text[at - 1] in "nrt" or text.endswith("-----", 0, at))
+
+
 def _bare(text: str) -> list[tuple[int, int]]:
     """Places of keys in base64 without marks, on one line or wrapped."""
     out, upto = [], 0
     for m in _BEGUN.finditer(text):
         at = m.start()
-        # the letter of an escape and the end of a mark begin no run
-        inside = at and text[at - 1] in _BASE64_BYTES
-        if at < upto or inside and not (at > 1 and text[at - 2] == "\\" and text[at - 1] in "nrt" or text.endswith("-----", 0, at)):
+        if at < upto or _inside(text, at):
             continue
         found = _whole(text, at)
         if found and _is_key(found[0]):
@@ -243,6 +252,64 @@ def _bare(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _encoded_blocks(text: str) -> list[tuple[int, int]]:
+    """Places of armoured keys that were encoded once more as a whole, on one line or wrapped."""
+    out, at = [], text.find(_PEM)
+    while at >= 0:
+        runs, then = [], at
+        while (run := _RUN.match(text, then)) and not (runs and run[0].startswith(_PEM)):
+            runs.append(run)
+            between = _BETWEEN.match(text, run.end())
+            if not between:
+                break
+            then = between.end()
+        encoded = "".join(run[0] for run in runs)
+        block = (_decoded(encoded[: len(encoded) - (len(encoded) % 4 == 1)]) or b"").decode("latin-1")
+        upto = at + 1
+        if not _inside(text, at) and (keys := _armoured(block)):
+            end = keys[-1][1]
+            end += len(block[end : end + 2]) - len(block[end : end + 2].lstrip("\r\n"))
+            left = -(-4 * end // 3)
+            for run in runs:
+                upto = run.start() + min(left, len(run[0]))
+                left -= len(run[0])
+                if left <= 0:
+                    break
+            upto += len(text[upto : upto + 2]) - len(text[upto : upto + 2].lstrip("="))
+            out.append((at, upto))
+        at = text.find(_PEM, upto)
+    return out
+
+
+def _hex_lines(text: str) -> list[tuple[int, int]]:
+    """Places of keys in hex over several lines, as long as they say themselves."""
+    out, upto = [], 0
+    for m in _HEX_BEGUN.finditer(text):
+        if m.start() < upto:
+            continue
+        head = bytes.fromhex(m[0][:12])
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        if width > 4:
+            continue
+        left = 2 * (2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1]))
+        parts, part, start = [], m[0], m.start()
+        if left > len(text) - start:
+            continue
+        while True:
+            parts.append(part[:left])
+            left -= len(parts[-1])
+            end = start + len(parts[-1])
+            line = _HEX_LINE.match(text, end) if left else None
+            if not line:
+                break
+            part, start = line[1], line.start(1)
+        # a key ends where its line does
+        if not left and len(parts[-1]) == len(part) and _is_key(bytes.fromhex("".join(parts))):
+            out.append((m.start(), end))
+            upto = end
+    return out
+
+
 def _is_token(text: str) -> bool:
     """Whether header and payload are JSON objects and the header names an algorithm."""
     header, payload, _ = text.split(".")
@@ -262,13 +329,11 @@ def base_spans(text: str) -> list[Span]:
 
 def confirmed_spans(text: str) -> list[Span]:
     """The spans of candidates whose decoded bytes parse as a signed token or a private key."""
-    found: list[Span] = []
     keys: list[tuple[int, int]] = []
-    if "eyJ" in text:
-        found = [("signed_token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _is_token(m[0])]
+    found = [("signed_token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _is_token(m[0])]
     if "PRIVATE KEY" in text:
         keys = _armoured(text)
-    keys += _bare(text)
+    keys += _encoded_blocks(text) + _bare(text) + _hex_lines(text)
     keys += [m.span() for m in _HEX_ANY.finditer(text) if not len(m[0]) % 2 and _is_key(bytes.fromhex(m[0]))]
     taken: list[Span] = []
     for begin, upto in keys:
