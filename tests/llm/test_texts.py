@@ -277,6 +277,43 @@ def test_tokens_need_a_header_that_names_an_algorithm():
     assert [k for k, *_ in secrets.confirmed_spans(f"{good} {bad} eyJabc.def.ghi")] == ["signed_token"]
 
 
+@pytest.mark.parametrize("indent", [None, 1, 2, "\t"])
+@pytest.mark.parametrize("begin", ["{", "{ ", "{\r\n"])
+def test_tokens_with_blanks_in_the_header(indent, begin):
+    header = begin + json.dumps({"alg": "HS256", "typ": "JWT"}, indent=indent)[1:]
+    token = f"{_part(header.encode())}.{_part(json.dumps({'sub': '1'}).encode())}.{_part(b'signature')}"
+    assert secrets.confirmed_spans(f"é {token} .") == [("signed_token", 2, 2 + len(token))]
+    assert not secrets.confirmed_spans("ewe.lamb.ram eyelashes1.of.them ewallet0123456789.b.c")
+
+
+@pytest.mark.parametrize("text", ARMOURED, ids=lambda t: t.split("-----")[1][6:])
+def test_armoured_keys_encoded_once_more(text):
+    for end in ("", "\n", "\r\n"):
+        whole = base64.b64encode((text + end).encode()).decode()
+        for joint in ("", "\n", "\r\n    ", "\\n"):
+            wrapped = joint.join(whole[i : i + 76] for i in range(0, len(whole), 76))
+            for before, after in (("tls.key: ", "\nkind: x\nmetadata"), ('"', '"'), ("\\n", ""), ("", " " + wrapped)):
+                found = secrets.confirmed_spans(before + wrapped + after)
+                assert found[0] == ("private_key", len(before), len(before + wrapped)), (end, joint, before)
+                assert len(found) == 1 + (wrapped in after)
+    label = text.split("-----")[1][6:]
+    other = base64.b64encode(_armour(label, b"some other text that is long enough, not a key").encode()).decode()
+    assert not secrets.confirmed_spans(other) and not secrets.confirmed_spans("x" + other) and not secrets.confirmed_spans("LS0tLS1CRUdJTi " * 30)
+
+
+@pytest.mark.parametrize("key", [RSA, PKCS8, SEC1, ENCRYPTED])
+@pytest.mark.parametrize("width", [32, 48, 64])
+def test_hex_keys_over_lines(key, width):
+    digits = key.hex()
+    for joint in ("\n", "\r\n", "  \n    ", "\\n"):
+        wrapped = joint.join(digits[i : i + width] for i in range(0, len(digits), width))
+        for before, after in (("key:\n", "\nend"), ("0011\n", "\n" + "ab" * 16), ("", "")):
+            found = [s for s in secrets.confirmed_spans(before + wrapped + after)]
+            assert found == [("private_key", len(before), len(before + wrapped))], (joint, before)
+        assert not secrets.confirmed_spans(wrapped[:-2]) and not secrets.confirmed_spans(wrapped + "00")
+    assert not secrets.confirmed_spans("\n".join(["3084ffffffff0011"] * 50))
+
+
 def test_secrets_of_rows(spark, documents):
     token = _token({"alg": "HS256"}, {"sub": "1"})
     texts = ["", None, "nothing here", f"é token={token}", "password: 0123456789abcdef0123", "plain"]
@@ -339,6 +376,47 @@ def test_published_gnu_notices(text, label):
         assert not licenses.template_places(re.findall(rb"[0-9a-z]+", raw), raw, compiled)
 
 
+def _plain(template, name="A. Person"):
+    """A text of the template: without optional regions, the first of alternatives, a name for free words."""
+    while "[[" in template:
+        template = re.sub(r"\[\[(?!\[)(?:(?!\[\[|\]\]).)*\]\]", "", template, flags=re.S)
+    return re.sub(r"\{([^|}]*)[^}]*\}", r"\1", re.sub(r"<\d+-\d+>", name, template))
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_mandatory_wording_to_the_end(label):
+    compiled = {label: licenses.automata()[label]}
+
+    def places(text):
+        raw = text.lower().encode()
+        return [x for *_, x in licenses.template_places(re.findall(rb"[0-9a-z\x80-\xff]+", raw), raw, compiled)]
+
+    words = _plain(licenses.TEMPLATES[label]).split()
+    assert places(" ".join(words)) == [label] and places("Before. " + "\n# ".join(words) + " after") == [label]
+    free = {"A.", "Person"}
+    for at, word in enumerate(words):
+        if word not in free:
+            assert not places(" ".join([*words[:at], "invented", *words[at + 1 :]])), word
+    last = max(i for i, word in enumerate(words) if word not in free)
+    assert not places(" ".join(words[:last]))
+
+
+def test_clauses_of_licences():
+    compiled = licenses.automata()
+
+    def labels(text):
+        raw = text.lower().encode()
+        return {x for *_, x in licenses.template_places(re.findall(rb"[0-9a-z\x80-\xff]+", raw), raw, compiled)}
+
+    three = re.sub(r"\[\[(?!3)|(?<!3)\]\]", "", licenses.TEMPLATES["bsd-text"]).replace("[[3]]", "3")
+    assert "neither the name" in three and labels(_plain(three)) == {"bsd-text"}
+    assert labels(_plain(licenses.TEMPLATES["bsd-4-text"])) == {"bsd-4-text"}
+    isc = _plain(licenses.TEMPLATES["isc-text"])
+    assert labels(isc) == labels(isc.replace("modify and", "modify, and/or")) == {"isc-text"}
+    assert labels("SPDX-License-Identifier: Apache-2.0") == {"spdx-line"}
+    assert "agpl-3.0-header" in labels(GNU.format("program", ";", "", "3").replace("General", "Affero General"))
+
+
 def test_licences_of_rows(spark, documents):
     mit = re.sub(r"\[\[.*?\]\]\]?\]?|<\d+-\d+>", "", licenses.TEMPLATES["mit-text"]).replace("{this|the}", "this")
     texts = [

@@ -39,6 +39,23 @@ def _header(name: str, version: str) -> str:
     return f"{_HEADER} {name} general public license {_PUBLISHED} [[either]] version {version} {_LATER}"
 
 
+# parts of the published licences
+_NO_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the
+    warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {} be liable for any claim
+    damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or
+    the use or other dealings in the software"""
+_CONTRIBUTORS = "{its|their} contributors"
+_BSD_CONDITIONS = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+    following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list
+    of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above
+    copyright notice this list of conditions and the following disclaimer in the documentation and or other materials
+    provided with the distribution"""
+_BSD_DISCLAIMER = """this software is provided by <1-12> as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <1-12> be liable for any direct
+    indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+    services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+    liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+    possibility of such damage"""
 # wording of public licences and notices, with the regions that vary
 TEMPLATES = {
     "mit-text": """[[the mit license mit]] [[copyright [[c]] <1-12> [[all rights reserved]]]] permission is hereby granted free of charge
@@ -46,15 +63,34 @@ TEMPLATES = {
         restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or
         sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
         following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or
-        substantial portions of the software""",
-    "isc-text": """permission to use copy modify and {or|and|or} distribute this software for any purpose with or without fee is hereby
-        granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "bsd-text": """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list
-        of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above
-        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials
-        provided with the distribution [[[[3]] neither the name of <1-12> nor the names of its contributors may be used to
-        endorse or promote products derived from this software without specific prior written permission]]""",
+        substantial portions of the software """
+    + _NO_WARRANTY.format("authors or copyright holders"),
+    "isc-text": """[[isc license]] [[copyright [[c]] <1-12>]] permission to use copy modify and [[or]] distribute this software for any purpose with or without fee
+        is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is
+        provided as is and <1-12> {disclaims|disclaim} all warranties with regard to this software including all implied warranties of
+        merchantability and fitness in no event shall <1-12> be liable for any special direct indirect or consequential damages or any
+        damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+        action arising out of or in connection with the use or performance of this software""",
+    "bsd-text": f"""{_BSD_CONDITIONS} [[[[3]] neither the name of <1-12> nor the names of {_CONTRIBUTORS} may be used to
+        endorse or promote products derived from this software without specific prior written permission]] {_BSD_DISCLAIMER}""",
+    "bsd-4-text": f"""{_BSD_CONDITIONS} [[3]] all advertising materials mentioning features or use of this software must display the
+        following {{acknowledgement|acknowledgment}} this product includes software developed by <1-16> [[4]] neither the name of <1-12> nor the
+        names of {_CONTRIBUTORS} may be used to endorse or promote products derived from this software without specific prior written
+        permission {_BSD_DISCLAIMER}""",
+    "unlicense-text": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+        sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial
+        and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all
+        copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to
+        the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all
+        present and future rights to this software under copyright law """
+    + _NO_WARRANTY.format("authors"),
+    "zlib-text": """this software is provided as is without any express or implied warranty in no event will <1-12> be held liable for any
+        damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+        commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of
+        this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a
+        product an {acknowledgment|acknowledgement} in the product documentation would be appreciated but is not required [[2]] altered source
+        versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not
+        be removed or altered from any source distribution""",
     "apache-2.0-notice": """licensed under the apache license version 2 0 [[the license you may not use this file except in compliance
         with the license you may obtain a copy of the license at <1-12>]]""",
     "gpl-2.0-notice": _sentence("", "2"),
@@ -69,6 +105,15 @@ TEMPLATES = {
     "lgpl-2.0-header": _header("{library|lesser}", "2 of the license"),
     "lgpl-2.1-header": _header("lesser", "2 1 [[of the license]]"),
     "lgpl-3.0-header": _header("lesser", "3 [[of the license]]"),
+    "agpl-3.0-notice": _sentence("affero", "3"),
+    "agpl-3.0-header": _header("affero", "3 [[of the license]]"),
+    "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license [[v]] 2 0 if a copy of the mpl was not
+        distributed with this file you can obtain one at {http|https} [[www]] mozilla org mpl 2 0""",
+    "epl-2.0-notice": """[[this program and the accompanying materials are]] made available under the terms of the eclipse public license
+        [[{v|version}]] {2|v2} 0""",
+    "cc0-1.0-notice": "to the extent possible under law <1-12> has waived all copyright and related or neighboring rights to <1-12>",
+    "cc-by-4.0-notice": """[[this work is]] licensed under [[a|the]] creative commons attribution 4 0 international [[{license|licence}]]""",
+    "spdx-line": "spdx license identifier {mit|isc|apache|bsd|gpl|lgpl|agpl|mpl|epl|zlib|unlicense|cc0|cc}",
     "mit-notice": "{licensed|released|distributed} under the [[terms of the]] mit license",
     "cc-by-nc-4.0-notice": "[[this work is]] {licensed|released} under [[a|the]] cc by nc 4 0 [[license]]",
     "rights-reserved": "[[copyright [[c]] <1-12>]] all rights reserved",
