@@ -131,6 +131,24 @@ def test_rows_of_one_id_are_compared_each_on_its_own(spark, documents):
     assert jaccard.kept(documents(rows)).count() == len(rows) - 1
 
 
+def test_one_row_of_each_group(spark, documents):
+    rng = random.Random(11)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(60)) for _ in range(30)]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(100 + i, f"{t} end", "t") for i, t in enumerate(base[:10])]
+    rows += [(0, base[0], "s")] * 5 + [(3, base[20], "s"), (3, base[3], "other")]  # repeated rows, one id with two texts
+    rows += [(None, base[1], "s"), (None, base[29] + " x", None), (None, "of no one else at all", "s"), (None, "of no one else at all", "s")]
+    rows += [(200, None, "s"), (200, None, "s"), (201, "", "s"), (None, None, None)]
+    rng.shuffle(rows)
+    docs = documents(rows).repartition(7)
+    out = jaccard.one_of_each(docs, 5, 80)
+    assert out.dtypes == docs.dtypes
+    found = out.toPandas()
+    ids = [None if i != i else int(i) for i in found.doc_id]
+    assert sorted((i for i in ids if i is not None)) == sorted([*range(20), *range(21, 30), 3, 200, 200, 201])
+    assert sorted(found.text[found.doc_id.isna()].dropna()) == ["of no one else at all"] and ids.count(None) == 2
+    assert jaccard.one_of_each(documents([]), 5, 80).count() == 0
+
+
 def test_words_that_agree_modulo_a_power_of_two_are_no_link(spark, documents, twins):
     found = jaccard.linked(documents([(i, t, "s") for i, t in enumerate([*twins, twins[0], f"a b {twins[0]} c", f"a b {twins[1]} c"])])).toPandas()
     assert dict(zip(found.doc_id, found.component_id, strict=True)) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
@@ -169,6 +187,17 @@ def test_nearest(spark, seed):
     assert vectors.nearest(df.limit(0), 7, 10).count() == 0
 
 
+def test_nearest_at_the_end_of_the_range(spark):
+    rng = np.random.default_rng(5)
+    near = (8.5e5 * rng.choice([-1, 1], (60, 6)) * rng.uniform(0.999, 1, (60, 6))).tolist()  # squares add up to almost 2^62
+    rows = [(i, v) for i, v in enumerate(near)] + [(100 + i, rng.normal(size=6).tolist()) for i in range(40)]
+    beyond = [(200, [8.7e5] * 6), (210, [1e30] + [0.0] * 5), (220, [-3e38] * 6), (230, [9e6] * 16)]
+    df = spark.createDataFrame(rows + beyond, "vec_id long, embedding array<float>")
+    found = vectors.nearest(df, 7, 10).collect()
+    assert sorted([tuple(r) for r in found], key=str) == _nearest(rows, 7, 10)
+    assert vectors.nearest(spark.createDataFrame(beyond, df.schema), 7, 10).count() == 0
+
+
 PAGES = "page_id long, url string, html string, record_type string"
 
 

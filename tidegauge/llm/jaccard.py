@@ -478,3 +478,26 @@ def kept(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     found = linked(docs.filter("doc_id is not null"), size, percent).filter("doc_id <> component_id")
     gone = written(found.select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all columns, without copies: of linked rows the one with the least id stays, ids before null.
+
+    Other than in :func:`kept` a row stands for itself, not for its id: rows that share an id or have none are compared like all
+    others, so of repeated rows one stays. Rows without words are linked with nothing and stay. An empty table gives no rows.
+    """
+    rows = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
+    dealt = written(docs.select(F.monotonically_increasing_id().alias("at"), rows), "rows")
+    part, nth = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = (dealt.agg(F.max(part)).first()[0] or 0) + 1
+    # numbers near each other, as sets of them are folded onto few bits
+    numbered = dealt.select((nth * parts + part).alias("nr"), "row")
+    found = linked(numbered.select(F.col("nr").alias("doc_id"), F.col("row.text").alias("text")), size, percent)
+    groups = written(found.select(F.col("doc_id").alias("nr"), "component_id"), "groups")
+    # most rows are a group of one; of the others ids decide
+    several = groups.filter("nr <> component_id").select("component_id").distinct()
+    ids = numbered.select("nr", F.col("row.doc_id").alias("doc_id")).join(groups.join(several, "component_id"), "nr")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nr")
+    stays = ids.groupBy("component_id").agg(F.min(order)["nr"].alias("nr"))
+    gone = ids.join(stays, ["component_id", "nr"], "left_anti").select("nr")
+    return numbered.join(written(gone, "copies"), "nr", "left_anti").select("row.*")
