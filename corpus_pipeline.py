@@ -17,8 +17,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that shares 0.8 of its five-word shingles, directly or over others."""
-    return jaccard.kept(docs, size=5, percent=80)
+    """Keeps one row of each group that shares 0.8 of its five-word shingles, directly or over others; repeated rows are such a group."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
