@@ -58,18 +58,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # one tokenizer for both kinds of words, as each takes tens of MB: _as_plain changes its outer steps
+        self.tokenizer = Tokenizer.from_file(path)
+        usual = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.steps = {False: usual}
+        self.is_plain = False
         if self._slow(["a b"])[0] != [*self._slow(["a"])[0], *self._slow(["b"])[0]]:
             raise ValueError("the tokenizer keeps white space; words can't be encoded on their own")
-        self.suffix = self.plain.model.end_of_word_suffix
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+        self.suffix = self.tokenizer.model.end_of_word_suffix
+        self.steps[True] = normalizers.Sequence([]), pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        vocabulary = self.full.get_vocab(with_added_tokens=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         if self.suffix:
             self.last[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
+        del vocabulary
         self.clear()
         release()  # what reading the file took
 
@@ -78,8 +82,14 @@ class Encoder:
         self.checks = array("Q")
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
 
+    def _as_plain(self, plain: bool):
+        if plain != self.is_plain:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps[plain]
+            self.is_plain = plain
+        return self.tokenizer
+
     def _slow(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for x in self._as_plain(False).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
         """Keeps ids of words that lie one behind the other, each up to its end."""
@@ -93,7 +103,7 @@ class Encoder:
         fast = np.flatnonzero(plain).tolist()
         self.checks.frombytes(np.concatenate([checks[plain], checks[~plain]]).tobytes())
         if fast:
-            ids = np.array(self.plain.encode(b" ".join([texts[i] for i in fast]).decode(), add_special_tokens=False).ids)
+            ids = np.array(self._as_plain(True).encode(b" ".join([texts[i] for i in fast]).decode(), add_special_tokens=False).ids)
             self._add([keys[i] for i in fast], ids, np.flatnonzero(self.last[ids]) + 1)
         rest = np.flatnonzero(~plain).tolist()
         if rest:
@@ -182,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        for batch in sliced(batches, "text", SLICE_BYTES // 2):
+        for batch in sliced(batches, "text", SLICE_BYTES // 4):
             rows = [[] for _ in range(5)]
             ids_of = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(ids_of, encoder.encode(batch.column("text")), strict=True):

@@ -58,9 +58,9 @@ def release() -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each has about ``limit`` bytes of text, or one row; frees memory before and behind them."""
-    release()
+    """Cuts record batches so that each has about ``limit`` bytes of text, or one row; frees memory before and behind each batch."""
     for batch in batches:
+        release()
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
