@@ -107,3 +107,25 @@ def test_nothing_shuffles_whole_payloads(plan):
 @pytest.mark.parametrize("name", ["batch_records", "app_records", "statistics_records", "completed_delays"])
 def test_payloads_are_read_once(plan, name):
     assert plan(name).count("from_json(") == 1
+
+
+@pytest.mark.parametrize("name", ["file_listing_pauses", "app_log_lines", "throughput_decisions"])
+def test_lines_are_tested_where_they_are_made_once(plan, name):
+    """A filter on a line would be moved below the making of the line, and make it again for every test in it."""
+    assert not re.search(r"Filter .*RLIKE|Filter .*rlike", plan(name))
+    assert plan(name).count("explode(array(CASE WHEN (Contains(line#") > 0
+
+
+@pytest.mark.parametrize("name", ["throughput_decisions", "epoch_outcomes", "max_throughput"])
+def test_rows_of_a_run_get_their_epoch_once(spark, name):
+    """The series in order of epochs and the ends of its spans read one shuffle of the rows, so the tables are not read for each."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall("FileScan", text)) <= 6, text.count("FileScan")
+
+
+def test_the_tag_of_an_event_is_read_once_for_its_poll(plan):
+    assert plan("batch_records").count("get_json_object(") == 1

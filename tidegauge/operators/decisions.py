@@ -41,6 +41,8 @@ TIMELINE = (
 _COLUMNS = [part.split()[0] for part in TIMELINE.split(", ")]
 _TYPES = dict(part.split() for part in TIMELINE.split(", "))
 _ORDER = ["class", "tie", "kind"]
+# Runs are cut into spans of a day: most runs have few polls in an hour, and every span adds a row to the series.
+_SPAN_US = 86_400_000_000
 EPOCH = ["change_us", "change_id", "frequency", "message_bytes"]
 
 
@@ -159,7 +161,7 @@ def timeline(changes: DataFrame, lines: DataFrame, fetches: DataFrame, keep_sec:
 def with_epochs(rows: DataFrame) -> DataFrame:
     """Gives every row the newest change up to it, which names its epoch."""
     change = F.when(F.col("change_us").isNotNull(), F.struct(*EPOCH))
-    series = ordered.Series(["run_id"], "us", _ORDER)
+    series = ordered.Series(["run_id"], "us", _ORDER, _SPAN_US)
     return ordered.carry_last(rows, series, {"_epoch": change}).drop(*EPOCH).select("*", "_epoch.*").drop("_epoch")
 
 
@@ -173,11 +175,13 @@ def since_change(rows: DataFrame, warmup_sec: int = settings.WARMUP_SEC) -> Data
     counting = with_epochs(rows).where(
         F.col("change_us").isNotNull() & ((F.col("kind") == POLL) | is_settled(warmup_sec))
     )
-    newest = F.when(F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms"))
+    # in_process_ms is NULL beside a delay. With it the ends of the spans need the same columns as the rows, so Spark orders the rows
+    # of a run by epoch once for both; else it would drop that column for one of them and make the whole series again.
+    newest = F.when(F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms", "in_process_ms"))
     return (
         ordered.running(
             counting,
-            ordered.Series(["run_id", "change_us", "change_id"], "us", _ORDER),
+            ordered.Series(["run_id", "change_us", "change_id"], "us", _ORDER, _SPAN_US),
             sums={"n": F.col("delays"), "total_ms": F.col("delay_ms"), "slow_listings": F.col("slow")},
             greatest={"_newest": newest},
         )

@@ -57,14 +57,19 @@ def unfinished_batches(records: DataFrame, now: Column) -> DataFrame:
 
 
 def _lines_of(lines: DataFrame, logger: str, text: str = "") -> DataFrame:
-    """Lines of one logger with the time and the message; other lines are tested once and not taken apart."""
+    """Lines of one logger with the time and the message; other lines are tested once and not taken apart.
+
+    The line is tested in an explode, not in a filter: Spark would move a filter below the making of the line, and make the line
+    again for each test in it and in later filters.
+    """
     pattern = logs.message_pattern(logger, text)
-    return lines.where(F.col("line").contains(text or logger) & F.col("line").rlike(pattern)).withColumns(
-        {
-            "timestamp_unix": times.log_time_seconds(F.substring("line", 1, 19)),
-            "message": F.regexp_extract("line", pattern, 1),
-        }
+    found = F.struct(
+        times.log_time_seconds(F.substring("line", 1, 19)).alias("timestamp_unix"),
+        F.regexp_extract("line", pattern, 1).alias("message"),
     )
+    told = F.col("line").contains(text or logger) & F.col("line").rlike(pattern)
+    tested = lines.withColumn("_found", F.explode_outer(F.array(F.when(told, found))))
+    return tested.where(F.col("_found").isNotNull()).select(*lines.columns, "_found.*")
 
 
 def listings(lines: DataFrame) -> DataFrame:
