@@ -63,3 +63,25 @@ def test_an_error_of_the_function_is_shown(spark):
 
     with pytest.raises(Exception, match="no way to reduce this"):
         reduce.reduce_by_key(spark.createDataFrame([(1, 1), (1, 2)], "k int, v int").coalesce(1), ["k"], "v", broken).collect()
+
+
+def test_a_frequent_key_is_looked_up_once_for_many_rows(spark):
+    batch = reduce.pa.RecordBatch.from_pydict({"k": [1, 2] * 5_000, "v": list(range(10_000))})
+    chunk = reduce.pa.Table.from_batches([batch] * 4)
+    assert reduce._reduced(chunk, 1, 1, lambda a, b: a + b) == {(1,): 4 * sum(range(0, 10_000, 2)), (2,): 4 * sum(range(1, 10_000, 2))}
+
+
+def test_keys_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "_CHUNK_ROWS", 4)
+    schema = reduce.pa.schema([("k", "double"), ("v", "int64")])
+    rows = [(None, 1), (None, 2), (-0.0, 3), (0.0, 4), (0.0, 5), (1.0, 6), (1.0, 7), (1.0, 8), (1.0, 9), (1.0, 10), (2.0, 11)]
+    batches = [reduce.pa.RecordBatch.from_arrays([reduce.pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2]), schema)], schema=schema) for i in range(0, 11, 2)]
+    merged = reduce._merge(lambda a, b: a + b, schema, 1, 1)(iter(batches))
+    assert sorted((r["k"] or 0.5 if r["k"] is None else r["k"], r["v"]) for b in merged for r in b.to_pylist()) == [(0.0, 12), (0.5, 3), (1.0, 40), (2.0, 11)]
+
+
+def test_words_of_one_row_group_are_counted_in_all_tasks(spark):
+    from tidegauge.plans.queries import QUERIES
+
+    plan = QUERIES["reduce_word_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.rindex("Exchange hashpartitioning(doc_id")
