@@ -277,3 +277,26 @@ def test_bit_sets(spark):
     bits = bit_set(spark.createDataFrame([(v,) for v in values], "v long"), "v", 20)
     assert in_bit_set(bits, np.array(values)).all() and len(bits) == 1 << 17
     assert not in_bit_set(bits, np.array([1, 6, 1 << 19])).any()
+
+
+def test_a_bit_set_is_read_in_few_jobs(spark):
+    """Its blocks are few; a job for each shuffle partition would cost more than the set."""
+    import numpy as np
+
+    from tidegauge.llm import common
+
+    given = np.random.default_rng(3).integers(0, 1 << 40, 3_000)
+    values = spark.createDataFrame([(int(v),) for v in given], "v long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("bits", "bits")
+    try:
+        found = common.bit_set(values, "v", 22)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bits")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert common.in_bit_set(found, given).all() and np.unpackbits(found).sum() == len(set((given & ((1 << 22) - 1)).tolist()))
+    assert len(jobs) < 10

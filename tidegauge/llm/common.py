@@ -64,7 +64,8 @@ def bit_set(values: DataFrame, column: str, bits: int) -> np.ndarray:
     )
     out = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << BITMAP_BITS) // 8
-    for row in blocks.toLocalIterator():
+    # the driver runs one job for each partition it reads, so blocks come in parts of 8 MB at most, not in all shuffle partitions
+    for row in blocks.repartition(max(1, (1 << bits) >> 26)).toLocalIterator():
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bitmap"], np.uint8)
     return out
 
