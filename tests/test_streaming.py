@@ -2,9 +2,11 @@
 
 import glob
 import os
+import random
 import time
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +247,65 @@ def test_known_telemetry_is_forgotten_once_no_arrival_can_count(spark, tmp_path)
     assert queries[-1].recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
 
 
+def told_one_by_one(held, rows, kind):
+    """What ``wins._standing`` does, row by row; a run is (no_run, run)."""
+    held, found = {r[:3]: r for r in held}, []
+    for row in sorted(rows, key=lambda r: r[3:5]):
+        old = held.get(row[:3])
+        if old is not None and (kind == decisions.DELAY or row[3:5] <= old[3:5]):
+            continue
+        held[row[:3]] = row
+        change = row[5] - (old[5] if old is not None and kind == decisions.PAUSE else 0)
+        if kind == decisions.DELAY or change:
+            found.append((*row[:5], change))
+    return sorted(held.values()), sorted(found)
+
+
+@pytest.mark.parametrize("kind", [decisions.DELAY, decisions.PAUSE])
+def test_what_stands_is_found_in_whole_columns_as_row_by_row(kind):
+    deal = random.Random(7)
+    held = np.zeros((0, 6), np.int64)
+    for size in (0, 1, 60, 0, 200, 40):
+        rows = []
+        for _ in range(size):
+            no_run, at = deal.randrange(2), (deal.randrange(30), deal.choice([-(1 << 63), 0, 1]))
+            # a value depends on the line alone, as repeated lines are equal
+            rows.append((no_run, 0 if no_run else deal.randrange(3), deal.randrange(5), *at, hash(at) % 2 if kind == decisions.PAUSE else hash(at) % 9))
+        expected = told_one_by_one([tuple(r) for r in held.tolist()], rows, kind)
+        held, found = wins._standing(held, np.array(rows, np.int64).reshape(-1, 6), kind)
+        assert (sorted(map(tuple, held.tolist())), sorted(map(tuple, found.tolist()))) == expected
+
+
+def test_delays_of_runs_without_a_number(spark, tmp_path):
+    rows = observed(spark, [poll(60, 1, (30, 1)), poll(61, 2, (30, 2))])
+    rows = rows.unionByName(rows.withColumn("run_id", F.lit(0).cast("bigint"))).unionByName(rows.withColumn("run_id", F.lit(None).cast("bigint")))
+    rows.select(F.col("id").alias("fetch_id"), "run_id", "ts", "payload").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("fetch_id bigint, run_id bigint, ts timestamp_ntz, payload string").parquet(f"{tmp_path}/in")
+    runs.run_available(sinks.keep_batches(wins.first_delays(stream), f"{tmp_path}/out", lambda batch: batch), f"{tmp_path}/check")
+    got = sinks.kept_batches(spark, f"{tmp_path}/out").collect()
+    assert sorted(((r.run_id, r.batch_ts, r.delay_ms) for r in got), key=str) == [(0, 30, 1), (7, 30, 1), (None, 30, 1)]
+
+
+def test_micro_batches_do_not_take_all_shuffle_partitions(spark, tmp_path):
+    """Spark turns adaptive execution off for streams with state, so 300 runs used to be dealt over every shuffle partition in each step."""
+    files = {}
+
+    def act(rows, batch_id):
+        rows.sparkSession.conf.set("spark.sql.shuffle.partitions", "40")
+        rows.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+        action(rows, batch_id)
+        assert rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "false"
+        files[batch_id] = glob.glob(f"{tmp_path}/state/state/batch_id={batch_id}/*.parquet")
+
+    action = epochs.EpochOutcomes(f"{tmp_path}/state")
+    changes = spark.range(300).select(F.col("id").alias("change_id"), F.col("id").alias("run_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit(1).alias("frequency"), F.lit(64).alias("message_bytes"))
+    decisions.change_rows(changes).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(decisions.TIMELINE).parquet(f"{tmp_path}/in")
+    runs.run_available(sinks.for_each_batch(stream, act), f"{tmp_path}/check")
+    assert spark.read.schema(epochs.STATE).parquet(*files[0]).count() == 300
+    assert len(files[0]) < 10
+
+
 def test_directory_source_takes_new_fresh_files_and_names_the_strange_ones(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -172,9 +172,12 @@ def is_settled(warmup_sec: int = settings.WARMUP_SEC) -> Column:
 
 def since_change(rows: DataFrame, warmup_sec: int = settings.WARMUP_SEC) -> DataFrame:
     """Polls with n, sum, latest delay and slow listings since the change, after the warm-up, as known by then."""
-    counting = with_epochs(rows).where(
-        F.col("change_us").isNotNull() & ((F.col("kind") == POLL) | is_settled(warmup_sec))
-    )
+    return totals_since_change(with_epochs(rows), warmup_sec)
+
+
+def totals_since_change(rows: DataFrame, warmup_sec: int = settings.WARMUP_SEC) -> DataFrame:
+    """``since_change`` of rows that have their epochs."""
+    counting = rows.where(F.col("change_us").isNotNull() & ((F.col("kind") == POLL) | is_settled(warmup_sec)))
     # in_process_ms is NULL beside a delay. With it the ends of the spans need the same columns as the rows, so Spark orders the rows
     # of a run by epoch once for both; else it would drop that column for one of them and make the whole series again.
     newest = F.when(F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms", "in_process_ms"))

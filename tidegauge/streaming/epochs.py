@@ -9,6 +9,9 @@ that is repeated after a failure reads the totals before it again and replaces w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +86,7 @@ def _carried(state: DataFrame) -> DataFrame:
 
 
 def _next_state(rows: DataFrame, decided: DataFrame, warmup_sec: int) -> DataFrame:
-    """Totals of the newest epoch of each run, and whether the epoch has its outcome. The totals before are among the rows."""
+    """Totals of the newest epoch of each run, and whether the epoch has its outcome. ``rows`` have epochs; the totals before are among them."""
     settled = dec.is_settled(warmup_sec)
 
     def total(column: str):
@@ -91,9 +94,7 @@ def _next_state(rows: DataFrame, decided: DataFrame, warmup_sec: int) -> DataFra
 
     newest = F.max(F.when(settled & F.col("newest_sec").isNotNull(), F.struct("newest_sec", "newest_ms")))
     epochs = (
-        dec.with_epochs(rows)
-        .where(F.col("change_us").isNotNull())
-        .groupBy("run_id", *dec.EPOCH)
+        rows.groupBy("run_id", *dec.EPOCH)
         .agg(total("delays"), total("delay_ms"), total("slow"), newest.alias("n"))
         .select("run_id", *dec.EPOCH, "delays", "delay_ms", "slow", "n.*")
     )
@@ -103,6 +104,21 @@ def _next_state(rows: DataFrame, decided: DataFrame, warmup_sec: int) -> DataFra
     return state.join(flag, epoch, "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
 
 
+@contextmanager
+def _adaptive(spark: SparkSession) -> Iterator[None]:
+    """Turns adaptive execution on: Spark keeps it off in the session of a stream, since its state needs a fixed number of partitions.
+
+    What an action reads from written tables holds no such state. Without it, every shuffle of a micro-batch takes all shuffle partitions.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class EpochOutcomes:
     """Action for each micro-batch of timeline rows: writes the outcomes it finds and the totals it leaves.
 
@@ -122,10 +138,15 @@ class EpochOutcomes:
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        epoch = ["run_id", "change_us", "change_id"]
-        # Written once: the stream is read a single time, and outcomes and totals both start from these rows.
+        # Written once: the stream is read a single time.
         rows.write.mode("overwrite").parquet(self._path("timeline", batch_id))
-        rows = spark.read.schema(dec.TIMELINE).parquet(self._path("timeline", batch_id))
+        with _adaptive(spark):
+            self._reduce(spark.read.schema(dec.TIMELINE).parquet(self._path("timeline", batch_id)), batch_id)
+
+    def _reduce(self, rows: DataFrame, batch_id: int) -> None:
+        """Outcomes and totals of one micro-batch, from its written rows and the totals before it."""
+        spark = rows.sparkSession
+        epoch = ["run_id", "change_us", "change_id"]
         before = None
         if batch_id > 0:
             if not folders.exists(spark, self._path("state", batch_id - 1)):
@@ -136,7 +157,11 @@ class EpochOutcomes:
                 return
             rows = rows.unionByName(_carried(before))
 
-        decided = dec.decision_columns(dec.decide(dec.since_change(rows, self.warmup_sec), self.wait_batches))
+        # Written once: outcomes and totals both start from the rows with their epochs.
+        known = dec.with_epochs(rows).where(F.col("change_us").isNotNull())
+        known.write.mode("overwrite").parquet(self._path("epochs", batch_id))
+        rows = spark.read.schema(known.schema).parquet(self._path("epochs", batch_id))
+        decided = dec.decision_columns(dec.decide(dec.totals_since_change(rows, self.warmup_sec), self.wait_batches))
         outcomes = dec.epoch_outcomes(decided)
         if before is not None:
             done = before.where("decided").select(*epoch)
@@ -151,7 +176,7 @@ class EpochOutcomes:
     def _finish(self, state: DataFrame, batch_id: int) -> None:
         spark = state.sparkSession
         state.write.mode("overwrite").parquet(self._path("state", batch_id))
-        for table in ("state", "timeline"):
+        for table in ("state", "timeline", "epochs"):
             folders.remove(spark, self._path(table, batch_id - 2))
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
