@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import scratch_dir
 
+BATCH_ROWS = 500  # of whole texts, about 1 MB of common documents
 BITMAP_BITS = 15  # bitmap_construct_agg builds bit sets of 2^15 bits
 
 
@@ -26,6 +28,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs that run inside hand whole texts to Python in batches of at most ``rows`` rows; no row is left out.
+
+    A batch lies in memory several times, in the executor and in its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, per_key: DataFrame | None = None, dealt_by: Sequence[str] = ()
 ) -> DataFrame:

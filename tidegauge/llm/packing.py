@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ranked, written
+from tidegauge.llm.common import ranked, small_batches, written
 from tidegauge.llm.words import SLICE_BYTES, Words, release, sliced, words_of
 
 CAPACITY = 4096
@@ -58,7 +58,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.full = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.full.model)  # one vocabulary for both
         if self._slow(["a b"])[0] != [*self._slow(["a"])[0], *self._slow(["b"])[0]]:
             raise ValueError("the tokenizer keeps white space; words can't be encoded on their own")
         self.suffix = self.plain.model.end_of_word_suffix
@@ -74,31 +75,35 @@ class Encoder:
         release()  # what reading the file took
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known hashes in order, and where their words are
         self.checks = array("Q")
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
 
     def _slow(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Keeps ids of words that lie one behind the other, each up to its end."""
+    def _add(self, keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps ids of new words that lie one behind the other, each up to its end; ``keys`` are in order."""
         sizes = np.diff(ends, prepend=0)
-        self.known.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True))
+        if len(sizes) != len(keys):
+            raise ValueError(f"the tokenizer made {len(sizes)} words of {len(keys)}")
+        before = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, before, keys)
+        self.places = np.insert(self.places, before, np.arange(len(self.starts), len(self.starts) + len(keys)))
         self.starts.extend((ends - sizes + len(self.ids)).tolist())
         self.sizes.extend(sizes.tolist())
         self.ids.frombytes(ids.astype(np.uint32).tobytes())
 
-    def _learn(self, keys: list[int], checks: np.ndarray, texts: list[bytes], plain: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[bytes], plain: np.ndarray) -> None:
         fast = np.flatnonzero(plain).tolist()
         self.checks.frombytes(np.concatenate([checks[plain], checks[~plain]]).tobytes())
         if fast:
             ids = np.array(self.plain.encode(b" ".join([texts[i] for i in fast]).decode(), add_special_tokens=False).ids)
-            self._add([keys[i] for i in fast], ids, np.flatnonzero(self.last[ids]) + 1)
+            self._add(keys[plain], ids, np.flatnonzero(self.last[ids]) + 1)
         rest = np.flatnonzero(~plain).tolist()
         if rest:
             found = self._slow([texts[i].decode() for i in rest])
-            self._add([keys[i] for i in rest], np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found]))
+            self._add(keys[~plain], np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found]))
 
     def _units(self, words: Words) -> tuple[np.ndarray, ...]:
         """Cuts words between white space into units that are encoded on their own.
@@ -147,18 +152,17 @@ class Encoder:
             return
         h, check, lower, starts, ends, plain, many = self._units(words)
         keys, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if self.known and len(self.known) + len(keys) > CACHED_WORDS:
+        if len(self.keys) and len(self.keys) + len(keys) > CACHED_WORDS:
             self.clear()
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.known]
-        if new:
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        if len(new):
             raw, small, of = words.data.tobytes(), lower.tobytes(), index[new]
             texts = [
                 (small if p else raw)[a:b]
                 for a, b, p in zip(starts[of].tolist(), ends[of].tolist(), plain[of].tolist(), strict=True)
             ]
-            self._learn([listed[i] for i in new], check[of], texts, plain[of])
-        at = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+            self._learn(keys[new], check[of], texts, plain[of])
+        at = self.places[np.searchsorted(self.keys, keys)][inverse]
         if (np.frombuffer(self.checks, np.uint64)[at] != check).any():
             yield from (np.array(ids, np.uint32) for ids in self._slow([t or "" for t in column.to_pylist()]))
             return
@@ -287,4 +291,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every document of ``docs`` (``doc_id, text``) cut, packed and placed."""
-    return pack(written(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, tokenizer_path, capacity), "pieces")
+    return pack(cut, capacity)
