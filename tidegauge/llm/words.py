@@ -138,7 +138,7 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     for k in range(size):
         salt = (salt * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) | 1
         part = h[k:] * np.uint64(salt & (1 << 64) - 1)
-        rolled[: n - k] += part ^ (part >> np.uint64(29))
+        rolled[: max(0, n - k)] += part ^ (part >> np.uint64(29))
     rolled = mix(rolled)
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
