@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, in stages that each keep the columns of ``documents``."""
+"""From raw documents to packed training sequences, in stages that each keep the columns of ``documents``.
+
+Stages that hand whole texts to Python keep the session at small record batches: a caller writes their results, and the executors of one
+run keep what each stage needed at most.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import jaccard, mixing, packing, secrets, toxicity
-from tidegauge.llm.common import table, written
+from tidegauge.llm.common import table, use_small_batches, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the field finds toxic; it is fitted on the labelled ones among ``docs``."""
+    use_small_batches(spark)
     field = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, field)
 
@@ -23,6 +28,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of a secret in its place."""
+    use_small_batches(spark)
     return secrets.redacted(docs)
 
 

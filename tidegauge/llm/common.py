@@ -43,6 +43,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, before)
 
 
+def use_small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """As :func:`small_batches`, for the rest of the session: for results that a caller runs later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    if not 0 < before <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, per_key: DataFrame | None = None, dealt_by: Sequence[str] = ()
 ) -> DataFrame:

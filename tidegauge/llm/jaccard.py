@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bit_set, in_bit_set, written
+from tidegauge.llm.common import bit_set, in_bit_set, small_batches, written
 from tidegauge.llm.words import mix, shingle_sets, sliced, words_of
 
 WORDS = 4
@@ -420,8 +420,13 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     Sets are the distinct ``size``-word shingles of the text in lower case (A-Z); a shorter text is one shingle, a text without
     words or null has none and is linked with nothing. Rows that share an id are one node, linked where any of their texts is. Rows with a
     null id keep their ``n_shingles`` and have no component. An empty table gives no rows; other columns are not read.
+    Texts, and the sets of pairs, reach Python in small batches.
     """
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _linked(docs.select("doc_id", "text"), size, percent)
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = written(signatures(docs, size), "signatures")
     classes = written(
         sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")), "classes"

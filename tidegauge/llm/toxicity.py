@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.words import mix, sliced, words_of
+from tidegauge.llm.common import small_batches
+from tidegauge.llm.words import mix, release, sliced, words_of
 
 SAMPLE_DOCS = 2000  # of each label, those with the least hash of their id
 SAMPLE_WORDS = 1500  # longer documents are left out of the fit (never of the scoring)
@@ -90,7 +91,7 @@ def _columns(counts: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     while first < len(order):
         longest = int(counts[order[first]])
         last = first + max(1, int(np.searchsorted(-counts[order[first:]], -(longest // 2), "left")))
-        last = min(last, first + max(1, (1 << 21) // longest))
+        last = min(last, first + max(1, (1 << 19) // longest))
         yield order[first:last], longest
         first = last
 
@@ -170,10 +171,10 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         # without both labels nothing can be told apart: every score is the share of toxic ones
         sure = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return Field(np.zeros(1, np.uint64), np.zeros(1), -10.0, np.zeros((2, 2)), np.array([sure, 0.0, 0.0]))
-    keys, numbered = np.unique(np.concatenate(docs), return_inverse=True)
+    # text by text: one array of all words, and what sorting it takes, would fill the driver
+    keys = np.unique(np.concatenate([np.unique(x) for x in docs]))
     firsts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
-    numbered = numbered.reshape(-1, KINDS)
-    local = [numbered[i:j] for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+    local = [np.searchsorted(keys, x).astype(np.int32) for x in docs]
     stands, strong = _telling(local, toxic, len(keys))
     used = np.flatnonzero(stands >= LEAST_DOCS)
     to_used = np.full(len(keys), len(used))
@@ -222,7 +223,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         bias += 0.1 * bias_step / np.sqrt(bias_square)
         moves += 0.1 * move_step / np.sqrt(move_squares)
     field = Field(keys[used] if len(used) else np.zeros(1, np.uint64), w[: max(1, len(used))], float(bias), moves, np.zeros(3))
-    x = aggregates(word_marginals(field, emitted(field, np.concatenate(docs)), firsts), firsts)
+    x = aggregates(word_marginals(field, np.concatenate([emitted(field, x) for x in docs]), firsts), firsts)
     field.score = _logistic(x, toxic.astype(float))
     share = toxic.mean()
     field.score[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
@@ -271,24 +272,27 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
 
     # at most 2 * SAMPLE_DOCS rows are broadcast, and as many (of SAMPLE_WORDS words) come back
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
-    found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(few.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .mapInArrow(read, "doc_id long, toxic int, of binary")
-        .filter("length(of) > 0")
-        .groupBy("doc_id", "toxic")
-        .agg(F.max("of").alias("of"))  # of different texts under one id always the same
-        .toArrow()
-        .sort_by("doc_id")
-    )
-    rows = [np.frombuffer(x, np.uint64).reshape(-1, KINDS) for x in found["of"].to_pylist()]
+    with small_batches(docs.sparkSession):
+        found = (
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(few.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+            .select("doc_id", "toxic", "text")
+            .mapInArrow(read, "doc_id long, toxic int, of binary")
+            .filter("length(of) > 0")
+            .groupBy("doc_id", "toxic")
+            .agg(F.max("of").alias("of"))  # of different texts under one id always the same
+            .toArrow()
+            .sort_by("doc_id")
+        )
+    rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, KINDS) for x in found["of"]]
     return rows, np.array(found["toxic"].to_pylist(), bool), prior
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Field:
     """Fits the field on labelled rows outside the held-out fifth."""
-    return fit(*_sample(docs, labels))
+    field = fit(*_sample(docs, labels))
+    release()  # the driver lives on, and would keep what the fit took
+    return field
 
 
 SCORED = "doc_id long, score double, predicted int, spans string"
