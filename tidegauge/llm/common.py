@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the plan, and a lost executor costs a read only."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
+    release_jvm(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_jvm(spark: SparkSession) -> bool:
+    """Gives what the driver's JVM has freed outside its heap back to the system; whether the JVM could.
+
+    Each job leaves some in the C library's pools, one for each few threads, and the driver of many jobs would keep it all. What is in use
+    stays. A JVM without this operation (before JDK 17.0.9, or not on glibc) goes on as it is.
+    """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return False
+    try:
+        # by the interface: the class behind it is not open to others
+        kinds, values = spark.sparkContext._gateway.new_array(jvm.Class, 4), spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.Class.forName(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Jobs that run inside hand whole texts to Python in batches of at most ``rows`` rows; no row is left out.

@@ -28,6 +28,7 @@ LEAST_EVIDENCE = 30.0  # likelihood ratio from which a feature marks toxic token
 LEAST_RATIO = 30.0  # and how many times more often it stands in toxic documents than in clean ones
 STEPS = 60
 SEGMENT = 128  # words of a training sequence
+FIT_DOCS = 256  # documents of the sample whose words are scored at a time
 REST = 10  # of the training sequences without a telling word each such one is fitted, and counts as many times
 
 _LETTERS = np.zeros(256, bool)
@@ -171,48 +172,74 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         # without both labels nothing can be told apart: every score is the share of toxic ones
         sure = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return Field(np.zeros(1, np.uint64), np.zeros(1), -10.0, np.zeros((2, 2)), np.array([sure, 0.0, 0.0]))
-    # text by text: one array of all words, and what sorting it takes, would fill the driver
-    keys = np.unique(np.concatenate([np.unique(x) for x in docs]))
-    firsts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    # what a step needs is gone before the next begins, and texts go one by one: arrays of all words would fill the driver
+    field = _weighed(docs, toxic)
+    release()
+    parts = []
+    for first in range(0, len(docs), FIT_DOCS):
+        some = docs[first : first + FIT_DOCS]
+        firsts = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+        parts.append(aggregates(word_marginals(field, np.concatenate([emitted(field, x) for x in some]), firsts), firsts))
+    field.score = _logistic(np.concatenate(parts), toxic.astype(float))
+    share = toxic.mean()
+    field.score[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    return field
+
+
+def _segments(docs: list[np.ndarray], toxic: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of ``keys`` the used ones; then the training sequences, longest first, by number of key, which of their words are toxic, and for how many each stands."""
     local = [np.searchsorted(keys, x).astype(np.int32) for x in docs]
     stands, strong = _telling(local, toxic, len(keys))
-    used = np.flatnonzero(stands >= LEAST_DOCS)
-    to_used = np.full(len(keys), len(used))
-    to_used[used] = np.arange(len(used))  # the rest share a place whose weight stays 0
-    pieces, labels = [], []
-    for of, label in zip(local, toxic, strict=True):
-        y = strong[of].any(1) if label else np.zeros(len(of), bool)
-        for first in range(0, len(of), SEGMENT):
-            pieces.append(of[first : first + SEGMENT])
-            labels.append(y[first : first + SEGMENT])
     # of the segments without a telling word each REST-th stands for REST of them
-    telling = {i for i, x in enumerate(pieces) if strong[x].any()}
-    rest = [i for i in range(len(pieces)) if i not in telling][::REST]
-    chosen = sorted([*telling, *rest], key=lambda i: -len(pieces[i]))
+    nr, telling, rest, kept = -1, set(), [], {}
+    for of, label in zip(local, toxic, strict=True):
+        tells = strong[of].any(1)
+        for nr, first in enumerate(range(0, len(of), SEGMENT), nr + 1):
+            if tells[first : first + SEGMENT].any():
+                telling.add(nr)
+            else:
+                rest.append(nr)
+            if nr in telling or len(rest) % REST == 1:
+                kept[nr] = of[first : first + SEGMENT].copy(), tells[first : first + SEGMENT] & label
+    chosen = sorted([*telling, *rest[::REST]], key=lambda i: -len(kept[i][1]))
     stands_for = np.array([1.0 if i in telling else REST for i in chosen])
-    lengths = np.array([len(pieces[i]) for i in chosen])
+    return np.flatnonzero(stands >= LEAST_DOCS), [kept[i][0] for i in chosen], [kept[i][1] for i in chosen], stands_for
+
+
+def _weighed(docs: list[np.ndarray], toxic: np.ndarray) -> Field:
+    """The field without the weights of its score."""
+    keys = np.unique(np.concatenate([np.unique(x) for x in docs]))
+    used, pieces, labels, stands_for = _segments(docs, toxic, keys)
+    to_used = np.full(len(keys), len(used))
+    to_used[used] = np.arange(len(used))  # the rest share a place whose weight stays 0
+    lengths = np.array([len(x) for x in pieces])
     steps = int(lengths[0])
     inside = np.arange(steps)[:, None] < lengths
-    of = np.zeros((steps, len(chosen), KINDS), np.int32)
-    y = np.zeros((steps, len(chosen)))
-    for k, i in enumerate(chosen):
-        of[: lengths[k], k], y[: lengths[k], k] = pieces[i], labels[i]
-    where = to_used[of[inside]]
+    of = np.zeros((steps, len(pieces), KINDS), np.int32)
+    y = np.zeros((steps, len(pieces)))
+    for k, (piece, label) in enumerate(zip(pieces, labels, strict=True)):
+        of[: lengths[k], k], y[: lengths[k], k] = piece, label
+    where = to_used.astype(np.int32)[of[inside]]
+    del of, pieces, labels
+    release()
     w, bias, moves = np.zeros(len(used) + 1), -3.0, np.zeros((2, 2))
     squares, bias_square, move_squares = np.full(len(used) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     times = np.broadcast_to(stands_for, inside.shape)
     n, follows, following = times[inside].sum(), inside[1:], times[1:][inside[1:]]
     pairs = [[(((y[:-1] == i) & (y[1:] == j))[follows] * following).sum() for j in (0, 1)] for i in (0, 1)]
-    emissions = np.zeros((steps, len(chosen)))
+    emissions = np.zeros((steps, len(lengths)))
     for _ in range(STEPS):
         emissions[inside] = w[where].sum(1) + bias
         p, forward, backward = marginals(emissions, moves, lengths)
         lack = (y - p)[inside] * times[inside]
         gradient = np.bincount(where.ravel(), np.repeat(lack, KINDS), len(used) + 1) - 0.05 * w
         a, q = np.exp(moves), np.exp(np.clip(emissions[1:], -30, 30)) * backward[1:]
-        joint = [[a[0, 0] + 0 * q, a[0, 1] * q], [a[1, 0] * forward[:-1], a[1, 1] * forward[:-1] * q]]
-        whole = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        expected = [[((joint[i][j] / whole)[follows] * following).sum() for j in (0, 1)] for i in (0, 1)]
+        forward = forward[:-1]
+        joint = {(0, 0): lambda: a[0, 0] + 0 * q, (0, 1): lambda: a[0, 1] * q, (1, 0): lambda: a[1, 0] * forward, (1, 1): lambda: a[1, 1] * forward * q}
+        whole = joint[0, 0]()
+        for k in ((0, 1), (1, 0), (1, 1)):
+            whole += joint[k]()
+        expected = [[((joint[i, j]() / whole)[follows] * following).sum() for j in (0, 1)] for i in (0, 1)]
         bias_step = lack.sum() / n
         move_step = (np.array(pairs) - np.array(expected)) / n - 1e-4 * moves
         squares += gradient**2
@@ -222,12 +249,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Field:
         w[-1] = 0
         bias += 0.1 * bias_step / np.sqrt(bias_square)
         moves += 0.1 * move_step / np.sqrt(move_squares)
-    field = Field(keys[used] if len(used) else np.zeros(1, np.uint64), w[: max(1, len(used))], float(bias), moves, np.zeros(3))
-    x = aggregates(word_marginals(field, np.concatenate([emitted(field, x) for x in docs]), firsts), firsts)
-    field.score = _logistic(x, toxic.astype(float))
-    share = toxic.mean()
-    field.score[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return field
+    return Field(keys[used] if len(used) else np.zeros(1, np.uint64), w[: max(1, len(used))], float(bias), moves, np.zeros(3))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
